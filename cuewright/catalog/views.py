@@ -13,10 +13,15 @@ from cuewright.catalog.registry import SQL_VIEWS
 from cuewright.plans.blocked import block_of, dense_position, running
 
 DAY = 86_400
+# Tables whose rows fan out into many words or lines.
+WIDE_TEXT = ("documents",)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A provided table; one stored in fewer files than there are cores is spread before use."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in WIDE_TEXT and df.rdd.getNumPartitions() < cores else df
 
 
 # ---- segments: conversations as transcripts ------------------------------------------------------
@@ -280,7 +285,7 @@ def raw_chapters(spark: SparkSession, sf: str) -> DataFrame:
 # ---- descriptions: document lines with time stamps ------------------------------------------------
 SQL_VIEWS["v_descriptions"] = """
   SELECT 'd' || doc_id AS video_id, (65 * len(string_split(text, chr(10))))::DOUBLE AS duration,
-    array_to_string(list_transform(string_split(text, chr(10)), (x, i) ->
+    array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
       CASE WHEN doc_id % 5 = 3 AND i = 1 THEN '00:07' WHEN doc_id % 5 = 2 AND i % 4 = 0 THEN '12:75'
            WHEN i > 56 THEN printf('%d:%02d:%02d', ((i - 1) * 65) // 3600, (((i - 1) * 65) // 60) % 60, ((i - 1) * 65) % 60)
            ELSE printf('%02d:%02d', ((i - 1) * 65) // 60, ((i - 1) * 65) % 60) END
@@ -323,10 +328,10 @@ SQL_VIEWS["v_responses"] = """
             ELSE '[batch_' || (doc_id % 9 + 1) || ']' END) || chr(10) ||
       array_to_string(list_transform(
          CASE WHEN doc_id % 6 = 3 THEN ls[1:len(ls) - 1] ELSE ls END,
-         (x, i) -> (CASE WHEN doc_id % 6 = 2 AND i = 2 THEN 7 ELSE i END)::VARCHAR
+         lambda x, i: (CASE WHEN doc_id % 6 = 2 AND i = 2 THEN 7 ELSE i END)::VARCHAR
                    || (CASE i % 4 WHEN 1 THEN '. ' WHEN 2 THEN ') ' WHEN 3 THEN ' : ' ELSE '- ' END)
                    || CASE WHEN doc_id % 24 = 0 AND i = 3 THEN '' ELSE x END), chr(10)) END AS response
-  FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), x -> regexp_replace(x, '^\\s+|\\s+$', '', 'g')), x -> x <> '') AS ls
+  FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ls
         FROM documents)
 """
 

@@ -6,8 +6,13 @@ number is a monotone function of the order column, so a hot video spreads over m
 
 * ``with_halo`` copies the few rows next to a block edge into the neighbour block, after which
   ``lag`` / ``lead`` / bounded row frames inside one block are exact.
-* ``running`` is a two-level prefix scan: windows inside blocks, partial aggregates per block,
-  a window over the block totals (one row per block), and one equi join back.
+* ``running`` is a prefix scan. When no key leaves its first block it is one plain window. Else it
+  has two levels: windows inside blocks, partial aggregates per block, a window over the block
+  totals (one row per block), and one equi join back.
+
+Which form is needed is a checked size: ``many_blocks`` reads the largest index position, a scan
+without a shuffle that prunes to the position column. In the two-level form the input is written
+once to the checkpoint folder, so chained scans do not recompute each other.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewright.session import shared_folder
+
 # Index positions per block. 65 536 rows fit a task easily; a video of 10^10 rows still has only
 # about 150 000 block totals for the upper window.
 BLOCK_ROWS = 1 << 16
@@ -28,12 +35,15 @@ def block_of(position: Column | str, size: int = BLOCK_ROWS) -> Column:
     return F.floor(position / F.lit(size)).cast("long")
 
 
-def with_block(df: DataFrame, position: Column | str, size: int = BLOCK_ROWS) -> DataFrame:
-    return df.withColumn("_blk", block_of(position, size))
+def many_blocks(df: DataFrame, position: Column | str, size: int = BLOCK_ROWS) -> bool:
+    """True when some key reaches past its first block."""
+    position = F.col(position) if isinstance(position, str) else position
+    largest = df.select(F.max(position).alias("m")).first()["m"]
+    return largest is not None and largest >= size
 
 
 def with_halo(
-    df: DataFrame, idx: str, before: int = 0, after: int = 0, size: int = BLOCK_ROWS
+    df: DataFrame, idx: str, before: int = 0, after: int = 0, size: int = BLOCK_ROWS, many: bool | None = None
 ) -> DataFrame:
     """Add ``_blk`` / ``_core``; edge rows also appear (``_core`` false) in the neighbour block.
 
@@ -42,8 +52,12 @@ def with_halo(
     """
     if max(before, after) > size:
         raise ValueError("halo wider than a block")
-    offset = F.col(idx) % F.lit(size)
+    if many is None:
+        many = many_blocks(df, idx, size)
     home = block_of(idx, size)
+    if not many:
+        return df.withColumns({"_blk": home, "_core": F.lit(True)})
+    offset = F.col(idx) % F.lit(size)
     copies = [F.struct(home.alias("blk"), F.lit(True).alias("core"))]
     if before:
         copies.append(
@@ -77,13 +91,16 @@ def running(
     *,
     inclusive: bool = True,
     reverse: bool = False,
+    many: bool | None = None,
 ) -> DataFrame:
     """Running ``sum`` / ``max`` / ``last`` (last non-null) per key over ``order``.
 
-    ``df`` must carry ``_blk``, monotone in ``order``. ``specs`` maps an output name to
-    ``(kind, expression)``. ``reverse`` scans from the end, so an exclusive ``last`` then means
-    "next non-null value".
+    ``df`` must carry ``_blk``, monotone in ``order``; with ``many`` false it is 0 for every row.
+    ``specs`` maps an output name to ``(kind, expression)``. ``reverse`` scans from the end, so an
+    exclusive ``last`` then means "next non-null value".
     """
+    if many is None:
+        many = many_blocks(df, "_blk", 1)
     part = [*keys, "_blk"]
     frame_end = 0 if inclusive else -1
     row_order = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
@@ -91,6 +108,16 @@ def running(
     local = Window.partitionBy(*part).orderBy(*row_order).rowsBetween(
         Window.unboundedPreceding, frame_end
     )
+    over = {
+        "sum": lambda e: F.coalesce(F.sum(e).over(local), F.lit(0)),
+        "max": lambda e: F.max(e).over(local),
+        "last": lambda e: F.last(e, ignorenulls=True).over(local),
+    }
+    if not many:
+        return df.withColumns({n: over[kind](e) for n, (kind, e) in specs.items()})
+
+    shared_folder(df.sparkSession)
+    df = df.checkpoint()
     above = Window.partitionBy(*keys).orderBy(block_order).rowsBetween(Window.unboundedPreceding, -1)
     rank = F.struct(*order)
 
@@ -126,12 +153,16 @@ def running(
 
 
 def dense_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str = "pos"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    block: Column,
+    name: str = "pos",
+    many: bool | None = None,
 ) -> DataFrame:
     """Number rows 0, 1, 2, ... per key without one task per key; ``block`` is monotone in ``order``."""
-    numbered = running(
-        df.withColumn("_blk", block), keys, order, {name: ("sum", F.lit(1).cast("long"))}, inclusive=False
-    )
+    one = {name: ("sum", F.lit(1).cast("long"))}
+    numbered = running(df.withColumn("_blk", block), keys, order, one, inclusive=False, many=many)
     return numbered.drop("_blk")
 
 
