@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuewright import fixed_values as fv
 from cuewright.functions.text import domain_of, strip
+from cuewright.plans.blocked import block_of, dense_position, many_blocks, value_rank
+from cuewright.plans.sizes import broadcast_if_small, hinted, is_small
+from cuewright.session import shared_folder
 
 
 # ---- web results -----------------------------------------------------------------------------
@@ -43,3 +51,343 @@ def format_search_results(shaped: DataFrame) -> DataFrame:
         shaped.groupBy("query_id").agg(hits.alias("_hits"))
         .select("query_id", F.array_join(F.transform("_hits", entry), "\n\n").alias("block"))
     )
+
+
+# ---- dense search ------------------------------------------------------------------------------
+# Rows of one similarity block: chunks of a video are split by hash above this, queries likewise.
+CHUNK_BLOCK = 4096
+QUERY_BLOCK = 1024
+
+
+def _block_count(df: DataFrame, keys: list[str], block: int, name: str) -> DataFrame:
+    """Keys with more than ``block`` rows and the number of blocks each is split into."""
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    return broadcast_if_small(counted.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias(name)))
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, keys: Sequence[str] = ("video_id",)) -> DataFrame:
+    """``k`` chunks of highest cosine relevance per query among chunks with the same ``keys``.
+
+    ``chunks``: keys, ``chunk_id, vec``; ``queries``: keys, ``query_id, vec``. Both sides are split
+    into blocks where a key is large, blocks meet in matrix products, and only each block's best
+    ``k`` per query leave it, so neither pairs nor a hot video pile up anywhere.
+    """
+    keys = list(keys)
+    many_chunks = _block_count(chunks, keys, CHUNK_BLOCK, "_cn")
+    many_queries = _block_count(queries, keys, QUERY_BLOCK, "_qn")
+
+    def cut(df: DataFrame, own: DataFrame, own_name: str, own_id: str, other: DataFrame, other_name: str) -> DataFrame:
+        one = F.lit(1)
+        both = df.join(own, keys, "left").join(other, keys, "left")
+        mine = F.pmod(F.xxhash64(own_id), F.coalesce(own_name, one)).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(other_name, one) - 1))
+        names = ("_cb", "_qb") if own_name == "_cn" else ("_qb", "_cb")
+        return both.select(*keys, own_id, "vec", mine.alias(names[0]), theirs.alias(names[1]))
+
+    left = cut(chunks, many_chunks, "_cn", "chunk_id", many_queries, "_qn")
+    right = cut(queries, many_queries, "_qn", "query_id", many_chunks, "_cn")
+    part = [*keys, "_cb", "_qb"]
+
+    def best(key: tuple, c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        names = [*keys, "query_id", "chunk_id", "score"]
+        if c.empty or q.empty:
+            return pd.DataFrame(columns=names)
+        c = c.sort_values("chunk_id")
+        a, b = (np.stack(x["vec"].to_numpy()).astype("float64") for x in (q, c))
+        norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+        cosine = np.divide(a @ b.T, norms, out=np.zeros((len(a), len(b))), where=norms > 0)
+        score = np.round(np.clip((1.0 + cosine) / 2.0, 0.0, 1.0), 6)
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(a)), order.shape[1])
+        out = pd.DataFrame(
+            {
+                "query_id": q["query_id"].to_numpy()[rows],
+                "chunk_id": c["chunk_id"].to_numpy()[order.ravel()],
+                "score": score[rows, order.ravel()],
+            }
+        )
+        for name, value in zip(keys, key):
+            out[name] = value
+        return out[names]
+
+    fields = [chunks.schema[c] for c in keys] + [queries.schema["query_id"], chunks.schema["chunk_id"]]
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
+    found = left.groupBy(*part).cogroup(right.groupBy(*part)).applyInPandas(best, schema)
+    if keys != ["video_id"]:
+        found = found.groupBy("video_id", "query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return top_k(found, k)
+
+
+def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
+    """Best ``k`` rows per query with a 0-based ``rank``; the limit also applies before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *(ties or ("chunk_id",)))
+    ranked = scored.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
+    return ranked.withColumn("rank", (F.col("_rn") - 1).cast("long")).drop("_rn")
+
+
+def dense_threshold(
+    ranked: DataFrame, threshold: float = fv.SIMILARITY_THRESHOLD, fallback: int = fv.FALLBACK_K
+) -> DataFrame:
+    """Rows above the threshold; the first few of a query where none passes."""
+    passing = F.count_if(F.col("score") >= threshold).over(Window.partitionBy("query_id"))
+    return (
+        ranked.withColumn("_pass", passing)
+        .where((F.col("score") >= threshold) | ((F.col("_pass") == 0) & (F.col("rank") < fallback)))
+        .drop("_pass")
+    )
+
+
+def web_trigger(queries: DataFrame, ranked: DataFrame, threshold: float = fv.WEB_AUTO_THRESHOLD) -> DataFrame:
+    """Whether a query (``query_id, mode``) goes to web search, from its best dense score."""
+    top = ranked.groupBy("query_id").agg(F.max("score").alias("top_score"))
+    score = F.coalesce("top_score", F.lit(0.0))
+    fires = (F.col("mode") == "always") | ((F.col("mode") == "auto") & (score < threshold))
+    return queries.join(top, "query_id", "left").select(
+        "query_id", "mode", score.alias("top_score"), F.when(fires, F.col("mode")).alias("triggered_by")
+    )
+
+
+# ---- sparse search -----------------------------------------------------------------------------
+def _tokens(text: str) -> Column:
+    return F.filter(F.split(F.col(text), "[" + fv.WHITESPACE + "]+"), lambda t: t != "")
+
+
+def bm25_stats(corpus: DataFrame, few_videos: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(videos, terms)``: size and mean length per video; document frequency and idf per term.
+
+    A negative idf becomes a quarter of the video's mean idf over all its terms. A chunk's terms are
+    made distinct inside its row, so frequencies are counted by plain partial aggregation. The tables
+    with one row per video are broadcast when the number of videos was checked to be small.
+    """
+    if few_videos is None:
+        few_videos = is_small(corpus.select("video_id").distinct())
+    rows = corpus.select("video_id", _tokens("text").alias("w"))
+    videos = rows.groupBy("video_id").agg(
+        F.count("*").alias("n_chunks"), (F.sum(F.size("w")) / F.count("*")).alias("avg_len")
+    )
+    freq = (
+        rows.select("video_id", F.explode(F.array_distinct("w")).alias("term"))
+        .groupBy("video_id", "term")
+        .agg(F.count("*").alias("df"))
+    )
+    n, df = F.col("n_chunks"), F.col("df")
+    raw = freq.join(hinted(videos.select("video_id", "n_chunks"), few_videos), "video_id").withColumn(
+        "raw", F.log(n - df + 0.5) - F.log(df + 0.5)
+    )
+    means = raw.groupBy("video_id").agg(F.avg("raw").alias("mean_idf"))
+    idf = F.when(F.col("raw") < 0, fv.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
+    terms = raw.join(hinted(means, few_videos), "video_id").select("video_id", "term", "df", idf.alias("idf"))
+    return videos, terms
+
+
+def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int = fv.FETCH_K) -> DataFrame:
+    """Okapi BM25 over all chunks of the asked video; ``k`` chunks per question even at score 0.
+
+    ``corpus``: ``video_id, chunk_id, text``; ``questions``: ``query_id, video_id, question``. Only
+    postings of asked terms are joined; a term asked twice counts twice. The asked side is broadcast
+    when its rows were counted to be few; beyond that it is a shuffle join, whose skewed terms
+    adaptive execution splits. The scored pairs are written once, since three steps read them.
+    """
+    few_videos = is_small(corpus.select("video_id").distinct())
+    asked = (
+        questions.select("query_id", "video_id", F.explode(_tokens("question")).alias("term"))
+        .groupBy("query_id", "video_id", "term")
+        .agg(F.count("*").alias("times"))
+    )
+    few_asked = is_small(asked)
+    videos, terms = bm25_stats(corpus, few_videos)
+    vocabulary = hinted(asked.select("video_id", "term").distinct(), few_asked)
+    postings = (
+        corpus.select("video_id", "chunk_id", _tokens("text").alias("w"))
+        .select("video_id", "chunk_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+        .join(vocabulary, ["video_id", "term"], "left_semi")
+        .groupBy("video_id", "chunk_id", "len", "term")
+        .agg(F.count("*").alias("tf"))
+    )
+    weighted = (
+        terms.join(hinted(asked, few_asked), ["video_id", "term"])
+        .join(hinted(videos, few_videos), "video_id")
+        .select("query_id", "video_id", "term", "times", "idf", "avg_len")
+    )
+    tf = F.col("tf")
+    norm = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * F.col("len") / F.col("avg_len"))
+    gain = F.col("times") * F.col("idf") * tf * (fv.BM25_K1 + 1) / (tf + norm)
+    shared_folder(corpus.sparkSession)
+    matched = (
+        postings.join(hinted(weighted, few_asked), ["video_id", "term"])
+        .groupBy("query_id", "video_id", "chunk_id")
+        .agg(F.round(F.sum(gain), 6).alias("score"))
+    ).checkpoint()
+    return top_k(matched.unionByName(_zero_scored(corpus, questions, matched, k, few_asked)), k)
+
+
+def _zero_scored(
+    corpus: DataFrame, questions: DataFrame, matched: DataFrame, k: int, few_questions: bool
+) -> DataFrame:
+    """First unmatched chunks of questions with fewer than ``k`` positive scores.
+
+    Among the first ``matched + k`` chunks of a video at least ``k`` are unmatched, so only those meet
+    the question. Videos without such a question drop out before anything is sorted.
+    """
+    hits = matched.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("positive"))
+    needy = (
+        questions.select("query_id", "video_id")
+        .join(hits, "query_id", "left")
+        .where(F.coalesce("positive", F.lit(0)) < k)
+        .select("query_id", "video_id", (F.coalesce("n", F.lit(0)) + k).alias("upto"))
+    )
+    reach = needy.groupBy("video_id").agg(F.max("upto").alias("reach"))
+    ids = corpus.select("video_id", "chunk_id").join(hinted(reach, few_questions), "video_id")
+    many = many_blocks(corpus, "chunk_id")
+    placed = dense_position(ids, ["video_id"], ["chunk_id"], block_of("chunk_id"), "pos", many)
+    return (
+        placed.where(F.col("pos") < F.col("reach"))
+        .join(hinted(needy, few_questions), "video_id")
+        .where(F.col("pos") < F.col("upto"))
+        .select("query_id", "video_id", "chunk_id")
+        .join(matched, ["query_id", "video_id", "chunk_id"], "left_anti")
+        .withColumn("score", F.lit(0.0))
+    )
+
+
+# ---- fusion ------------------------------------------------------------------------------------
+def rrf_fuse(ranked: DataFrame, k: int = fv.RRF_K, final_k: int = fv.FINAL_K) -> DataFrame:
+    """Reciprocal rank fusion on chunk text (``query_id, video_id, chunk_id, list, rank, text``).
+
+    Equal texts add up, also within one list; ties keep the order of first appearance. The shuffle
+    carries at most the ranked rows of each query.
+    """
+    seen = F.struct("list", "rank")
+    fused = ranked.groupBy("query_id", "video_id", "text").agg(
+        F.round(F.sum(1.0 / (k + F.col("rank") + 1)), 9).alias("score"),
+        F.min(seen).alias("first_seen"),
+        F.max_by("chunk_id", seen).alias("chunk_id"),
+    )
+    return top_k(fused, final_k, "first_seen").drop("first_seen")
+
+
+def hybrid_retrieve(
+    corpus: DataFrame,
+    questions: DataFrame,
+    fetch_k: int = fv.FETCH_K,
+    final_k: int = fv.FINAL_K,
+    threshold: float = fv.SIMILARITY_THRESHOLD,
+) -> DataFrame:
+    """Dense and sparse rankings, fused (``corpus``: chunk text and ``vec``; ``questions``: text and ``vec``)."""
+    texts = corpus.select("video_id", "chunk_id", "text")
+    dense = dense_threshold(nearest(corpus, questions, fetch_k), threshold)
+    sparse = bm25_topk(texts, questions, fetch_k)
+    both = dense.withColumn("list", F.lit(0)).unionByName(sparse.withColumn("list", F.lit(1))).drop("score")
+    return rrf_fuse(both.join(texts, ["video_id", "chunk_id"]), final_k=final_k)
+
+
+# ---- encoders and approximate search -------------------------------------------------------------
+def hash_vectors(df: DataFrame, text: str = "text", dims: int = 256) -> DataFrame:
+    """Default encoder: hashed term counts, unit length, in the JVM."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    counted = HashingTF(numFeatures=dims, inputCol="_w", outputCol="_tf").transform(df.withColumn("_w", _tokens(text)))
+    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
+    return unit.withColumn("vec", vector_to_array("_unit", "float32")).drop("_w", "_tf", "_unit")
+
+
+def embed_chunks(
+    chunks: DataFrame,
+    provider: str,
+    model: str,
+    make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
+) -> DataFrame:
+    """Add ``vec`` and the provider stamp. ``make_encoder`` runs once per task and encodes batches."""
+    if make_encoder is None:
+        encoded = hash_vectors(chunks)
+    else:
+
+        @F.pandas_udf("array<float>")
+        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            encoder = make_encoder()
+            for batch in batches:
+                yield pd.Series(list(np.asarray(encoder(batch.tolist()), dtype="float32")))
+
+        encoded = chunks.withColumn("vec", encode("text"))
+    return encoded.withColumns({"embedding_provider": F.lit(provider), "embedding_model": F.lit(model)})
+
+
+def ann_topk(
+    chunks: DataFrame, queries: DataFrame, k: int, tables: int = 8, bucket: float = 1.0, seed: int = 7
+) -> DataFrame:
+    """Approximate neighbours: random projections choose candidates, exact cosine ranks them.
+
+    Candidates share a projection bucket inside their video. Each bucket goes through ``nearest``, so
+    a crowded bucket is split and never emits its pairs.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    def features(df: DataFrame) -> DataFrame:
+        return df.withColumn("_f", array_to_vector(F.col("vec").cast("array<double>")))
+
+    lsh = BucketedRandomProjectionLSH(
+        inputCol="_f", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed
+    )
+    model = lsh.fit(features(chunks))
+
+    def hashed(df: DataFrame, own: str) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        rows = model.transform(features(df)).select("video_id", own, "vec", F.posexplode("_h").alias("table", "_v"))
+        return rows.select("video_id", own, "vec", "table", vector_to_array("_v")[0].cast("long").alias("bucket"))
+
+    return nearest(hashed(chunks, "chunk_id"), hashed(queries, "query_id"), k, ("video_id", "table", "bucket"))
+
+
+# ---- context -----------------------------------------------------------------------------------
+def build_context(
+    questions: DataFrame, ranked: DataFrame, summaries: DataFrame, web: DataFrame, histories: DataFrame
+) -> DataFrame:
+    """Context text per question; absent parts are left out.
+
+    ``ranked``: final chunks with ``rank, text``; ``summaries``: ``video_id, summary``; ``web``:
+    ``query_id, block``; ``histories``: ``query_id, history``.
+    """
+    gathered = F.sort_array(F.collect_list(F.struct("rank", "text")))
+    quoted = ranked.groupBy("query_id").agg(
+        F.array_join(F.transform(gathered, lambda x: x["text"]), "\n\n").alias("chunks")
+    )
+    summary = F.substring(strip(F.coalesce("summary", F.lit(""))), 1, fv.SUMMARY_CONTEXT_CHARS)
+
+    def part(head: str, body: Column) -> Column:
+        return F.when(body != "", F.concat(F.lit(head), body))
+
+    text = F.concat_ws(
+        "\n\n",
+        F.lit(fv.CONTEXT_POLICY),
+        part(fv.CONTEXT_SUMMARY, summary),
+        F.concat(F.lit(fv.CONTEXT_CHUNKS), F.coalesce("chunks", F.lit(fv.CONTEXT_NO_CHUNKS))),
+        part(fv.CONTEXT_WEB, F.col("block")),
+        part(fv.CONTEXT_HISTORY, F.col("history")),
+        F.concat(F.lit(fv.CONTEXT_QUESTION), F.col("question")),
+    )
+    return (
+        questions.join(quoted, "query_id", "left")
+        .join(summaries, "video_id", "left")
+        .join(web, "query_id", "left")
+        .join(histories, "query_id", "left")
+        .select("query_id", text.alias("context"))
+    )
+
+
+def length_buckets(items: DataFrame, batch_size: int) -> DataFrame:
+    """Batches of items of similar length per video (``video_id, seg_idx, seconds``), shortest first.
+
+    Ranks by whole milliseconds; the result is also laid out by length for a following task-wise
+    encoder.
+    """
+    timed = items.withColumn("_ms", F.round(F.col("seconds") * 1000).cast("long"))
+    ranked = value_rank(timed, ["video_id"], "_ms", "seg_idx")
+    return (
+        ranked.withColumn("batch_no", F.floor(F.col("rank") / batch_size).cast("long"))
+        .drop("_ms")
+        .repartitionByRange("video_id", "rank")
+        .sortWithinPartitions("video_id", "rank")
+    )

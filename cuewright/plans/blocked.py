@@ -166,6 +166,27 @@ def dense_position(
     return numbered.drop("_blk")
 
 
+def value_rank(
+    df: DataFrame, keys: Sequence[str], value: str, tie: str, *, descending: bool = False, name: str = "rank"
+) -> DataFrame:
+    """0-based rank by ``value`` per key, ties by the index ``tie``, without a window over a whole key.
+
+    The rows with a smaller value are counted from one row per distinct value; equal values are
+    numbered in blocks of ``tie``. Suits values with few distinct levels, such as milliseconds.
+    """
+    keys = list(keys)
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    levels = (
+        df.groupBy(*keys, value)
+        .agg(F.count("*").alias("_same"))
+        .select(*keys, value, F.coalesce(F.sum("_same").over(before), F.lit(0)).alias("_ahead"))
+    )
+    many = many_blocks(df, tie)
+    placed = dense_position(df, [*keys, value], [tie], block_of(tie), "_tie", many)
+    return placed.join(levels, [*keys, value]).withColumn(name, F.col("_ahead") + F.col("_tie")).drop("_ahead", "_tie")
+
+
 def ordered_text(
     df: DataFrame,
     keys: Sequence[str],

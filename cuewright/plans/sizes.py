@@ -15,6 +15,11 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def hinted(df: DataFrame, small: bool) -> DataFrame:
+    """Hint a broadcast for a side whose bound was checked on the table it derives from."""
+    return F.broadcast(df) if small else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when the row count was checked; otherwise leave a shuffle join."""
     return F.broadcast(df) if is_small(df, max_rows) else df
