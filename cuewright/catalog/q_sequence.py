@@ -63,7 +63,7 @@ def recogniser(spark, sf):
     before = line.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     tokens = (
         lines.where(~F.col("no_words"))
-        .select("video_id", "line_idx", "start_ms", F.posexplode(F.split("line", r"\s+")).alias("pos", "word"))
+        .select("video_id", "line_idx", "start_ms", F.posexplode_outer(F.split("line", r"\s+")).alias("pos", "word"))
         .withColumn("begin", F.col("start_ms") + 50 * F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)))
     )
     timed = F.struct(

@@ -17,6 +17,8 @@ DAY = 86_400
 WIDE_TEXT = ("documents",)
 
 
+# A generator that is not "outer" makes Spark test its argument in a filter as well, which would
+# tokenise every text twice; hence the outer generators here and in the operators.
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A provided table; one stored in fewer files than there are cores is spread before use."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
@@ -183,7 +185,7 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "documents")
         .select(
             F.concat(F.lit("d"), F.col("doc_id")).alias("video_id"),
-            F.posexplode(F.split(F.btrim("text", F.lit(" \n\t\r")), r"\s+")).alias("word_idx", "word"),
+            F.posexplode_outer(F.split(F.btrim("text", F.lit(" \n\t\r")), r"\s+")).alias("word_idx", "word"),
         )
         .where(F.col("word") != "")
         .withColumns({"word_idx": F.col("word_idx").cast("long"), "dur_ms": (60 * F.length("word") + 40).cast("long")})
@@ -218,7 +220,7 @@ SQL_VIEWS["v_lines"] = """
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("video_id"),
-        F.posexplode(F.split("text", "\n")).alias("line_idx", "line"),
+        F.posexplode_outer(F.split("text", "\n")).alias("line_idx", "line"),
     ).withColumns({"line_idx": F.col("line_idx").cast("long"), "dur_ms": (50 * F.length("line")).cast("long")})
     gap = F.when(F.col("line_idx") % 3 == 0, 0).when(F.col("line_idx") % 3 == 1, 500).otherwise(2500)
     return running(

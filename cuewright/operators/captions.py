@@ -41,7 +41,7 @@ def pseudo_words(cue_rows: DataFrame) -> DataFrame:
         "event_idx",
         F.col("start").alias("cue_start"),
         F.greatest("duration", F.lit(fv.MIN_CUE_SECONDS)).alias("cue_dur"),
-        F.posexplode(F.split(squeeze(F.col("text")), " ")).alias("pos", "word"),
+        F.posexplode_outer(F.split(squeeze(F.col("text")), " ")).alias("pos", "word"),
     ).where(F.col("word") != "")
     cue = Window.partitionBy("video_id", "event_idx")
     upto = cue.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -82,7 +82,7 @@ def description_chapters(descriptions: DataFrame) -> DataFrame:
     listed = descriptions.select("video_id", "duration", usable.alias("_items")).where(
         F.try_element_at("_items", F.lit(1))["start"] == 0
     )
-    rows = listed.select("video_id", "duration", F.posexplode("_items").alias("pos", "i")).select(
+    rows = listed.select("video_id", "duration", F.posexplode_outer("_items").alias("pos", "i")).select(
         "video_id",
         F.col("pos").cast("long").alias("pos"),
         F.col("i.start").alias("start"),

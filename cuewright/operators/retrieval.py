@@ -14,7 +14,7 @@ from cuewright import fixed_values as fv
 from cuewright.functions.text import domain_of, strip
 from cuewright.plans.blocked import block_of, dense_position, many_blocks, value_rank
 from cuewright.plans.sizes import broadcast_if_small, hinted, is_small
-from cuewright.session import shared_folder
+from cuewright.session import written_once
 
 
 # ---- web results -----------------------------------------------------------------------------
@@ -166,7 +166,8 @@ def bm25_stats(corpus: DataFrame, few_videos: bool | None = None) -> tuple[DataF
         F.count("*").alias("n_chunks"), (F.sum(F.size("w")) / F.count("*")).alias("avg_len")
     )
     freq = (
-        rows.select("video_id", F.explode(F.array_distinct("w")).alias("term"))
+        rows.select("video_id", F.explode_outer(F.array_distinct("w")).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("video_id", "term")
         .agg(F.count("*").alias("df"))
     )
@@ -199,7 +200,9 @@ def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int = fv.FETCH_K) -> D
     vocabulary = hinted(asked.select("video_id", "term").distinct(), few_asked)
     postings = (
         corpus.select("video_id", "chunk_id", _tokens("text").alias("w"))
-        .select("video_id", "chunk_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+        # The length is taken below the generator, else every term row would drag the whole array.
+        .withColumn("len", F.size("w"))
+        .select("video_id", "chunk_id", "len", F.explode_outer("w").alias("term"))
         .join(vocabulary, ["video_id", "term"], "left_semi")
         .groupBy("video_id", "chunk_id", "len", "term")
         .agg(F.count("*").alias("tf"))
@@ -212,12 +215,12 @@ def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int = fv.FETCH_K) -> D
     tf = F.col("tf")
     norm = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * F.col("len") / F.col("avg_len"))
     gain = F.col("times") * F.col("idf") * tf * (fv.BM25_K1 + 1) / (tf + norm)
-    shared_folder(corpus.sparkSession)
-    matched = (
+    matched = written_once(
         postings.join(hinted(weighted, few_asked), ["video_id", "term"])
         .groupBy("query_id", "video_id", "chunk_id")
-        .agg(F.round(F.sum(gain), 6).alias("score"))
-    ).checkpoint()
+        .agg(F.round(F.sum(gain), 6).alias("score")),
+        "matched",
+    )
     return top_k(matched.unionByName(_zero_scored(corpus, questions, matched, k, few_asked)), k)
 
 

@@ -40,7 +40,8 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     lines = F.filter(F.split(strip(F.col("response")), r"\r\n|\n|\r"), lambda x: x.rlike(NUMBERED_LINE))
     return (
         responses.withColumn("batch_name", batch_name(strip(F.col("response"))))
-        .select("*", F.posexplode(lines).alias("line_no", "_line"))
+        .select("*", F.posexplode_outer(lines).alias("line_no", "_line"))
+        .where(F.col("_line").isNotNull())
         .withColumns(
             {
                 "line_no": F.col("line_no").cast("long"),

@@ -12,7 +12,7 @@ number is a monotone function of the order column, so a hot video spreads over m
 
 Which form is needed is a checked size: ``many_blocks`` reads the largest index position, a scan
 without a shuffle that prunes to the position column. In the two-level form the input is written
-once to the checkpoint folder, so chained scans do not recompute each other.
+once to the shared folder, so chained scans do not recompute each other.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.session import shared_folder
+from cuewright.session import written_once
 
 # Index positions per block. 65 536 rows fit a task easily; a video of 10^10 rows still has only
 # about 150 000 block totals for the upper window.
@@ -116,8 +116,7 @@ def running(
     if not many:
         return df.withColumns({n: over[kind](e) for n, (kind, e) in specs.items()})
 
-    shared_folder(df.sparkSession)
-    df = df.checkpoint()
+    df = written_once(df, "running")
     above = Window.partitionBy(*keys).orderBy(block_order).rowsBetween(Window.unboundedPreceding, -1)
     rank = F.struct(*order)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.plans.blocked import BLOCK_ROWS, many_blocks, with_halo
-from cuewright.session import shared_folder
+from cuewright.session import written_once
 
 SUPER_BLOCK = 1024
 
@@ -96,8 +96,7 @@ def run_fold(
     if not many:
         return rows.mapInPandas(emit, out_type)
 
-    shared_folder(df.sparkSession)
-    rows = rows.checkpoint()
+    rows = written_once(rows, "fold-rows")
     step_type = T.StructType(key_fields + T._parse_datatype_string("_blk long, entry long, leave long").fields)
 
     def transitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +111,7 @@ def run_fold(
             pairs = [(*owner, s, worker.fold(block, low, high, s, None)) for s in states]
             yield pd.DataFrame(pairs, columns=step_type.names)
 
-    maps = _sorted(rows, part, pos).mapInPandas(transitions, step_type).checkpoint()
+    maps = written_once(_sorted(rows, part, pos).mapInPandas(transitions, step_type), "fold-maps")
     entry = _entry_states(maps, keys, fold.initial)
     known = rows.join(entry, part)
     return _sorted(known, part, pos).mapInPandas(emit, out_type)
