@@ -239,7 +239,7 @@ def active_segment(spark, sf):
     probes = views.table(spark, sf, "events").select(
         F.col("event_id").alias("probe_id"),
         F.concat(F.lit("v"), F.col("user_id") % 16).alias("video_id"),
-        (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000) % 60000 / 1000.0).alias("t"),
+        (F.floor(views.micros("ts") / 1000) % 60000 / 1000.0).alias("t"),
     )
     return player.active_segment(views.segments(spark, sf), probes)
 

@@ -406,6 +406,11 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def micros(column: str):
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
+
+
 # ---- events -----------------------------------------------------------------------------------
 SQL_VIEWS["v_events"] = """
   SELECT 'u' || user_id AS video_id, event_id, event_type, value, props, ts, epoch_us(ts) AS ts_us FROM events
@@ -420,7 +425,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
         "value",
         "props",
         "ts",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        micros("ts").alias("ts_us"),
     )
 
 
