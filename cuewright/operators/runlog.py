@@ -59,7 +59,6 @@ class ThrottleFold:
     """Emit a percentage only when it is at least ``step`` above the last one emitted (state)."""
 
     columns = ("percent",)
-    output = ("pos", "percent")
     before = after = 0
     initial = -1
 
@@ -70,11 +69,11 @@ class ThrottleFold:
         return range(-1, 100)
 
     def fold(self, rows, low, high, state, out):
-        for position, percent in zip(rows["pos"], rows["percent"]):
+        for i, percent in enumerate(rows["percent"].tolist()):
             if percent >= state + self.step:
-                state = int(percent)
+                state = percent
                 if out is not None:
-                    out.append((int(position), state))
+                    out.append((i, percent))
         return state
 
 
@@ -86,5 +85,5 @@ def progress_throttle(progress: DataFrame, step: int = 2, **fold_options) -> Dat
     raw = (F.col("end") * 100 / total).cast("long")
     percents = progress.withColumn("percent", F.greatest(F.lit(0), F.least(F.lit(99), raw)))
     return run_fold(
-        percents, ["video_id"], "pos", lambda: ThrottleFold(step), "at_pos long, percent long", **fold_options
+        percents, ["video_id"], "pos", lambda: ThrottleFold(step), "percent long", keep=["pos"], **fold_options
     )

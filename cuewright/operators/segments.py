@@ -26,7 +26,6 @@ class MergeFold:
     """
 
     columns = ("size", "near")
-    output = ("seg_idx", "opens")
     before = after = 0
     initial = -1
 
@@ -37,11 +36,11 @@ class MergeFold:
         return range(self.max_chars + 2)
 
     def fold(self, rows, low, high, state, out):
-        for position, size, near in zip(rows["seg_idx"], rows["size"], rows["near"]):
+        for i, (size, near) in enumerate(zip(rows["size"].tolist(), rows["near"].tolist())):
             joins = state >= 0 and near and state + size <= self.max_chars
-            state = min(self.max_chars + 1, (state if joins else 0) + int(size))
+            state = min(self.max_chars + 1, (state if joins else 0) + size)
             if out is not None:
-                out.append((int(position), not joins))
+                out.append((i, not joins))
         return state
 
 
@@ -59,33 +58,35 @@ def merge_segments(
     near = F.coalesce(F.abs(F.col("start") - previous_end) <= gap_seconds, F.lit(False))
     prepared = drop_halo(
         with_halo(segments, "seg_idx", before=1, size=size, many=many).withColumns(
-            {"near": near, "size": F.length(spoken)}
+            {
+                "near": near,
+                "size": F.length(spoken),
+                "shown": strip(shown),
+                "tts": strip(F.coalesce("text_tts", F.lit(""))),
+            }
         )
-    ).drop("_blk")
-    marks = run_fold(
-        prepared.select("video_id", "seg_idx", "size", "near"),
+    )
+    member = ["seg_idx", "shown", "tts", "start", "duration"]
+    marked = run_fold(
+        prepared.select("video_id", "size", "near", *member),
         ["video_id"],
         "seg_idx",
         lambda: MergeFold(max_chars),
-        "seg_idx long, opens boolean",
+        "opens boolean",
+        keep=member,
         size=size,
         many=many,
     )
     grouped = running(
-        prepared.join(marks, ["video_id", "seg_idx"]).withColumn("_blk", block_of("seg_idx", size)),
+        marked.withColumn("_blk", block_of("seg_idx", size)),
         ["video_id"],
         ["seg_idx"],
         {"group_start": ("last", F.when(F.col("opens"), F.col("seg_idx")))},
         many=many,
     )
-    member = F.struct(
-        "seg_idx",
-        strip(shown).alias("shown"),
-        strip(F.coalesce("text_tts", F.lit(""))).alias("tts"),
-        "start",
-        "duration",
+    gathered = grouped.groupBy("video_id", "group_start").agg(
+        F.sort_array(F.collect_list(F.struct(*member))).alias("m")
     )
-    gathered = grouped.groupBy("video_id", "group_start").agg(F.sort_array(F.collect_list(member)).alias("m"))
     first, last = F.element_at("m", 1), F.element_at("m", -1)
     return gathered.select(
         "video_id",

@@ -57,7 +57,6 @@ class BatchFold:
     """Fill a batch up to a line and a character limit; the state is the batch's first line."""
 
     columns = ("size",)
-    output = ("seg_idx", "line_no", "opens")
     before = initial = 0
 
     def __init__(self, lines: int, chars: int):
@@ -67,9 +66,8 @@ class BatchFold:
         return range(low, low + self.lines + 1)
 
     def fold(self, rows, low, high, state, out):
-        first = int(rows["seg_idx"].iloc[0])
-        sizes = rows["size"].to_numpy()
-        at, count = state - first, len(rows)
+        first, sizes = int(rows["seg_idx"][0]), rows["size"]
+        at, count = state - first, len(sizes)
         while at < high - first:
             stop = min(at + self.lines, count)
             numbers = np.arange(1, stop - at + 1)
@@ -78,7 +76,7 @@ class BatchFold:
             taken = max(1, int(np.searchsorted(used, self.chars, side="right"))) if self.chars else stop - at
             taken = min(taken, stop - at)
             if out is not None:
-                out.extend((first + at + k, k + 1, k == 0) for k in range(taken))
+                out.extend((at + k, k + 1, k == 0) for k in range(taken))
             at += taken
         return first + at
 
@@ -100,18 +98,18 @@ def batch_lines(
         )
     else:
         many = many_blocks(bodies, "seg_idx", size)
-        sized = bodies.select("video_id", "seg_idx", F.length("body").alias("size"))
-        marks = run_fold(
-            sized,
+        marked = run_fold(
+            bodies.withColumn("size", F.length("body")),
             ["video_id"],
             "seg_idx",
             lambda: BatchFold(batch_size, max_chars),
-            "seg_idx long, line_no long, opens boolean",
+            "line_no long, opens boolean",
+            keep=[c for c in bodies.columns if c != "video_id"],
             size=max(size, batch_size),
             many=many,
         )
         placed = running(
-            bodies.join(marks, ["video_id", "seg_idx"]).withColumn("_blk", block_of("seg_idx", size)),
+            marked.withColumn("_blk", block_of("seg_idx", size)),
             ["video_id"],
             ["seg_idx"],
             {"batch_no": ("sum", F.col("opens").cast("long"))},
