@@ -279,9 +279,8 @@ def density_check(spark, sf):
     m = F.col("seg_idx") % 4
     given = F.when(m == 0, F.col("start_ms") / 5000.0).when(m == 1, F.col("duration"))
     budget = F.when(m == 2, 20 + F.col("seg_idx"))
-    report = views.segments(spark, sf).select(
-        "video_id", "seg_idx", num.density(F.col("text"), given, budget).alias("r")
-    )
+    counted = views.segments(spark, sf).withColumn("units", txt.spoken_units(F.col("text")))
+    report = counted.select("video_id", "seg_idx", num.density(F.col("units"), given, budget).alias("r"))
     fields = "duration density min_units target_units base_max_units tolerance_units max_units".split()
     return report.select(
         "video_id",

@@ -69,14 +69,16 @@ def budget_label(budget: Column) -> Column:
     return F.format_string("[%d-%d tiếng]", low, _ceiling(base))
 
 
-def density(text: Column, duration: Column, budget: Column | None = None) -> Column:
-    """Density report of a spoken text; all fields null without a positive duration."""
+def density(units: Column, duration: Column, budget: Column | None = None) -> Column:
+    """Density report of a spoken text of ``units`` syllables; null fields without a positive duration.
+
+    ``units`` should be a column of its own: the report reads it several times.
+    """
     if budget is not None:
         duration = F.coalesce(
             duration,
             F.when(budget != 0, F.greatest(F.lit(0.1), budget / fv.SOURCE_UNITS_PER_SEC)),
         )
-    units = spoken_units(text)
     ok = duration > 0
     low = F.greatest(F.lit(1).cast("long"), F.floor(duration * fv.MIN_UNITS_PER_SEC))
     target = F.greatest(F.lit(2).cast("long"), F.bround(duration * fv.TARGET_UNITS_PER_SEC).cast("long"))

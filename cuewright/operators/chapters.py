@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuewright.functions.text import squeeze
 from cuewright.plans.blocked import block_of, many_blocks, running
+from cuewright.session import written_once
 
 STAMPED_LINE = r"^\s*((?:\d{1,2}:)?\d{1,2}:\d{2})(?:\s*[-–—|]\s*|\s{2,}|\s+)(.+?)\s*$"
 
@@ -90,7 +91,8 @@ def description_chapters(descriptions: DataFrame) -> DataFrame:
         F.col("i.title").alias("title"),
         "duration",
     )
-    return normalize_chapters(rows)
+    # The chapter rows are read several times and are far smaller than the descriptions.
+    return normalize_chapters(written_once(rows, "described"))
 
 
 def chapters(raw: DataFrame, descriptions: DataFrame) -> DataFrame:

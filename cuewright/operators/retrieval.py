@@ -82,7 +82,9 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, keys: Sequence[str] =
         mine = F.pmod(F.xxhash64(own_id), F.coalesce(own_name, one)).cast("int")
         theirs = F.explode(F.sequence(F.lit(0), F.coalesce(other_name, one) - 1))
         names = ("_cb", "_qb") if own_name == "_cn" else ("_qb", "_cb")
-        return both.select(*keys, own_id, "vec", mine.alias(names[0]), theirs.alias(names[1]))
+        # Aliased afresh: chunks and queries may stem from the same table.
+        own_columns = [F.col(c).alias(c) for c in (*keys, own_id, "vec")]
+        return both.select(*own_columns, mine.alias(names[0]), theirs.alias(names[1]))
 
     left = cut(chunks, many_chunks, "_cn", "chunk_id", many_queries, "_qn")
     right = cut(queries, many_queries, "_qn", "query_id", many_chunks, "_cn")

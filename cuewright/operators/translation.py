@@ -181,7 +181,7 @@ def normalize_segments(
         {"_written": spoken_units(F.col("_p.vi")), "_spoken": spoken_units(F.col("_p.tts"))}
     ).withColumn("_extra", F.greatest(F.lit(0).cast("long"), F.col("_spoken") - F.col("_written")))
     effective = F.when(budget != 0, budget + F.col("_extra"))
-    judged = counted.withColumn("_d", num.density(F.col("_p.tts"), duration, effective))
+    judged = counted.withColumn("_d", num.density(F.col("_spoken"), duration, effective))
     report = F.struct(
         F.lit(engine).alias("engine"),
         F.lit(fv.NORMALIZATION_VERSION).alias("version"),

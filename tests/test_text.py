@@ -30,7 +30,7 @@ def test_spoken_units(spark):
 
 
 def test_density_pinned(spark):
-    rows = spark.createDataFrame([(" ".join(["ta"] * 15), 18), (" ".join(["ta"] * 15), 11)], "t string, b long")
+    rows = spark.createDataFrame([(15, 18), (15, 11)], "t long, b long")
     a, b = [r.d for r in rows.select(num.density(F.col("t"), F.lit(None).cast("double"), F.col("b")).alias("d")).collect()]
     assert (a.min_units, a.target_units, a.base_max_units, a.tolerance_units, a.max_units, len(a.warnings)) == (9, 14, 15, 6, 21, 0)
     assert b.max_units == 13 and len(b.warnings) == 1
