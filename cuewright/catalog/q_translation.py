@@ -139,6 +139,23 @@ def translation_batches(spark, sf):
     return translation.translation_batches(translation.batch_lines(bodies, fv.API_BATCH_SIZE, fv.API_MAX_CHARS))
 
 
+@query(
+    "translation_batches_by_chars",
+    """SELECT video_id, seg_idx, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING)::BIGINT AS batch_no, k AS line_no
+       FROM v_filled""",
+)
+def translation_batches_by_chars(spark, sf):
+    lines = translation.batch_lines(_plain_bodies(spark, sf), 8, 400)
+    return lines.select("video_id", "seg_idx", "batch_no", "line_no")
+
+
+SQL_VIEWS["v_filled"] = """
+  SELECT video_id, line_idx AS seg_idx, 1::BIGINT AS k, length(line) + 4 AS total FROM v_lines WHERE line_idx = 0
+  UNION ALL
+  SELECT l.video_id, l.line_idx, CASE WHEN f.k < 8 AND f.total + length(line) + 4 <= 400 THEN f.k + 1 ELSE 1 END,
+    CASE WHEN f.k < 8 AND f.total + length(line) + 4 <= 400 THEN f.total + length(line) + 4 ELSE length(line) + 4 END
+  FROM v_filled f JOIN v_lines l ON l.video_id = f.video_id AND l.line_idx = f.seg_idx + 1
+"""
 SQL_VIEWS["v_batches"] = """
   SELECT video_id, line_idx // 5 + 1 AS batch_no, '[batch_' || (line_idx // 5 + 1) || ']' || chr(10) || chr(10)
       || string_agg((line_idx % 5 + 1) || '. ' || line, chr(10) ORDER BY line_idx) AS data FROM v_lines GROUP BY video_id, line_idx // 5

@@ -26,12 +26,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _needed(sql: str, seen: list[str]) -> list[str]:
+def _needed(sql: str, seen: list[str], inside: tuple[str, ...] = ()) -> list[str]:
+    """Views used by ``sql``, each after the views it uses itself; a view may name itself (recursion)."""
     for view, body in SQL_VIEWS.items():
-        if view not in seen and re.search(rf"\b{view}\b", sql):
-            _needed(body, seen)
-            if view not in seen:
-                seen.append(view)
+        if view not in seen and view not in inside and re.search(rf"\b{view}\b", sql):
+            _needed(body, seen, (*inside, view))
+            seen.append(view)
     return seen
 
 
@@ -40,8 +40,9 @@ def full_sql(sql: str) -> str:
     views = _needed(sql, [])
     if not views:
         return sql
+    recursive = "RECURSIVE " if any(re.search(rf"\b{v}\b", SQL_VIEWS[v]) for v in views) else ""
     ctes = ",\n".join(f"{v} AS ({SQL_VIEWS[v].strip()})" for v in views)
     if sql.lstrip().upper().startswith("WITH "):
         rest = sql.lstrip()[5:]
-        return f"WITH {ctes},\n{rest}"
-    return f"WITH {ctes}\n{sql}"
+        return f"WITH {recursive}{ctes},\n{rest}"
+    return f"WITH {recursive}{ctes}\n{sql}"

@@ -279,17 +279,16 @@ def retry_split(lines: DataFrame, min_lines: int = fv.RETRY_MIN_LINES) -> DataFr
 def retry_merge(lines: DataFrame) -> DataFrame:
     """Lines of all parts of a batch back in order, renumbered from 1 (``batch_key, path, line_no``).
 
-    Offsets come from one row per part, so no task sorts a whole batch of parts.
+    A part's lines are numbered from 1 already, so the offset of its part is all that is missing; it
+    comes from one row per part.
     """
     sizes = lines.groupBy("batch_key", "path").agg(F.count("*").alias("n"))
     before = Window.partitionBy("batch_key").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("batch_key", "path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy("batch_key", "path").orderBy("line_no"))
     return (
-        lines.withColumn("_k", within)
-        .join(offsets, ["batch_key", "path"])
-        .withColumn("merged_no", (F.col("_offset") + F.col("_k")).cast("long"))
-        .drop("_offset", "_k")
+        lines.join(offsets, ["batch_key", "path"])
+        .withColumn("merged_no", (F.col("_offset") + F.col("line_no")).cast("long"))
+        .drop("_offset")
     )
 
 
