@@ -43,7 +43,7 @@ def silence_runs(samples: DataFrame, sample_rate: int, silence_db: float = fv.SI
     level = frames.groupBy("clip_id").agg((F.greatest(F.max("rms"), F.lit(1e-6)) * 10 ** (silence_db / 20)).alias("limit"))
     quiet = frames.join(broadcast_if_small(level), "clip_id").withColumn("_quiet", F.col("rms") < F.col("limit"))
     many = many_blocks(samples, F.floor(F.col("i") / frame))
-    before = F.lag("_quiet").over(block_window(["clip_id"], "frame_idx"))
+    before = F.lag("_quiet").over(block_window(["clip_id"], "frame_idx", many=many))
     edges = drop_halo(
         with_halo(quiet, "frame_idx", before=1, many=many).withColumn(
             "_opens", F.col("_quiet") & ~F.coalesce(before, F.lit(False))

@@ -54,7 +54,9 @@ def merge_segments(
     many = many_blocks(segments, "seg_idx", size)
     spoken = F.coalesce(filled(F.col("text_tts")), filled(F.col("text_vi")), filled(F.col("text")), F.lit(""))
     shown = F.coalesce(filled(F.col("text_vi")), filled(F.col("text_tts")), filled(F.col("text")), F.lit(""))
-    previous_end = F.lag(F.col("start") + F.col("duration")).over(block_window(["video_id"], "seg_idx"))
+    previous_end = F.lag(F.col("start") + F.col("duration")).over(
+        block_window(["video_id"], "seg_idx", many=many)
+    )
     near = F.coalesce(F.abs(F.col("start") - previous_end) <= gap_seconds, F.lit(False))
     prepared = drop_halo(
         with_halo(segments, "seg_idx", before=1, size=size, many=many).withColumns(
@@ -114,8 +116,9 @@ def reference_window(segments: DataFrame) -> DataFrame:
     length = F.greatest(F.lit(0.0), F.coalesce("duration", F.lit(0.0)))
     item = F.struct(F.col("start").alias("s"), (F.col("start") + length).alias("e"), text.alias("t"))
     ahead = fv.REFERENCE_SEGMENTS - 1
-    frame = block_window(["video_id"], "seg_idx").rowsBetween(Window.currentRow, ahead)
-    prepared = with_halo(segments.withColumns({"_item": item, "_len": length}), "seg_idx", after=ahead)
+    many = many_blocks(segments, "seg_idx")
+    frame = block_window(["video_id"], "seg_idx", many=many).rowsBetween(Window.currentRow, ahead)
+    prepared = with_halo(segments.withColumns({"_item": item, "_len": length}), "seg_idx", after=ahead, many=many)
     near = drop_halo(prepared.withColumn("_items", F.collect_list("_item").over(frame)))
 
     best_type = "struct<score:double,duration:double,text:string>"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright import fixed_values as fv
-from cuewright.plans.blocked import block_window, drop_halo, with_halo
+from cuewright.plans.blocked import block_window, drop_halo, many_blocks, with_halo
 
 FLAT_PAIRS = {
     "playback_tts": ("tts_playback_start", "tts_playback_end"),
@@ -22,8 +22,9 @@ def _pair(start: Column, end: Column) -> Column:
 
 def source_range(segments: DataFrame) -> DataFrame:
     """Add ``src_start`` / ``src_end``: a line lasts until the next line starts."""
-    ahead = with_halo(segments, "seg_idx", after=1)
-    following = F.lead("start").over(block_window(["video_id"], "seg_idx"))
+    many = many_blocks(segments, "seg_idx")
+    ahead = with_halo(segments, "seg_idx", after=1, many=many)
+    following = F.lead("start").over(block_window(["video_id"], "seg_idx", many=many))
     end = F.coalesce(F.col("_next"), F.col("start") + F.col("duration"))
     return (
         drop_halo(ahead.withColumn("_next", following))

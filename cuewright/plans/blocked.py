@@ -56,7 +56,7 @@ def with_halo(
         many = many_blocks(df, idx, size)
     home = block_of(idx, size)
     if not many:
-        return df.withColumns({"_blk": home, "_core": F.lit(True)})
+        return df.withColumns({"_blk": F.lit(0).cast("long"), "_core": F.lit(True)})
     offset = F.col(idx) % F.lit(size)
     copies = [F.struct(home.alias("blk"), F.lit(True).alias("core"))]
     if before:
@@ -74,9 +74,13 @@ def with_halo(
     return exploded.withColumns({"_blk": F.col("_copy.blk"), "_core": F.col("_copy.core")}).drop("_copy")
 
 
-def block_window(keys: Sequence[str], *order: Column | str):
-    """Window over one block; use with rows prepared by ``with_halo``."""
-    return Window.partitionBy(*keys, "_blk").orderBy(*order)
+def block_window(keys: Sequence[str], *order: Column | str, many: bool):
+    """Window over one block; use with rows prepared by ``with_halo``.
+
+    Keys that fit one block are partitioned by the key alone, so chained operators share one shuffle
+    and one sort.
+    """
+    return Window.partitionBy(*keys, *(["_blk"] if many else [])).orderBy(*order)
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
@@ -101,7 +105,7 @@ def running(
     """
     if many is None:
         many = many_blocks(df, "_blk", 1)
-    part = [*keys, "_blk"]
+    part = [*keys, "_blk"] if many else list(keys)
     frame_end = 0 if inclusive else -1
     row_order = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     block_order = F.col("_blk").desc() if reverse else F.col("_blk").asc()
