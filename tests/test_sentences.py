@@ -71,7 +71,9 @@ def frame(spark, videos):
 
 
 @pytest.fixture(params=["one block", "many blocks"])
-def small_blocks(request, monkeypatch):
+def small_blocks(request, monkeypatch, spark):
+    """Both plans; the second also with Arrow batches that end inside islands."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5 if request.param == "many blocks" else 10000)
     if request.param == "many blocks":
         for name in ("with_halo", "running", "many_blocks", "block_of"):
             fn = getattr(blocked, name)
@@ -79,7 +81,8 @@ def small_blocks(request, monkeypatch):
                 defaults = list(fn.__defaults__)
                 monkeypatch.setattr(fn, "__defaults__", tuple(8 if d == 1 << 16 else d for d in defaults))
         monkeypatch.setattr(snt, "BLOCK_ROWS", 8)
-    return request.param
+    yield request.param
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
 
 
 def test_all_passes_match_loops(spark, small_blocks):
