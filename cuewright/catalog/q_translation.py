@@ -232,6 +232,17 @@ def validate_responses(spark, sf):
     return validation.validate_responses(views.responses(spark, sf)).select("video_id", "n_lines", "error")
 
 
+@query(
+    "retry_decision",
+    "SELECT video_id, coalesce(starts_with(error, 'line_count') AND expected > 5, false) AS retry FROM v_checked",
+)
+def retry_decision(spark, sf):
+    """Batches worth halving: a wrong line count and enough lines."""
+    checked = validation.validate_responses(views.responses(spark, sf))
+    retry = validation.is_line_count_error(F.col("error")) & (F.col("expected") > fv.RETRY_MIN_LINES)
+    return checked.select("video_id", retry.alias("retry"))
+
+
 SQL_VIEWS["v_line_errors"] = """
   SELECT video_id AS batch_key, line_no, CASE WHEN length(line_text) > 200 THEN 'too_long' ELSE 'no_stop' END AS error FROM v_answer_lines
   WHERE length(line_text) > 200 OR right(line_text, 1) <> '.'

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cuewright import fixed_values as fv
 from cuewright.functions import numbers as num
 from cuewright.functions import spoken
-from cuewright.functions.text import filled, spoken_units, strip
+from cuewright.functions.text import spoken_units, strip
 from cuewright.operators.timing import clear_timing
 from cuewright.plans.blocked import BLOCK_ROWS, block_of, many_blocks, ordered_text, running
 from cuewright.plans.folds import run_fold
@@ -290,7 +290,3 @@ def retry_merge(lines: DataFrame) -> DataFrame:
         .withColumn("merged_no", (F.col("_offset") + F.col("line_no")).cast("long"))
         .drop("_offset")
     )
-
-
-def spoken_or_written(vi: Column, tts: Column) -> Column:
-    return F.coalesce(filled(vi), filled(tts), F.lit(""))

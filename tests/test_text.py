@@ -140,3 +140,11 @@ def test_fit_report_pinned(spark):
     rows = spark.createDataFrame([(800, 300, 0)], "raw long, slot long, rest long")
     report = rows.select(num.fit_report(F.col("raw"), F.col("slot"), F.col("rest"), 1000).alias("r")).first().r
     assert report.fit_ratio > 1.75 and report.warnings == ["tempo_strong"]
+
+
+def test_functions_for_sql(spark):
+    from cuewright.functions.register import register
+
+    register(spark)
+    row = spark.sql("SELECT canonicalize_text(' a  .') AS a, spell_number(21L) AS b, spoken_text('RAM 5%') AS c").first()
+    assert tuple(row) == ("a.", "hai mươi mốt", "ram năm phần trăm")
