@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuewright.llm.common import whole_text, with_next, words
 
 #: Share of the lexicon in a sub-lexicon is 2 to the power of minus these; each density is drawn ``DRAWS`` times.
-DENSITIES = (2, 4, 6, 8)
+DENSITIES = (3, 5, 7, 9)
 DRAWS = 4
 KINDS = len(DENSITIES) * DRAWS
 #: Inverse-document-frequency band, as the least and most share of documents.
@@ -57,13 +57,19 @@ def render(hashes: Column, text_digest: Column) -> Column:
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """Share of equal groups among those that are not empty on both sides; 1 for equal fingerprints."""
+    """The best density's share of equal groups among those not empty on both sides (of half its draws at least).
+
+    A text keeps about one term in a sub-lexicon of the density that suits its length, and there the share of equal
+    groups follows the share of common terms. Equal fingerprints: 1.
+    """
     pairs = F.arrays_zip(F.split(left, r"\.").alias("l"), F.split(right, r"\.").alias("r"))
-    used = F.filter(pairs, lambda p: (p["l"] != "-") | (p["r"] != "-"))
-    same = F.size(F.filter(used, lambda p: p["l"] == p["r"]))
-    graded = same / F.greatest(F.size(used), F.lit(1))
+    shares = []
+    for d in range(len(DENSITIES)):
+        used = F.filter(F.slice(pairs, d * DRAWS + 1, DRAWS), lambda p: (p["l"] != "-") | (p["r"] != "-"))
+        same = F.size(F.filter(used, lambda p: p["l"] == p["r"]))
+        shares.append(same / F.greatest(F.size(used), F.lit(DRAWS // 2)))
     whole = left.startswith("=") | right.startswith("=")
-    return F.when(left == right, F.lit(1.0)).when(whole, F.lit(0.0)).otherwise(graded)
+    return F.when(left == right, F.lit(1.0)).when(whole, F.lit(0.0)).otherwise(F.greatest(*shares))
 
 
 def with_edited(docs: DataFrame) -> DataFrame:
