@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import SPACE_CHARS, ascii_lower, whole_text
-from cuewright.session import scratch_path
+from cuewright.session import scratch_path, written_once
 
 #: A null doc_id counts as one document below all others.
 NO_ID = -(1 << 63)
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.trim(line, F.lit(SPACE_CHARS)))
-
-
 def lines_of(name: str = "text") -> Column:
     return F.split(whole_text(name), "\n", -1)
 
@@ -25,10 +21,11 @@ def _id() -> Column:
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """line (128-bit hash in hex), doc_id: each long line once per row of ``docs``."""
-    keys = F.filter(F.transform(lines_of(), line_key), lambda k: F.char_length(k) >= min_chars)
-    hashes = F.array_distinct(F.transform(keys, lambda k: F.md5(k)))
-    return docs.select(_id().alias("doc_id"), F.explode(hashes).alias("line"))
+    """line (128-bit hash of the key in hex), doc_id, same (hash of the text), place: every long line. A-Z need lower-casing in long lines alone."""
+    trimmed = F.transform(lines_of(), lambda line, i: F.struct(F.trim(line, F.lit(SPACE_CHARS)).alias("key"), i.alias("place")))
+    long = F.filter(trimmed, lambda x: F.char_length(x["key"]) >= min_chars)
+    hashed = F.transform(long, lambda x: F.struct(F.md5(ascii_lower(x["key"])).alias("line"), x["place"].alias("place")))
+    return docs.select(_id().alias("doc_id"), F.xxhash64(whole_text()).alias("same"), F.explode(hashed).alias("x")).select("doc_id", "same", "x.line", "x.place")
 
 
 class LineRuns:
@@ -39,7 +36,7 @@ class LineRuns:
     Batches must not share documents; runs add up counts and keep the largest document.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
+    def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
 
     def _write(self, rows: DataFrame) -> str:
@@ -75,50 +72,51 @@ class LineRuns:
             return self.spark.createDataFrame([], "line string, n_docs long, keeper long")
         return self._merged(self._read(paths)) if len(paths) > 1 else self._read(paths)
 
+    def _frequent(self, min_docs: int) -> DataFrame:
+        return self.rows().where(F.col("n_docs") >= min_docs).select(F.col("line").alias("r_line"), "keeper")
+
     def survivors(self, batch: DataFrame, min_docs: int) -> DataFrame:
-        """Merge-anti-join: the occurrences that stay, that is all but those of a line in ``min_docs`` documents or more
-        outside its keeper."""
-        runs = self.rows().where(F.col("n_docs") >= min_docs).select(F.col("line").alias("r_line"), "keeper")
-        return batch.join(runs, (F.col("line") == F.col("r_line")) & (F.col("doc_id") < F.col("keeper")), "left_anti")
+        """Merge-anti-join: the occurrences that stay, all but those of a line in ``min_docs`` documents outside its keeper."""
+        match = (F.col("line") == F.col("r_line")) & (F.col("doc_id") < F.col("keeper"))
+        return batch.join(self._frequent(min_docs), match, "left_anti")
+
+    def dropped(self, batch: DataFrame, min_docs: int) -> DataFrame:
+        """What the anti-join leaves out; it is the smaller part of a corpus."""
+        match = (F.col("line") == F.col("r_line")) & (F.col("doc_id") < F.col("keeper"))
+        return batch.join(self._frequent(min_docs), match, "left_semi")
 
 
-def _member(stay: Column, of: Column) -> Column:
-    """Whether ``of`` is in the bucketed hash lists ``stay``: a lookup reads about the root of their number."""
-    return F.array_contains(F.get(stay, F.pmod(F.xxhash64(of), F.size(stay)).cast("int")), of)
+def _holds(lists: Column, place: Column) -> Column:
+    """Whether ``place`` is in places dealt to lists by remainder: a lookup reads about the root of their number."""
+    return F.array_contains(F.get(lists, place % F.size(lists)), place)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
     """All columns of ``docs`` and ``ld_lines``, ``ld_dropped``, ``ld_text``: its lines, those dropped, the text that stays.
 
     Lines whose key (white space stripped, A-Z lower-cased) has ``min_chars`` code points and is found in ``min_docs``
     documents go from all documents but the one with the largest doc_id. Null and empty texts are one empty line.
-    Rows with the same doc_id are one document; a null doc_id is one document below all others.
+    A null doc_id is one document below all others. Rows that share a doc_id count as one document; each loses the
+    places at which its own text holds such a line.
     """
     spark = docs.sparkSession
-    path = scratch_path(spark, "line-occurrences")
-    found = occurrences(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    found.write.partitionBy("batch").parquet(path)
-    stored = spark.read.schema("doc_id long, line string, batch int").parquet(path)
+    rows = docs.withColumn("ld_key", _id()).withColumn("ld_same", F.xxhash64(whole_text()))
+    found = occurrences(docs, min_chars)
+    found = found.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    stored = written_once(found, "line-occurrences")
     runs = LineRuns(spark, fanout)
     for batch in range(batches):
         runs.add(stored.where(F.col("batch") == batch).select("line", "doc_id"))
-    stay = runs.survivors(stored.select("line", "doc_id"), min_docs).groupBy("doc_id").agg(F.collect_set("line").alias("ld_set"))
-    n = F.ceil(F.sqrt(F.size("ld_set"))).cast("int")
-    lists = F.transform(
-        F.sequence(F.lit(0), n - 1), lambda b: F.filter(F.col("ld_set"), lambda h: F.pmod(F.xxhash64(h), n).cast("int") == b)
-    )
-    stay = stay.select(F.col("doc_id").alias("ld_id"), lists.alias("ld_stay"))
-    rows = docs.withColumn("ld_key", _id()).join(stay, F.col("ld_key") == F.col("ld_id"), "left")
-
-    def keeps(line: Column) -> Column:
-        key = line_key(line)
-        return (F.char_length(key) < min_chars) | F.coalesce(_member(F.col("ld_stay"), F.md5(key)), F.lit(False))
-
-    kept = F.filter(lines_of(), keeps)
+    gone = runs.dropped(stored.select("line", "doc_id", "same", "place"), min_docs)
+    gone = gone.groupBy("doc_id", "same").agg(F.collect_set("place").alias("ld_gone"))
+    n = F.ceil(F.sqrt(F.size("ld_gone"))).cast("int")
+    lists = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(F.col("ld_gone"), lambda p: p % n == b))
+    gone = gone.select(F.col("doc_id").alias("ld_id"), F.col("same").alias("ld_text_id"), F.size("ld_gone").alias("ld_n"), lists.alias("ld_lists"))
+    joined = rows.join(gone, (F.col("ld_key") == F.col("ld_id")) & (F.col("ld_same") == F.col("ld_text_id")), "left")
+    kept = F.filter(lines_of(), lambda line, i: ~_holds(F.col("ld_lists"), i))
     return (
-        rows.withColumn("ld_kept", kept)
-        .withColumn("ld_lines", F.size(lines_of()).cast("long"))
-        .withColumn("ld_dropped", F.col("ld_lines") - F.size("ld_kept"))
-        .withColumn("ld_text", F.array_join("ld_kept", "\n"))
-        .drop("ld_key", "ld_id", "ld_stay", "ld_kept")
+        joined.withColumn("ld_lines", F.size(lines_of()).cast("long"))
+        .withColumn("ld_dropped", F.coalesce("ld_n", F.lit(0)).cast("long"))
+        .withColumn("ld_text", F.when(F.col("ld_n").isNull(), whole_text()).otherwise(F.array_join(kept, "\n")))
+        .drop("ld_key", "ld_same", "ld_id", "ld_text_id", "ld_n", "ld_lists")
     )
