@@ -80,43 +80,153 @@ class SizeRings:
         return np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
 
 
-def _signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, same: equal sets have the same 128-bit ``same`` (null for the empty set)."""
+def node_of(shingles: np.ndarray) -> int | None:
+    """64-bit name of a set; equal sets have equal names, the empty set none."""
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())))) if len(shingles) else None
+
+
+def _named(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles, node of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(t, k, hashes) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_shingles": [len(s) for s in sets],
-                    "same": [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets],
-                }
-            )
+            frame = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets]})
+            frame["node"] = pd.array([node_of(s) for s in sets], dtype="Int64")
+            yield frame
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, same string")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, node long")
 
 
-def _celled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _cells(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, rings = WordHashes(), SizeRings(percent)
         for batch in batches:
-            cells = [rings.cells(shingle_set(t, k, hashes)) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["doc_id"], "cells": cells})
+            sets = [s for s in (shingle_set(t, k, hashes) for t in batch["text"]) if len(s)]
+            yield pd.DataFrame({"node": np.array([node_of(s) for s in sets], np.int64), "cells": [rings.cells(s) for s in sets]})
 
-    return docs.mapInPandas(run, "id long, cells array<long>").select("id", F.explode("cells").alias("cell"))
+    cells = docs.select("text").mapInPandas(run, "node long, cells array<long>").select("node", F.explode("cells").alias("cell"))
+    here = Window.partitionBy("cell")
+    shared = cells.withColumn("least", F.min("node").over(here)).withColumn("most", F.max("node").over(here)).where("least <> most")
+    return shared.select("cell", "node").distinct()
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "shingles": [shingle_set(t, k, hashes).tobytes() for t in batch["text"]]})
+            sets = [s for s in (shingle_set(t, k, hashes) for t in batch["text"]) if len(s)]
+            yield pd.DataFrame({"node": np.array([node_of(s) for s in sets], np.int64), "shingles": [s.tobytes() for s in sets]})
+
+    return docs.select("text").mapInPandas(run, "node long, shingles binary").dropDuplicates(["node"])
 
-    return docs.mapInPandas(run, "id long, shingles binary")
 
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, common, all: sizes of the intersection and the union of each pair."""
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast ids only where their number was checked; otherwise a shuffle join."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            common, union = [], []
+            for left, right in zip(batch["left"], batch["right"]):
+                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                common.append(n)
+                union.append(len(x) + len(y) - n)
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "common": common, "all": union})
+
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(run, "a long, b long, common long, all long")
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A broadcast hint where the number of ids was checked; otherwise the join shuffles."""
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def _split(cells: DataFrame, tried: DataFrame, labels: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """The cells of the next round.
+
+    Pivots have met all their cell and go. By the triangle inequality two sets whose distances to the first pivot
+    differ by more than the linking distance are not linked, so each cell falls apart where its sorted distances leave
+    such a gap. What is one component already needs no more tests.
+    """
+    here = Window.partitionBy("cell").orderBy("node")
+    ranked = cells.withColumn("place", F.row_number().over(here)).withColumn("pivot", F.first("node").over(here))
+    rest = ranked.where(F.col("place") > pivots)
+    known = tried.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (F.lit(1.0) - F.col("common") / F.col("all")).alias("d"))
+    rest = rest.join(known, ["pivot", "node"])
+    sorted_ = Window.partitionBy("cell").orderBy("d", "node")
+    gap = (F.col("d") - F.lag("d").over(sorted_)) > (100 - percent) / 100 + 1e-9
+    rest = rest.withColumn("ring", F.sum(F.when(gap, 1).otherwise(0)).over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
+    rest = rest.select(F.xxhash64("cell", "pivot", "ring").alias("cell"), "node")
+    rest = rest.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    part = Window.partitionBy("cell")
+    rest = rest.withColumn("least", F.min("component").over(part)).withColumn("most", F.max("component").over(part))
+    return rest.where("least <> most").select("cell", "node")
+
+
+def linked_sets(docs: DataFrame, k: int, percent: int, pivots: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Named rows (doc_id, n_shingles, node), and measured pairs (a, b, common, all) whose links connect exactly the sets
+    that the links between all pairs connect."""
+    named = written_once(_named(docs.select("doc_id", "text"), k), "jaccard-named")
+    first = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    # Ids that only repeat sets found under a smaller id.
+    roles = named.where("node is not null").join(first, "node").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("first_id")).cast("int")).alias("leads"))
+    repeats = roles.where("leads = 0 and doc_id is not null").select("doc_id")
+    leading = docs.select("doc_id", "text").join(_bounded(repeats), "doc_id", "left_anti")
+    cells = written_once(_cells(leading, k, percent), "jaccard-cells")
+    needed = cells.select("node").distinct().join(first, "node").select(F.col("first_id").alias("doc_id")).distinct()
+    at_null = docs.select("doc_id", "text").where("doc_id is null")
+    wanted = leading.where("doc_id is not null").join(_bounded(needed.where("doc_id is not null")), "doc_id", "left_semi").unionByName(at_null)
+    sets = written_once(_sets(wanted, k).join(cells.select("node").distinct(), "node", "left_semi"), "jaccard-sets")
+    tried = None
+    while cells.limit(1).count():
+        here = Window.partitionBy("cell").orderBy("node")
+        by_cell = cells.withColumn("place", F.row_number().over(here))
+        pairs = by_cell.join(by_cell.where(F.col("place") <= pivots).select("cell", F.col("node").alias("p")), "cell").where("p < node")
+        pairs = pairs.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        fresh = written_once(_measured(pairs, sets), "jaccard-measured")
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        labels = components(tried.where(f"100 * common >= {percent} * all"))
+        cells = written_once(_split(cells, tried, labels, percent, pivots), "jaccard-cells")
+    if tried is None:
+        tried = docs.sparkSession.createDataFrame([], "a long, b long, common long, all long")
+    return named, tried
+
+
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, pivots: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id, node, first_id: one row per row of ``docs``.
+
+    Two documents are linked when 100 * |common shingles| >= percent * |all shingles| over their distinct ``k``-word
+    shingles (A-Z lower-cased; fewer words are one shingle). component_id is the smallest doc_id that links lead to;
+    first_id the smallest doc_id with the same set. Rows without words (null or empty text too) are linked with nothing:
+    their component is their own id and node is null. Null ids take part and come out as null unless linked to others.
+    Rows that share an id but not their text are different documents.
+    """
+    named, tried = linked_sets(docs, k, percent, pivots)
+    labels = components(tried.where(f"100 * common >= {percent} * all")).select(F.col("id").alias("node"), "component")
+    nodes = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id")).join(labels, "node", "left")
+    nodes = nodes.withColumn("component", F.coalesce("component", "node"))
+    least = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    nodes = nodes.join(least, "component").select("node", "first_id", "component_id")
+    out = named.join(nodes, "node", "left")
+    own = F.when(F.col("node").isNull(), F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce(own, "component_id").alias("component_id"), "node", F.coalesce(own, "first_id").alias("first_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the rows whose document is linked to one with a smaller id, or repeats it; all columns stay.
+
+    Rows with a null id and rows without words stay. Of rows that repeat an id and a set one stays.
+    """
+    groups = jaccard_groups(docs.select("doc_id", "text"), k, percent)
+    leaders = groups.where("node is not null and doc_id = component_id").groupBy("component_id").agg(F.min("node").alias("j_node"))
+    lead_id = leaders.select(F.col("component_id").alias("j_id"))
+    free = groups.where("node is null").select(F.col("doc_id").alias("j_id")).where("j_id is not null").distinct()
+    keep = lead_id.unionByName(free).distinct()
+    kept = docs.join(keep, F.col("doc_id") == F.col("j_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import imatch, line_runs, mixing, pii_feistel
+from cuewright.llm import hmm_lm, imatch, jaccard_join, line_runs, mixing, pii_feistel, sentencepiece_sa
 from cuewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Where the public tokenizer's file lies on every machine; a parameter of the operator.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -98,3 +103,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_imatch_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sa.encode_documents(documents(spark, sf_dir), PIECE_MODEL, ["doc_id"])
+
+
+@query("op9_hmm_lm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(documents(spark, sf_dir).select("doc_id", "text"), held_modulus=7, held=2)
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.jaccard_groups(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=90)
+    return groups.select("doc_id", "n_shingles", "component_id")
