@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import hmm_lm, imatch, jaccard_join, line_runs, mixing, pii_feistel, sentencepiece_sa
+from cuewright.llm import hmm_lm, imatch, jaccard_join, language_id, line_runs, mixing, pii_feistel, quality_fm, sentencepiece_sa
 from cuewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.jaccard_groups(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=90)
     return groups.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op2_quality_fm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"), threshold=0.7, modulus=4, held=2)
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language_id.identify(language_id.document_rows(docs), language_id.train(docs))
+    return found.select("doc_id", "lang", "probability", "text_lang", "rejected")
+
+
+@query("page_language_id")
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, with the model learned from the documents: markup, address and host speak with the text."""
+    model = language_id.train(documents(spark, sf_dir))
+    return language_id.identify(language_id.page_rows(table(spark, sf_dir, "pages")), model)
