@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import hmm_lm, imatch, jaccard_join, language_id, line_runs, mixing, pii_feistel, quality_fm, sentencepiece_sa
+from cuewright.llm import hmm_lm, imatch, jaccard_join, language_id, learned_ann, line_runs, mixing, pii_feistel, quality_fm, sentencepiece_sa
 from cuewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,9 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages, with the model learned from the documents: markup, address and host speak with the text."""
     model = language_id.train(documents(spark, sf_dir))
     return language_id.identify(language_id.page_rows(table(spark, sf_dir, "pages")), model)
+
+
+@query("op1_learned_ann")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return learned_ann.search(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", k=20)
