@@ -157,6 +157,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     size = F.regexp_count(whole_text(), F.lit(WORD)).cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("m_row"), F.col("doc_id").alias("m_doc"), size.alias("m_words"))
     joined = rows.join(taken, F.col("m_doc").eqNullSafe(F.col("m_id")) & (F.col("m_words") == F.col("m_size")))
-    times = F.floor(F.col("m_taken") / F.col("m_words") + 0.5).cast("int")
+    times = F.floor(F.col("m_taken") / F.greatest("m_words", F.lit(1)) + 0.5).cast("int")
     joined = joined.where("m_words > 0").withColumn("m_times", times).where("m_times > 0")
     return joined.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_times")))).select("m_row.*")
