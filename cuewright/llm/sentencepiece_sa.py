@@ -326,7 +326,6 @@ def encode_documents(docs: DataFrame, model_path: str, keep: list[str], text: st
     """
     pieces = Pieces.load(model_path)
     pieces.index  # noqa: B018  made once here, sent to the tasks
-    schema = docs.select(*keep).schema.add("token_ids", "array<int>").add("n_tokens", "long").add("round_trip", "boolean")
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator) -> Iterator:
@@ -351,11 +350,8 @@ def encode_documents(docs: DataFrame, model_path: str, keep: list[str], text: st
     from pyspark.sql import functions as F
 
     narrow = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text}`").cast("string").alias("text_"))
-    renamed = type(schema)(list(schema.fields))
-    for f, n in zip(renamed.fields, names):
-        f.name = n
-    renamed.names[: len(names)] = names
-    out = narrow.mapInArrow(run, renamed)
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, narrow.schema.fields))
+    out = narrow.mapInArrow(run, f"{kinds}, token_ids array<int>, n_tokens long, round_trip boolean")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "token_ids", "n_tokens", "round_trip")
 
 
