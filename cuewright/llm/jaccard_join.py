@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewright.llm.common import packed
 from cuewright.llm.components import components
 from cuewright.llm.shingles import STEP, WordHashes, mixed, shingle_set
 from cuewright.session import written_once
@@ -228,5 +229,6 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     lead_id = leaders.select(F.col("component_id").alias("j_id"))
     free = groups.where("node is null").select(F.col("doc_id").alias("j_id")).where("j_id is not null").distinct()
     keep = lead_id.unionByName(free).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("j_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_text"))
+    kept = rows.join(keep, F.col("of_id") == F.col("j_id"), "left_semi").dropDuplicates(["of_id", "of_text"])
+    return kept.unionByName(rows.where("of_id is null")).select("row.*")

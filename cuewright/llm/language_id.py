@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import whole_text
+from cuewright.llm.common import packed, whole_text
 from cuewright.session import written_once
 
 #: Hashed runs of three characters.
@@ -204,5 +204,6 @@ def accepted(docs: DataFrame, model: TextModel | None = None) -> DataFrame:
     gone = identify(document_rows(docs), model).where("rejected").select(F.col("doc_id").alias("g_id"), F.col("text_id").alias("g_text")).distinct()
     gone = written_once(gone, "language-rejected")
     small = gone.count() <= MAX_BROADCAST
-    match = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64(whole_text()) == F.col("g_text"))
-    return docs.join(F.broadcast(gone) if small else gone, match, "left_anti")
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("of_text"))
+    match = F.col("id").eqNullSafe(F.col("g_id")) & (F.col("of_text") == F.col("g_text"))
+    return rows.join(F.broadcast(gone) if small else gone, match, "left_anti").select("row.*")

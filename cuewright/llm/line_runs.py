@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import SPACE_CHARS, ascii_lower, whole_text
+from cuewright.llm.common import SPACE_CHARS, ascii_lower, packed, whole_text
 from cuewright.session import scratch_path, written_once
 
 #: A null doc_id counts as one document below all others.
@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     places at which its own text holds such a line.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("ld_key", _id()).withColumn("ld_same", F.xxhash64(whole_text()))
+    rows = docs.select(packed(docs).alias("row"), whole_text().alias("text"), _id().alias("ld_key"), F.xxhash64(whole_text()).alias("ld_same"))
     found = occurrences(docs, min_chars)
     found = found.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     stored = written_once(found, "line-occurrences")
@@ -114,9 +114,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     gone = gone.select(F.col("doc_id").alias("ld_id"), F.col("same").alias("ld_text_id"), F.size("ld_gone").alias("ld_n"), lists.alias("ld_lists"))
     joined = rows.join(gone, (F.col("ld_key") == F.col("ld_id")) & (F.col("ld_same") == F.col("ld_text_id")), "left")
     kept = F.filter(lines_of(), lambda line, i: ~_holds(F.col("ld_lists"), i))
-    return (
-        joined.withColumn("ld_lines", F.size(lines_of()).cast("long"))
-        .withColumn("ld_dropped", F.coalesce("ld_n", F.lit(0)).cast("long"))
-        .withColumn("ld_text", F.when(F.col("ld_n").isNull(), whole_text()).otherwise(F.array_join(kept, "\n")))
-        .drop("ld_key", "ld_same", "ld_id", "ld_text_id", "ld_n", "ld_lists")
+    return joined.select(
+        "row.*",
+        F.size(lines_of()).cast("long").alias("ld_lines"),
+        F.coalesce("ld_n", F.lit(0)).cast("long").alias("ld_dropped"),
+        F.when(F.col("ld_n").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("ld_text"),
     )

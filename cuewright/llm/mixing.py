@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import WORD, whole_text
+from cuewright.llm.common import WORD, packed, whole_text
 from cuewright.session import written_once
 
 #: Fractional part of the golden ratio: its multiples are the schedule's points.
@@ -155,7 +155,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).groupBy("doc_id", "size").agg((F.sum("taken") / F.count("*")).alias("m_taken"))
     taken = taken.select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), "m_taken")
     size = F.regexp_count(whole_text(), F.lit(WORD)).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("m_row"), F.col("doc_id").alias("m_doc"), size.alias("m_words"))
+    rows = docs.select(packed(docs).alias("m_row"), F.col("doc_id").alias("m_doc"), size.alias("m_words"))
     joined = rows.join(taken, F.col("m_doc").eqNullSafe(F.col("m_id")) & (F.col("m_words") == F.col("m_size")))
     times = F.floor(F.col("m_taken") / F.greatest("m_words", F.lit(1)) + 0.5).cast("int")
     joined = joined.where("m_words > 0").withColumn("m_times", times).where("m_times > 0")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import whole_text
+from cuewright.llm.common import packed, whole_text
 
 ROUNDS = 8
 EPOCH = "1800-01-01"
@@ -237,9 +237,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     lines = F.transform(
         F.split(whole_text(text), "\n", -1), lambda line: F.when(line.rlike("[0-9@]"), scrub(line)).otherwise(untouched(line))
     )
-    return (
-        docs.withColumn("pii_lines", lines)
-        .withColumn("pii_text", F.array_join(F.transform("pii_lines", lambda x: x["line"]), "\n"))
-        .withColumn("pii_kinds", F.flatten(F.transform("pii_lines", lambda x: x["kinds"])))
-        .drop("pii_lines")
+    rows = docs.select(packed(docs).alias("row"), lines.alias("lines"))
+    return rows.select(
+        "row.*",
+        F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("pii_text"),
+        F.flatten(F.transform("lines", lambda x: x["kinds"])).alias("pii_kinds"),
     )
