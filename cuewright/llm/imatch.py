@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cuewright.llm.common import whole_text, with_next, words
 
 #: Share of the lexicon in a sub-lexicon is 2 to the power of minus these; each density is drawn ``DRAWS`` times.
-DENSITIES = (3, 5, 7, 9)
-DRAWS = 4
+DENSITIES = (4, 6, 8)
+DRAWS = 8
 KINDS = len(DENSITIES) * DRAWS
 #: Inverse-document-frequency band, as the least and most share of documents.
 BAND = (0.001, 0.1)
@@ -50,7 +50,7 @@ def sub_hashes(terms: Column, mask: Column, mine: Column) -> list[Column]:
 
 
 def render(hashes: Column, text_digest: Column) -> Column:
-    """16 groups of 8 hex digits, `-` for an empty sub-lexicon; a text without any term of the lexicon shows its own digest."""
+    """A group of 8 hex digits per sub-lexicon, `-` for an empty sub-lexicon; a text without any term of the lexicon shows its own digest."""
     parts = F.transform(hashes, lambda h: F.when(h.isNull(), F.lit("-")).otherwise(F.lower(F.lpad(F.hex(h), 16, "0").substr(1, 8))))
     empty = F.forall(hashes, lambda h: h.isNull())
     return F.when(empty, F.concat(F.lit("="), F.substring(text_digest, 1, 16))).otherwise(F.array_join(parts, "."))
