@@ -1,26 +1,22 @@
-"""Make the Python-backed functions available to SQL."""
+"""Make spoken numbers and canonical text available to SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from cuewright import fixed_values as fv
-from cuewright.functions import spoken
-
 
-def register(spark: SparkSession, glossary: Mapping[str, str] = fv.BUILTIN_GLOSSARY) -> None:
-    """Register ``canonicalize_text``, ``spell_number`` and ``spoken_text`` for SQL."""
-    entries = spoken.clean_map(glossary)
+_BLANKS = "".join(rf"\\u{ord(c):04x}" for c in fv.WHITESPACE)
 
-    @F.pandas_udf("string")
-    def spoken_text(text: pd.Series) -> pd.Series:
-        compiled = spoken.compile_map(entries)
-        return text.map(lambda t: spoken.speak(t, compiled)[0])
 
-    spark.udf.register("canonicalize_text", spoken.canonicalize_text)
-    spark.udf.register("spell_number", spoken.spell_number)
-    spark.udf.register("spoken_text", spoken_text)
+def register(spark: SparkSession) -> None:
+    """Temporary SQL functions ``digits_apart(text)`` and ``squeeze_text(text)``; both are SQL bodies, no Python runs."""
+    names = ", ".join(f"'{name}'" for name in fv.DIGIT_NAMES)
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION digits_apart(t STRING) RETURNS STRING RETURN "
+        f"array_join(transform(regexp_extract_all(t, '[0-9]', 0), d -> get(array({names}), int(d))), ' ')"
+    )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION squeeze_text(t STRING) RETURNS STRING RETURN "
+        f"regexp_replace(btrim(regexp_replace(t, '[{_BLANKS}]+', ' ')), ' ([,.;:!?])', '$1')"
+    )

@@ -41,11 +41,14 @@ def test_budget_label_pinned(spark):
     assert [r.l for r in budgets.select(num.budget_label(F.col("b")).alias("l")).collect()] == ["[11-26 tiếng]", "[12-28 tiếng]"]
 
 
-def test_numbers_pinned():
+def test_numbers_pinned(spark):
     pairs = {1250: "một nghìn hai trăm năm mươi", 305: "ba trăm lẻ năm", 21: "hai mươi mốt", 24: "hai mươi tư", 15: "mười lăm",
              2024: "hai nghìn không trăm hai mươi tư", 1005: "một nghìn không trăm lẻ năm", -5: "âm năm", 0: "không", 11: "mười một"}
-    assert {n: spoken.spell(n) for n in pairs} == pairs
-    assert spoken.spell_token("3.14") == "ba phẩy một bốn"
+    assert dict(zip(pairs, column(spark, list(pairs), spoken.spell_number, "long"))) == pairs
+    assert column(spark, ["3.14", "1,250", "0007", "1.2.3"], spoken.amount_words) == [
+        "ba phẩy một bốn", "một nghìn hai trăm năm mươi", "bảy", "một phẩy hai ba",
+    ]
+    assert column(spark, ["1000000000000000000000"], spoken.integer_words) == ["một"]
 
 
 def test_cascade_pinned(spark):
@@ -69,23 +72,43 @@ def test_expansion_pinned(spark):
     assert column(spark, ["The LLM needs 16 GB"], lambda c: translation.expansion_units(c)) == [5]
 
 
-def test_canonical():
-    assert spoken.canonical("Xin  chào\n thế giới .") == "Xin chào thế giới."
-    assert spoken.canonical("'AI' don't “x”") == "AI don't x"
+def test_canonical(spark):
+    values = ["Xin  chào\n thế giới .", "'AI' don't “x”", None, "e\u0301 \u00a0 a"]
+    assert column(spark, values, spoken.canonicalize_text) == ["Xin chào thế giới.", "AI don't x", "", "é a"]
+
+
+def test_more_spoken_forms(spark):
+    pairs = {
+        "--max-len 5": "trừ trừ max-len năm",
+        "a = b - c": "a bằng b trừ c",
+        "x_1 and X_12": "x_1 and ích một hai",
+        "H-264 or H264": "hát hai sáu bốn or hát hai sáu bốn",
+        "example.com/path": "example chấm com siệt path",
+        "2.5GHz 100 ms": "hai phẩy năm gi ga héc một trăm mi li giây",
+        "": "",
+    }
+    assert column(spark, list(pairs), lambda c: spoken.normalize_text(c)["text"]) == list(pairs.values())
+    rules = column(spark, ["RAM x 5% --a GPU $3 None"], lambda c: spoken.normalize_text(c, fv.BUILTIN_GLOSSARY)["rules"])
+    assert rules == [["acronym", "cli_flag", "currency", "glossary", "math_variable", "percentage"]]
 
 
 @pytest.mark.parametrize("words_only", [False, True])
 def test_pronounce_matches_python(spark, words_only):
-    mapping = {"RAG": "rác", "RAG flow": "$1 \\x", "c++": "xê cộng", " ": "bad", "é": "e"}
-    values = ["RAG dùng RAGFlow rag", "use RAG flow, C++ and c++x", "é été É"]
+    mapping = {"RAG": "rác", "RAG flow": "$1 \\x", "c++": "xê cộng", " ": "bad", "é": "e", "a\\Eb": "quoted"}
+    values = ["RAG dùng RAGFlow rag", "use RAG flow, C++ and c++x", "é été É", "x a\\Eb y"]
     literal = F.create_map(*[F.lit(x) for p in mapping.items() for x in p])
     got = column(spark, values, lambda c: spoken.pronounce(c, literal, words_only))
     clean = spoken.clean_map(mapping)
-    if words_only:
-        compiled = [("", re.compile(r"(?<!\w)" + re.escape(k) + r"(?!\w)", re.I), v) for k, v in clean.items()]
-    else:
-        compiled = spoken.compile_map(clean)
-    assert got == [spoken.replace_all(v, compiled) for v in values]
+    order = clean if words_only else sorted(clean, key=len, reverse=True)
+
+    def plain(text):
+        for k in order:
+            before = r"(?<!\w)" if words_only or re.match(r"\w", k[0]) else ""
+            after = r"(?!\w)" if words_only or re.match(r"\w", k[-1]) else ""
+            text = re.sub(before + re.escape(k) + after, lambda m, k=k: clean[k], text, flags=re.I)
+        return text
+
+    assert got == [plain(v) for v in values]
 
 
 def test_row_map_wins(spark):
@@ -146,5 +169,5 @@ def test_functions_for_sql(spark):
     from cuewright.functions.register import register
 
     register(spark)
-    row = spark.sql("SELECT canonicalize_text(' a  .') AS a, spell_number(21L) AS b, spoken_text('RAM 5%') AS c").first()
-    assert tuple(row) == ("a.", "hai mươi mốt", "ram năm phần trăm")
+    row = spark.sql("SELECT squeeze_text(' a  b .') AS a, digits_apart('x2-1') AS b").first()
+    assert tuple(row) == ("a b.", "hai một")
