@@ -168,9 +168,13 @@ def _split(cells: DataFrame, tried: DataFrame, labels: DataFrame, percent: int,
     return rest.where("least <> most").select("cell", "node")
 
 
-def linked_sets(docs: DataFrame, k: int, percent: int, pivots: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Named rows (doc_id, n_shingles, node), and measured pairs (a, b, common, all) whose links connect exactly the sets
-    that the links between all pairs connect."""
+def linked_sets(docs: DataFrame, k: int, percent: int, growth: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Named rows (doc_id, n_shingles, node), and id, component of the linked nodes.
+
+    Each round takes the first nodes of every cell as pivots and measures them against the cell: one pivot at first,
+    which settles cells of near copies in linear work, then ``growth`` times as many for what is left, so the number of
+    rounds is logarithmic in the largest cell whose members are alike but not linked.
+    """
     named = written_once(_named(docs.select("doc_id", "text"), k), "jaccard-named")
     first = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     # Ids that only repeat sets found under a smaller id.
@@ -182,7 +186,8 @@ def linked_sets(docs: DataFrame, k: int, percent: int, pivots: int = 4) -> tuple
     at_null = docs.select("doc_id", "text").where("doc_id is null")
     wanted = leading.where("doc_id is not null").join(_bounded(needed.where("doc_id is not null")), "doc_id", "left_semi").unionByName(at_null)
     sets = written_once(_sets(wanted, k).join(cells.select("node").distinct(), "node", "left_semi"), "jaccard-sets")
-    tried = None
+    tried, pivots = None, 1
+    labels = docs.sparkSession.createDataFrame([], "id long, component long")
     while cells.limit(1).count():
         here = Window.partitionBy("cell").orderBy("node")
         by_cell = cells.withColumn("place", F.row_number().over(here))
@@ -194,12 +199,11 @@ def linked_sets(docs: DataFrame, k: int, percent: int, pivots: int = 4) -> tuple
         tried = fresh if tried is None else tried.unionByName(fresh)
         labels = components(tried.where(f"100 * common >= {percent} * all"))
         cells = written_once(_split(cells, tried, labels, percent, pivots), "jaccard-cells")
-    if tried is None:
-        tried = docs.sparkSession.createDataFrame([], "a long, b long, common long, all long")
-    return named, tried
+        pivots *= growth
+    return named, labels
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, pivots: int = 4) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, node, first_id: one row per row of ``docs``.
 
     Two documents are linked when 100 * |common shingles| >= percent * |all shingles| over their distinct ``k``-word
@@ -208,8 +212,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, pivots: int =
     their component is their own id and node is null. Null ids take part and come out as null unless linked to others.
     Rows that share an id but not their text are different documents.
     """
-    named, tried = linked_sets(docs, k, percent, pivots)
-    labels = components(tried.where(f"100 * common >= {percent} * all")).select(F.col("id").alias("node"), "component")
+    named, labels = linked_sets(docs, k, percent)
+    labels = labels.select(F.col("id").alias("node"), "component")
     nodes = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id")).join(labels, "node", "left")
     nodes = nodes.withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
