@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import whole_text, with_next, words
+from cuewright.session import written_once
 
 #: Share of the lexicon in a sub-lexicon is 2 to the power of minus these; each density is drawn ``DRAWS`` times.
 DENSITIES = (4, 6, 8)
@@ -106,6 +107,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
         render(F.array(*[f"a{k}" for k in range(KINDS)]), F.col("tie")).alias("fingerprint"),
         render(F.array(*[f"b{k}" for k in range(KINDS)]), F.col("edited_sha256")).alias("edited_fingerprint"),
     )
+    prints = written_once(prints, "imatch-prints")
     following = prints.groupBy(F.col("doc_id").alias("n_doc_id"), F.col("tie").alias("n_tie")).agg(F.first("fingerprint").alias("next_fingerprint"))
     paired = prints.join(following, F.col("next_doc_id").eqNullSafe(F.col("n_doc_id")) & (F.col("next_tie") == F.col("n_tie")), "left")
     return paired.select(
