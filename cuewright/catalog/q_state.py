@@ -109,16 +109,16 @@ def build_metadata(spark, sf):
 # ---- summaries ---------------------------------------------------------------------------------
 SQL_VIEWS["v_summaries"] = """
   SELECT video_id, summary, segments, created_at FROM (
-    SELECT 'd' || (doc_id % 400) AS video_id, CASE WHEN doc_id % 7 = 3 THEN '' ELSE substr(text, 1, 200) END AS summary, n_chars AS segments, doc_id::DOUBLE AS created_at,
-      row_number() OVER (PARTITION BY doc_id % 400 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1
+    SELECT 'd' || (doc_id // 3) AS video_id, CASE WHEN doc_id % 7 = 3 THEN '' ELSE text END AS summary, n_chars AS segments, doc_id::DOUBLE AS created_at,
+      row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1
 """
 
 
 def _summaries(spark, sf):
     doc = F.col("doc_id")
     return views.table(spark, sf, "documents").select(
-        F.concat(F.lit("d"), doc % 400).alias("video_id"),
-        F.when(doc % 7 == 3, "").otherwise(F.substring("text", 1, 200)).alias("summary"),
+        F.concat(F.lit("d"), F.floor(doc / 3).cast("long")).alias("video_id"),
+        F.when(doc % 7 == 3, "").otherwise(F.col("text")).alias("summary"),
         F.col("n_chars").alias("segments"),
         doc.cast("double").alias("created_at"),
     )

@@ -232,13 +232,13 @@ def reader_rows(spark, sf):
 @query(
     "active_segment",
     """SELECT p.probe_id, p.video_id, p.t, coalesce(max(s.seg_idx), -1) AS active_idx FROM (
-         SELECT event_id AS probe_id, 'v' || (user_id % 16) AS video_id, ((epoch_us(ts) // 1000) % 60000) / 1000.0::DOUBLE AS t FROM events) p
+         SELECT event_id AS probe_id, 'v' || user_id AS video_id, ((epoch_us(ts) // 1000) % 60000) / 1000.0::DOUBLE AS t FROM events) p
        LEFT JOIN v_segments s ON s.video_id = p.video_id AND s.start <= p.t GROUP BY ALL""",
 )
 def active_segment(spark, sf):
     probes = views.table(spark, sf, "events").select(
         F.col("event_id").alias("probe_id"),
-        F.concat(F.lit("v"), F.col("user_id") % 16).alias("video_id"),
+        F.concat(F.lit("v"), F.col("user_id")).alias("video_id"),
         (F.floor(views.micros("ts") / 1000) % 60000 / 1000.0).alias("t"),
     )
     return player.active_segment(views.segments(spark, sf), probes)
@@ -290,8 +290,8 @@ def line_segments(spark, sf):
         "video_id",
         F.col("line_idx").alias("seg_idx"),
         F.col("line").alias("text"),
-        F.when(F.col("line_idx") % 3 == 0, F.substring("line", 1, 9)).alias("text_vi"),
-        F.when(F.col("line_idx") % 4 == 0, F.substring("line", 1, 7)).alias("text_tts"),
+        F.when(F.col("line_idx") % 3 == 0, F.concat(F.lit("Dòng "), F.col("line_idx"))).alias("text_vi"),
+        F.when(F.col("line_idx") % 4 == 0, F.concat(F.lit("dòng "), F.col("line_idx"))).alias("text_tts"),
         (F.col("start_ms") / 1000.0).alias("start"),
         (F.col("dur_ms") / 1000.0).alias("duration"),
     )

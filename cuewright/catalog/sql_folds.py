@@ -48,7 +48,7 @@ ORACLES["incremental_index"] = """
 SQL_VIEWS["v_merge_rows"] = """
   SELECT *, coalesce(nullif(tts, ''), nullif(vi, ''), text) AS spoken, coalesce(nullif(vi, ''), nullif(tts, ''), text) AS shown,
     abs(start - lag(start + duration) OVER (PARTITION BY video_id ORDER BY seg_idx)) <= 0.6 AS near
-  FROM (SELECT video_id, line_idx AS seg_idx, line AS text, CASE WHEN line_idx % 3 = 0 THEN substr(line, 1, 9) END AS vi, CASE WHEN line_idx % 4 = 0 THEN substr(line, 1, 7) END AS tts,
+  FROM (SELECT video_id, line_idx AS seg_idx, line AS text, CASE WHEN line_idx % 3 = 0 THEN 'Dòng ' || line_idx END AS vi, CASE WHEN line_idx % 4 = 0 THEN 'dòng ' || line_idx END AS tts,
           start_ms / 1000.0::DOUBLE AS start, dur_ms / 1000.0::DOUBLE AS duration FROM v_lines)
 """
 SQL_VIEWS["v_merge_walk"] = """

@@ -138,7 +138,7 @@ SQL_VIEWS["v_meta"] = """
   SELECT video_id, conv_id, n_segments, duration, title, channel, view_count FROM (
     SELECT video_id, conv_id, count(*) AS n_segments,
            CASE conv_id % 7 WHEN 6 THEN NULL ELSE max(start_ms + dur_ms) / (CASE conv_id % 5 WHEN 2 THEN 2000.0::DOUBLE ELSE 1000.0::DOUBLE END) END AS duration,
-           CASE conv_id % 4 WHEN 3 THEN NULL ELSE substr(arg_min(text, seg_idx), 1, 30) END AS title,
+           CASE conv_id % 4 WHEN 3 THEN NULL ELSE arg_min(text, seg_idx) END AS title,
            CASE conv_id % 3 WHEN 0 THEN 'Kênh ' || (conv_id % 10) WHEN 1 THEN 'Channel ' || (conv_id % 10) ELSE '' END AS channel,
            sum(length(text))::BIGINT AS view_count
     FROM v_segments GROUP BY video_id, conv_id)
@@ -159,7 +159,7 @@ def metadata(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id",
         "n_segments",
         F.when(conv % 7 != 6, F.col("end_ms") / divisor).alias("duration"),
-        F.when(conv % 4 != 3, F.substring("first_text", 1, 30)).alias("title"),
+        F.when(conv % 4 != 3, F.col("first_text")).alias("title"),
         F.when(conv % 3 == 0, F.concat(F.lit("Kênh "), conv % 10))
         .when(conv % 3 == 1, F.concat(F.lit("Channel "), conv % 10))
         .otherwise("")
@@ -260,7 +260,7 @@ SQL_VIEWS["v_raw_chapters"] = """
          CASE WHEN s.conv_id % 5 = 1 AND s.seg_idx % 3 = 1 THEN 0.0::DOUBLE
               WHEN s.conv_id % 5 = 4 AND s.seg_idx = 1 THEN -1.0::DOUBLE ELSE s.start END AS start,
          CASE WHEN s.seg_idx % 2 = 0 THEN s.start + s.duration END AS "end",
-         CASE WHEN s.conv_id % 5 = 0 AND s.seg_idx % 4 = 2 THEN '   ' ELSE substr(s.text, 1, 40) END AS title
+         CASE WHEN s.conv_id % 5 = 0 AND s.seg_idx % 4 = 2 THEN '   ' ELSE s.text END AS title
   FROM v_segments s JOIN v_meta m USING (video_id)
 """
 
@@ -279,7 +279,7 @@ def raw_chapters(spark: SparkSession, sf: str) -> DataFrame:
             .otherwise(F.col("start"))
             .alias("start"),
             F.when(pos % 2 == 0, F.col("start") + F.col("duration")).alias("end"),
-            F.when((conv % 5 == 0) & (pos % 4 == 2), "   ").otherwise(F.substring("text", 1, 40)).alias("title"),
+            F.when((conv % 5 == 0) & (pos % 4 == 2), "   ").otherwise(F.col("text")).alias("title"),
         )
     )
 
@@ -291,7 +291,7 @@ SQL_VIEWS["v_descriptions"] = """
       CASE WHEN doc_id % 5 = 3 AND i = 1 THEN '00:07' WHEN doc_id % 5 = 2 AND i % 4 = 0 THEN '12:75'
            WHEN i > 56 THEN printf('%d:%02d:%02d', ((i - 1) * 65) // 3600, (((i - 1) * 65) // 60) % 60, ((i - 1) * 65) % 60)
            ELSE printf('%02d:%02d', ((i - 1) * 65) // 60, ((i - 1) * 65) % 60) END
-      || CASE WHEN doc_id % 5 = 1 THEN ' - ' WHEN doc_id % 5 = 4 THEN '|' ELSE ' ' END || substr(x, 1, 30)), chr(10)) AS description
+      || CASE WHEN doc_id % 5 = 1 THEN ' - ' WHEN doc_id % 5 = 4 THEN '|' ELSE ' ' END || x), chr(10)) AS description
   FROM documents
 """
 
@@ -312,7 +312,7 @@ def descriptions(spark: SparkSession, sf: str) -> DataFrame:
             .otherwise(F.format_string("%02d:%02d", minutes, seconds % 60))
         )
         mark = F.when(doc % 5 == 1, " - ").when(doc % 5 == 4, "|").otherwise(" ")
-        return F.concat(stamp, mark, F.substring(line, 1, 30))
+        return F.concat(stamp, mark, line)
 
     split = F.split("text", "\n")
     return table(spark, sf, "documents").select(
@@ -450,7 +450,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- web results ------------------------------------------------------------------------------
 SQL_VIEWS["v_search"] = """
-  SELECT page_id % 20 AS query_id, page_id AS rank, CASE WHEN page_id % 13 = 5 THEN '' ELSE url END AS url,
+  SELECT page_id // 8 AS query_id, page_id AS rank, CASE WHEN page_id % 13 = 5 THEN '' ELSE url END AS url,
          regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
          regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g') AS content FROM pages
 """
@@ -458,7 +458,7 @@ SQL_VIEWS["v_search"] = """
 
 def search_results(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(
-        (F.col("page_id") % 20).alias("query_id"),
+        F.floor(F.col("page_id") / 8).cast("long").alias("query_id"),
         F.col("page_id").alias("rank"),
         F.when(F.col("page_id") % 13 == 5, "").otherwise(F.col("url")).alias("url"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),

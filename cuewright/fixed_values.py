@@ -43,16 +43,16 @@ TRANSCRIPT_CAP_LINE = "[Transcript đã được cắt ngắn để vừa contex
 
 # ---- context headings -------------------------------------------------------------------------
 CONTEXT_POLICY = (
-    "## Video context policy:\n"
-    "Các đoạn trích bên dưới là nguồn chính. Mốc thời gian trong ngoặc vuông là vị trí trong video."
+    "## Cách dùng ngữ cảnh:\n"
+    "Trả lời dựa trên các đoạn của video dưới đây; số phút và giây đứng trước mỗi đoạn cho biết chỗ của nó."
 )
 CONTEXT_SUMMARY = "## Tóm tắt video:\n"
 CONTEXT_CHUNKS = "## Đoạn trích video (chunks):\n"
 CONTEXT_NO_CHUNKS = "(không có chunks)"
 CONTEXT_WEB = "## Kết quả web search:\n"
 CONTEXT_HISTORY = (
-    "## Lịch sử hội thoại gần đây:\n"
-    "Chỉ dùng phần này để hiểu các câu hỏi follow-up như 'nó', 'phần đó', 'ý trên'.\n"
+    "## Những lượt hỏi đáp trước:\n"
+    "Phần này chỉ giúp hiểu câu hỏi mới nhắc lại điều gì đã nói.\n"
 )
 CONTEXT_QUESTION = "## Câu hỏi: "
 HISTORY_USER_CHARS = 800

@@ -45,7 +45,7 @@ def silence_runs(samples: DataFrame, sample_rate: int, silence_db: float = fv.SI
     many = many_blocks(samples, F.floor(F.col("i") / frame))
     before = F.lag("_quiet").over(block_window(["clip_id"], "frame_idx", many=many))
     edges = drop_halo(
-        with_halo(quiet, "frame_idx", before=1, many=many).withColumn(
+        with_halo(quiet, "frame_idx", before=1, many=many, dense=True).withColumn(
             "_opens", F.col("_quiet") & ~F.coalesce(before, F.lit(False))
         )
     )

@@ -223,11 +223,11 @@ def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int = fv.FETCH_K) -> D
         .agg(F.round(F.sum(gain), 6).alias("score")),
         "matched",
     )
-    return top_k(matched.unionByName(_zero_scored(corpus, questions, matched, k, few_asked)), k)
+    return top_k(matched.unionByName(_zero_scored(corpus, questions, matched, k)), k)
 
 
 def _zero_scored(
-    corpus: DataFrame, questions: DataFrame, matched: DataFrame, k: int, few_questions: bool
+    corpus: DataFrame, questions: DataFrame, matched: DataFrame, k: int
 ) -> DataFrame:
     """First unmatched chunks of questions with fewer than ``k`` positive scores.
 
@@ -242,12 +242,12 @@ def _zero_scored(
         .select("query_id", "video_id", (F.coalesce("n", F.lit(0)) + k).alias("upto"))
     )
     reach = needy.groupBy("video_id").agg(F.max("upto").alias("reach"))
-    ids = corpus.select("video_id", "chunk_id").join(hinted(reach, few_questions), "video_id")
+    ids = corpus.select("video_id", "chunk_id").join(reach, "video_id")
     many = many_blocks(corpus, "chunk_id")
     placed = dense_position(ids, ["video_id"], ["chunk_id"], block_of("chunk_id"), "pos", many)
     return (
         placed.where(F.col("pos") < F.col("reach"))
-        .join(hinted(needy, few_questions), "video_id")
+        .join(needy, "video_id")
         .where(F.col("pos") < F.col("upto"))
         .select("query_id", "video_id", "chunk_id")
         .join(matched, ["query_id", "video_id", "chunk_id"], "left_anti")

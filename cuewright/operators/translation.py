@@ -13,7 +13,7 @@ from cuewright.functions import numbers as num
 from cuewright.functions import spoken
 from cuewright.functions.text import spoken_units, strip
 from cuewright.operators.timing import clear_timing
-from cuewright.plans.blocked import BLOCK_ROWS, block_of, many_blocks, ordered_text, running
+from cuewright.plans.blocked import BLOCK_ROWS, block_of, dense_position, many_blocks, ordered_text, running
 from cuewright.plans.folds import run_fold
 
 # Our own wording; callers may pass theirs with the same placeholders.
@@ -66,7 +66,7 @@ class BatchFold:
         return range(low, low + self.lines + 1)
 
     def fold(self, rows, low, high, state, out):
-        first, sizes = int(rows["seg_idx"][0]), rows["size"]
+        first, sizes = int(rows["pos"][0]), rows["size"]
         at, count = state - first, len(sizes)
         while at < high - first:
             stop = min(at + self.lines, count)
@@ -75,6 +75,8 @@ class BatchFold:
             used = np.cumsum(sizes[at:stop] + np.char.str_len(numbers.astype(str)) + 3)
             taken = max(1, int(np.searchsorted(used, self.chars, side="right"))) if self.chars else stop - at
             taken = min(taken, stop - at)
+            if taken < 1:
+                raise ValueError("rows must be numbered without gaps")
             if out is not None:
                 out.extend((at + k, k + 1, k == 0) for k in range(taken))
             at += taken
@@ -86,22 +88,24 @@ def batch_lines(
 ) -> DataFrame:
     """Add ``batch_no`` (1-based), ``line_no`` and the numbered ``line``.
 
-    Without a character limit the batch follows from the position alone and nothing is shuffled.
+    Rows are counted as they come in order of ``seg_idx``; the index may start anywhere and have gaps.
     """
     batch_size = max(1, int(batch_size or 1))
+    many = many_blocks(bodies, "seg_idx", size)
+    numbered = dense_position(bodies, ["video_id"], ["seg_idx"], block_of("seg_idx", size), "pos", many)
     if not max_chars:
-        placed = bodies.withColumns(
+        placed = numbered.withColumns(
             {
-                "batch_no": F.floor(F.col("seg_idx") / batch_size).cast("long") + 1,
-                "line_no": (F.col("seg_idx") % batch_size).cast("long") + 1,
+                "batch_no": F.floor(F.col("pos") / batch_size).cast("long") + 1,
+                "line_no": (F.col("pos") % batch_size).cast("long") + 1,
             }
-        )
+        ).drop("pos")
     else:
-        many = many_blocks(bodies, "seg_idx", size)
+        many = many or many_blocks(numbered, "pos", size)
         marked = run_fold(
-            bodies.withColumn("size", F.length("body")),
+            numbered.withColumn("size", F.length("body")),
             ["video_id"],
-            "seg_idx",
+            "pos",
             lambda: BatchFold(batch_size, max_chars),
             "line_no long, opens boolean",
             keep=[c for c in bodies.columns if c != "video_id"],
@@ -120,7 +124,7 @@ def batch_lines(
 
 def translation_batches(lines: DataFrame) -> DataFrame:
     """One text per batch: header, blank line, numbered lines (a batch is at most a few hundred lines)."""
-    texts = ordered_text(lines, ["video_id", "batch_no"], "line_no", "line", "\n", name="body").drop("part")
+    texts = ordered_text(lines, ["video_id", "batch_no"], "line_no", "line", "\n", part_rows=1 << 62, name="body").drop("part")
     header = F.concat(F.lit("[batch_"), F.col("batch_no"), F.lit("]"))
     return texts.select(
         "video_id", "batch_no", header.alias("header"), F.concat(header, F.lit("\n\n"), F.col("body")).alias("data")

@@ -43,21 +43,32 @@ def many_blocks(df: DataFrame, position: Column | str, size: int = BLOCK_ROWS) -
 
 
 def with_halo(
-    df: DataFrame, idx: str, before: int = 0, after: int = 0, size: int = BLOCK_ROWS, many: bool | None = None
+    df: DataFrame,
+    idx: str,
+    before: int = 0,
+    after: int = 0,
+    size: int = BLOCK_ROWS,
+    many: bool | None = None,
+    keys: Sequence[str] = ("video_id",),
+    dense: bool = False,
 ) -> DataFrame:
     """Add ``_blk`` / ``_core``; edge rows also appear (``_core`` false) in the neighbour block.
 
-    ``idx`` must be dense (0, 1, 2, ...) per key. ``before`` / ``after`` are the rows of context
-    needed to the left and to the right and must not exceed the block size.
+    ``before`` / ``after`` are the rows of context needed to the left and to the right and must not
+    exceed the block size. Neighbours are the rows next in order, whatever indexes are missing between
+    them: rows are numbered first, unless ``dense`` says that ``idx`` already counts 0, 1, 2, ... per key.
     """
     if max(before, after) > size:
         raise ValueError("halo wider than a block")
     if many is None:
         many = many_blocks(df, idx, size)
-    home = block_of(idx, size)
     if not many:
         return df.withColumns({"_blk": F.lit(0).cast("long"), "_core": F.lit(True)})
-    offset = F.col(idx) % F.lit(size)
+    place = F.col(idx)
+    if not dense:
+        df = dense_position(df, keys, [idx], block_of(idx, size), "_place", True)
+        place = F.col("_place")
+    home, offset = block_of(place, size), place % F.lit(size)
     copies = [F.struct(home.alias("blk"), F.lit(True).alias("core"))]
     if before:
         copies.append(
@@ -71,7 +82,7 @@ def with_halo(
             )
         )
     exploded = df.withColumn("_copy", F.explode(F.array_compact(F.array(*copies))))
-    return exploded.withColumns({"_blk": F.col("_copy.blk"), "_core": F.col("_copy.core")}).drop("_copy")
+    return exploded.withColumns({"_blk": F.col("_copy.blk"), "_core": F.col("_copy.core")}).drop("_copy", "_place")
 
 
 def block_window(keys: Sequence[str], *order: Column | str, many: bool):

@@ -105,7 +105,7 @@ def run_fold(
     out_type = T.StructType(key_fields + own_fields + [df.schema[k] for k in keep])
     part = [*keys, "_blk"]
     needed = dict.fromkeys([*keys, pos, *fold.columns, *keep])
-    rows = with_halo(df.select(*needed), pos, fold.before, fold.after, size, many)
+    rows = with_halo(df.select(*needed), pos, fold.before, fold.after, size, many, keys, dense=True)
     rows = _sorted(rows, part, pos)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,23 +31,32 @@ def write_transcripts(segments: DataFrame, path: str) -> None:
     with_bucket(transcript_payloads(segments)).write.mode("overwrite").partitionBy("bucket").json(path)
 
 
-def upsert_by_video(new: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replace all rows of the videos in ``new``; other videos and untouched buckets stay.
+def upsert_by_video(new: DataFrame, path: str, buckets: int = BUCKETS, replaced: DataFrame | None = None) -> None:
+    """Replace all rows of the videos in ``new`` and in ``replaced``; other videos and untouched buckets stay.
+
+    A video in ``replaced`` alone keeps no row: its text became empty.
 
     The merged buckets are written aside first, then swapped in by dynamic partition overwrite, whose
     committer replaces a partition only when the job succeeds.
     """
     spark = new.sparkSession
     fresh = with_bucket(new, buckets)
+    ids = fresh.select("video_id", "bucket")
+    if replaced is not None:
+        ids = ids.unionByName(with_bucket(replaced.select("video_id"), buckets))
+    ids = ids.distinct()
+    touched = None
     if _exists(spark, path):
         old = spark.read.parquet(path)
-        touched = fresh.select("bucket").distinct()
-        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(
-            fresh.select("video_id").distinct(), "video_id", "left_anti"
-        )
+        touched = ids.select("bucket").distinct()  # at most `buckets` rows
+        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(ids.select("video_id"), "video_id", "left_anti")
         fresh = kept.unionByName(fresh, allowMissingColumns=True)
     staged = written_once(fresh, "upsert")
+    emptied = [] if touched is None else touched.join(staged.select("bucket").distinct(), "bucket", "left_anti").collect()
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for row in emptied:  # a bucket without any row left is not overwritten by the writer
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={row.bucket}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -60,9 +69,9 @@ def write_segments(segments: DataFrame, path: str) -> None:
     upsert_by_video(segments, path)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replace the chunks of the given videos."""
-    upsert_by_video(chunks, path)
+def write_chunks(chunks: DataFrame, path: str, replaced: DataFrame | None = None) -> None:
+    """Replace the chunks of the given videos, and drop those of the other videos in ``replaced``."""
+    upsert_by_video(chunks, path, replaced=replaced)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cuewright.operators import chunking, segments, sentences, timing, transcripts
-from cuewright.plans.blocked import many_blocks
+from cuewright.plans.blocked import block_window, drop_halo, many_blocks, with_halo
 from tests.test_folds import plain_chunks, plain_groups
 from tests.test_sentences import frame as word_frame
 from tests.test_sentences import make_words, plain_runs
@@ -72,3 +72,26 @@ def test_hot_words(spark):
     assert starts == {(v, s) for v, ws in (("hot", words), ("small", words[:30])) for s in plain_runs(ws, 1.5)}
     built = sentences.sentences(word_frame(spark, {"hot": words}))
     assert built.agg(F.sum("n_words")).first()[0] == ROWS
+
+
+def test_a_missing_row_at_a_block_edge_changes_nothing(spark):
+    from cuewright.operators.timing import source_range
+
+    keep = [i for i in range(1, 60) if i not in (16, 17, 32, 47)]
+    rows = spark.createDataFrame([("v", i, float(i), 0.5, f"t{i}") for i in keep], "video_id string, seg_idx long, start double, duration double, text string")
+    plain = source_range(rows).orderBy("seg_idx").collect()
+    ahead = with_halo(rows, "seg_idx", after=1, size=16, many=True)
+    window = block_window(["video_id"], "seg_idx", many=True)
+    got = drop_halo(ahead.withColumn("next", F.lead("start").over(window))).orderBy("seg_idx").collect()
+    assert [r.next for r in got] == [float(i) for i in keep[1:]] + [None]
+    assert len(plain) == len(keep)
+
+
+def test_batches_count_rows_whatever_the_index(spark):
+    from cuewright.operators.translation import batch_lines
+
+    keep = [2, 3, 5, 9, 10, 11, 30]
+    rows = spark.createDataFrame([("v", i, f"body {i}") for i in keep], "video_id string, seg_idx long, body string")
+    for options in ({"batch_size": 3}, {"batch_size": 3, "max_chars": 1000}, {"batch_size": 3, "max_chars": 1000, "size": 4}):
+        got = batch_lines(rows, **options).orderBy("seg_idx").collect()
+        assert [(r.batch_no, r.line_no) for r in got] == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 1)]

@@ -100,3 +100,37 @@ def test_run_log_round_trip(spark):
     sinks.write_run_log(rows, path)
     back = readers.read_run_log(spark, path).first()
     assert (back.run_id, back.run_index, back.duration_min, back.error) == ("a_1", "1", "2.000", None)
+
+
+def test_index_follows_changed_grown_and_emptied_videos(spark):
+    from cuewright.operators import indexing
+    from cuewright.session import scratch_path
+    from cuewright.sources import sinks
+
+    path = scratch_path(spark, "index-test")
+    schema = "video_id string, seg_idx long, start double, end double, text string"
+    make = lambda v, texts, at=0: [(v, at + i, float(at + i), at + i + 1.0, t) for i, t in enumerate(texts)]
+    run = lambda rows: {r.video_id: r.reason for r in indexing.incremental_index(spark.createDataFrame(rows, schema), path).collect()}
+    chunks = lambda: {r.video_id: r.t for r in sinks.read_chunks(spark, path).groupBy("video_id").agg(F.concat_ws("|", F.sort_array(F.collect_list("text"))).alias("t")).collect()}
+    one = make("a", ["first line of a"]) + make("b", ["only line of b"]) + make("c", ["c stays"])
+    assert run(one) == {"a": "missing", "b": "missing", "c": "missing"}
+    assert run(one) == {}
+    two = make("a", ["changed line of a"]) + make("b", [" "]) + make("c", ["c stays"]) + make("d", ["new"])
+    assert run(two) == {"a": "stale", "b": "stale", "d": "missing"}
+    found = chunks()
+    assert set(found) == {"a", "c", "d"} and "changed" in found["a"]
+    assert run(two) == {}
+
+
+def test_deliveries_that_split_a_video(spark):
+    from cuewright.operators import indexing
+    from cuewright.session import scratch_path
+    from cuewright.sources import sinks
+
+    path = scratch_path(spark, "deliveries-test")
+    schema = "video_id string, seg_idx long, start double, end double, text string"
+    part = lambda lo, hi: spark.createDataFrame([("v", i, float(i), i + 1.0, f"line {i}.") for i in range(lo, hi)], schema)
+    for number, (lo, hi) in enumerate([(0, 20), (20, 40), (20, 40)]):
+        indexing.append_and_index(part(lo, hi), path, number)
+    text = " ".join(r.text for r in sinks.read_chunks(spark, path).collect())
+    assert all(f"line {i}." in text for i in range(40))
