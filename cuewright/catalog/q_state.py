@@ -276,6 +276,23 @@ def delete_videos(spark, sf):
     return catalogue.delete_report(ids, artifacts)
 
 
+@query(
+    "delete_stored_videos",
+    """SELECT t, video_id, count(*) AS rows FROM (
+         SELECT 'segments' AS t, video_id, conv_id FROM v_segments UNION ALL SELECT 'metadata', video_id, conv_id FROM v_meta)
+       WHERE conv_id % 3 <> 0 GROUP BY t, video_id""",
+)
+def delete_stored_videos(spark, sf):
+    """Every third video goes from two stored tables; what is left in both."""
+    tables = {"segments": views.segments(spark, sf), "metadata": views.metadata(spark, sf)}
+    paths = {name: scratch_path(spark, name) for name in tables}
+    for name, rows in tables.items():
+        sinks.upsert_by_video(rows.drop("bucket"), paths[name])
+    sinks.delete_videos(tables["metadata"].where(F.col("conv_id") % 3 == 0), list(paths.values()))
+    left = [spark.read.parquet(p).select(F.lit(name).alias("t"), "video_id") for name, p in paths.items()]
+    return left[0].unionByName(left[1]).groupBy("t", "video_id").agg(F.count("*").alias("rows"))
+
+
 # ---- indexes and chapters ------------------------------------------------------------------------
 @query(
     "stale_index",

@@ -59,6 +59,16 @@ def upsert_by_video(new: DataFrame, path: str, buckets: int = BUCKETS, replaced:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def delete_videos(ids: DataFrame, paths: list[str], buckets: int = BUCKETS) -> None:
+    """Delete every row of the videos ``ids`` from each stored table; only their buckets are rewritten."""
+    spark = ids.sparkSession
+    ids = written_once(ids.select("video_id").distinct(), "deleted")
+    for path in paths:
+        if _exists(spark, path):
+            nothing = spark.read.parquet(path).drop("bucket").limit(0)
+            upsert_by_video(nothing, path, buckets, replaced=ids)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
