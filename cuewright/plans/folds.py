@@ -145,7 +145,11 @@ def run_fold(
                 continue
             low, high = int(core[0]), int(core[-1]) + 1
             states = [worker.initial] if low == 0 else list(worker.entry_states(low))
-            pairs = [(*owner, s, worker.fold(block, low, high, s, None)) for s in states]
+            if hasattr(worker, "leaves"):  # a fold that shares work between entry states
+                left = worker.leaves(block, low, high, states)
+            else:
+                left = [worker.fold(block, low, high, s, None) for s in states]
+            pairs = [(*owner, s, leave) for s, leave in zip(states, left)]
             yield pd.DataFrame(pairs, columns=step_type.names)
 
     maps = written_once(_sorted(rows, part, pos).mapInPandas(transitions, step_type), "fold-maps")

@@ -179,3 +179,18 @@ def test_pinned_allocation(spark):
     events = spark.createDataFrame([("v", 0, [0], 1.0, 2.0)], "video_id string, event_idx long, source_indices array<long>, start double, speech_duration double")
     block = timing.allocate_timing(rows, events).first().tts
     assert (block.start, block.end, block.duration, block.slot_end) == (1.0, 3.0, 2.0, 5.0)
+
+
+def test_shared_chunk_transitions_equal_single_folds():
+    import numpy as np
+
+    rng = random.Random(9)
+    fold = chunking.ChunkFold(60, 2)
+    low, count = 500, 400
+    rows = {
+        "pos": np.arange(low - 2, low + count + 60),
+        "text": np.array(["x" * rng.randint(1, 30) for _ in range(count + 62)], object),
+        "start": np.zeros(count + 62), "end": np.ones(count + 62), "seg_idx": np.arange(count + 62),
+    }
+    states = list(fold.entry_states(low))
+    assert fold.leaves(rows, low, low + count, states) == [fold.fold(rows, low, low + count, s, None) for s in states]
