@@ -16,7 +16,7 @@ SQL_VIEWS["v_dense"] = """
   SELECT query_id, video_id, chunk_id, score, rn - 1 AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM (
       SELECT q.chunk_id AS query_id, q.video_id, c.chunk_id,
-        round(least(1.0, greatest(0.0, (1 + list_inner_product(q.vec, c.vec) / sqrt(list_inner_product(q.vec, q.vec) * list_inner_product(c.vec, c.vec))) / 2)), 6) AS score
+        round(least(1.0, greatest(0.0, (1 + list_inner_product(q.vec, c.vec) / sqrt(list_inner_product(q.vec, q.vec) * list_inner_product(c.vec, c.vec))) / 2)), 12) AS score
       FROM v_vectors q JOIN v_vectors c USING (video_id))) WHERE rn <= 30
 """
 SQL_VIEWS["v_dense_kept"] = """
@@ -29,19 +29,19 @@ def _dense(spark, sf):
     return retrieval.nearest(views.vectors(spark, sf), views.vector_queries(spark, sf), fv.FETCH_K)
 
 
-@query("dense_topk", "SELECT * FROM v_dense")
+@query("dense_topk", "SELECT * REPLACE (round(score, 6) AS score) FROM v_dense")
 def dense_topk(spark, sf):
-    return _dense(spark, sf)
+    return _dense(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@query("dense_threshold", "SELECT * FROM v_dense_kept")
+@query("dense_threshold", "SELECT * REPLACE (round(score, 6) AS score) FROM v_dense_kept")
 def dense_threshold(spark, sf):
-    return retrieval.dense_threshold(_dense(spark, sf), 0.75)
+    return retrieval.dense_threshold(_dense(spark, sf), 0.75).withColumn("score", F.round("score", 6))
 
 
 @query(
     "web_trigger",
-    """SELECT q.vec_id AS query_id, mode, coalesce(top_score, 0.0) AS top_score,
+    """SELECT q.vec_id AS query_id, mode, round(coalesce(top_score, 0.0), 6) AS top_score,
          CASE WHEN mode = 'always' OR (mode = 'auto' AND coalesce(top_score, 0.0) < 0.55) THEN mode END AS triggered_by
        FROM (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'off' WHEN 1 THEN 'auto' ELSE 'always' END AS mode FROM embeddings) q
        LEFT JOIN (SELECT query_id, max(score) AS top_score FROM v_dense_kept WHERE chunk_id <> query_id GROUP BY query_id) t ON t.query_id = q.vec_id""",
@@ -52,7 +52,7 @@ def web_trigger(spark, sf):
         "query_id", F.when(q % 3 == 0, "off").when(q % 3 == 1, "auto").otherwise("always").alias("mode")
     )
     ranked = retrieval.dense_threshold(_dense(spark, sf), 0.75).where(F.col("chunk_id") != q)
-    return retrieval.web_trigger(modes, ranked)
+    return retrieval.web_trigger(modes, ranked).withColumn("top_score", F.round("top_score", 6))
 
 
 @query("ann_topk")
@@ -110,7 +110,7 @@ _LETTER_VEC = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), la
 SQL_VIEWS["v_letter_rank"] = f"""
   SELECT query_id, video_id, chunk_id, score, rn - 1 AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM (
-      SELECT q.query_id, q.video_id, c.chunk_id, round(least(1.0, greatest(0.0, (1 + coalesce(list_inner_product(qv, cv) / nullif(sqrt(list_inner_product(qv, qv)) * sqrt(list_inner_product(cv, cv)), 0), 0)) / 2)), 6) AS score
+      SELECT q.query_id, q.video_id, c.chunk_id, round(least(1.0, greatest(0.0, (1 + coalesce(list_inner_product(qv, cv) / nullif(sqrt(list_inner_product(qv, qv)) * sqrt(list_inner_product(cv, cv)), 0), 0)) / 2)), 12) AS score
       FROM (SELECT *, {_LETTER_VEC.format(t='question')} AS qv FROM v_questions) q
       JOIN (SELECT *, {_LETTER_VEC.format(t='text')} AS cv FROM v_corpus) c USING (video_id))) WHERE rn <= 30
 """
@@ -258,9 +258,9 @@ def length_buckets(spark, sf):
     return retrieval.length_buckets(items, 4)
 
 
-@query("relevance", "SELECT query_id, chunk_id, round(2 - 2 * score, 6) AS distance, score AS relevance FROM v_dense")
+@query("relevance", "SELECT query_id, chunk_id, round(2 - 2 * score, 6) AS distance, score AS relevance FROM (SELECT query_id, chunk_id, round(score, 6) AS score FROM v_dense)")
 def relevance(spark, sf):
-    distance = F.round(2 - 2 * F.col("score"), 6)
+    distance = F.round(2 - 2 * F.round("score", 6), 6)
     return _dense(spark, sf).select(
         "query_id", "chunk_id", distance.alias("distance"), F.round(num.relevance(distance), 6).alias("relevance")
     )

@@ -98,7 +98,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, keys: Sequence[str] =
         a, b = (np.stack(x["vec"].to_numpy()).astype("float64") for x in (q, c))
         norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
         cosine = np.divide(a @ b.T, norms, out=np.zeros((len(a), len(b))), where=norms > 0)
-        score = np.round(np.clip((1.0 + cosine) / 2.0, 0.0, 1.0), 6)
+        score = np.round(np.clip((1.0 + cosine) / 2.0, 0.0, 1.0), 12)  # equal vectors tie whatever the product's order
         order = np.argsort(-score, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(a)), order.shape[1])
         out = pd.DataFrame(
