@@ -41,7 +41,32 @@ def canonicalize_text(spark, sf):
     )
 
 
-@query("spell_number")
+def number_words_sql(number: str) -> str:
+    """An integer column in words: groups of three digits, the first without its leading zeros."""
+    names = "[" + ", ".join(f"'{n}'" for n in fv.DIGIT_NAMES) + "]"
+    scales = "[" + ", ".join(f"'{n}'" for n in fv.SCALE_NAMES) + "]"
+    digits = f"abs({number})::VARCHAR"
+    groups = f"((length({digits}) + 2) // 3)"
+    h, t, o = (f"substr(g, {i}, 1)::INT" for i in (1, 2, 3))
+    special = " ".join(f"WHEN {k} THEN '{v}'" for k, v in fv.ONES_AFTER_TENS.items())
+    words = f"""concat_ws(' ',
+        CASE WHEN {h} > 0 OR i > 1 THEN {names}[{h} + 1] || ' trăm' END,
+        CASE WHEN ({h} > 0 OR i > 1) AND {t} = 0 AND {o} > 0 THEN 'lẻ' END,
+        CASE {t} WHEN 0 THEN NULL WHEN 1 THEN 'mười' ELSE {names}[{t} + 1] || ' mươi' END,
+        CASE WHEN {o} = 0 THEN NULL WHEN {t} = 0 THEN {names}[{o} + 1]
+             WHEN {t} = 1 THEN CASE {o} WHEN 5 THEN '{fv.ONES_AFTER_TENS[5]}' ELSE {names}[{o} + 1] END
+             ELSE CASE {o} {special} ELSE {names}[{o} + 1] END END,
+        nullif({scales}[{groups} - i + 1], ''))"""
+    cut = f"list_transform(range({groups}), lambda i: substr(lpad({digits}, ({groups} * 3)::INT, '0'), (i * 3 + 1)::INT, 3))"
+    said = f"array_to_string(list_filter(list_transform({cut}, lambda g, i: CASE WHEN g = '000' THEN NULL ELSE {words} END), lambda x: x IS NOT NULL), ' ')"
+    return f"CASE WHEN {number} = 0 THEN '{fv.DIGIT_NAMES[0]}' ELSE CASE WHEN {number} < 0 THEN 'âm ' ELSE '' END || {said} END"
+
+
+@query(
+    "spell_number",
+    f"""SELECT o_orderkey, {number_words_sql('o_orderkey')} AS key_words, {number_words_sql('price')} AS price_words
+        FROM (SELECT o_orderkey, trunc(o_totalprice * 100)::BIGINT - 20000000 AS price FROM orders)""",
+)
 def spell_number(spark, sf):
     return views.table(spark, sf, "orders").select(
         "o_orderkey",
