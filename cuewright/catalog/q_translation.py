@@ -34,7 +34,35 @@ def technical_lines(spark, sf):
     )
 
 
-@query("canonicalize_text")
+SQL_VIEWS["v_technical"] = """
+  SELECT video_id, line_idx AS seg_idx, CASE line_idx % 6
+    WHEN 0 THEN 'GPT-' || (line_idx % 9) || ' cần ' || line_idx || ' GB RAM, ' WHEN 1 THEN 'docker ps -a node:' || (line_idx % 30) || '-alpine '
+    WHEN 2 THEN 'f(x) = w + ' || (line_idx * 1234) || '.5% ' WHEN 3 THEN '/app/src/main.py “NASA” ''x'' '
+    WHEN 4 THEN '$' || (line_idx * 1001) || ' CLI API --help ' ELSE '' END || line AS text FROM v_lines
+"""
+_WORD_CLASS = r"\p{L}\p{N}_"
+_BLANK_CLASS = "".join(rf"\x{{{ord(c):x}}}" for c in fv.WHITESPACE)
+
+
+def canonical_sql(text: str) -> str:
+    """Paired quotes are set aside, since DuckDB's patterns cannot look around; then all other quotes go."""
+    double, single = fv.QUOTES_TO_DOUBLE + '"', fv.QUOTES_TO_SINGLE
+    blanks, quotes = " " * len(double), "''" * len(single)
+    plain = f"translate(nfc_normalize({text}), '{double}{single}', '{blanks}{quotes}')"
+    for _ in range(2):  # twice: neighbouring pairs share a letter
+        plain = rf"regexp_replace({plain}, '([{_WORD_CLASS}])''([{_WORD_CLASS}])', '\1' || chr(2) || '\2', 'g')"
+    bare = f"replace(replace({plain}, '''', ' '), chr(2), '''')"
+    return rf"regexp_replace(trim(regexp_replace({bare}, '[{_BLANK_CLASS}]+', ' ', 'g')), ' ([,.;:!?])', '\1', 'g')"
+
+
+def glossary_sql(text: str, words: dict) -> str:
+    for key in sorted(words, key=len, reverse=True):
+        for _ in range(2):
+            text = rf"regexp_replace({text}, '(^|[^{_WORD_CLASS}])(?i:{key})($|[^{_WORD_CLASS}])', '\1{words[key]}\2', 'g')"
+    return text
+
+
+@query("canonicalize_text", f"SELECT video_id, seg_idx, {canonical_sql('text')} AS text FROM v_technical")
 def canonicalize_text(spark, sf):
     return technical_lines(spark, sf).select(
         "video_id", "seg_idx", spoken.canonicalize_text(F.col("text")).alias("text")
@@ -83,7 +111,7 @@ def pronounce(spark, sf):
     return rows.select("video_id", "seg_idx", spoken.pronounce(F.col("text"), own).alias("text"), preview.alias("preview"))
 
 
-@query("apply_glossary")
+@query("apply_glossary", f"SELECT video_id, seg_idx, {glossary_sql('text', GLOSSARY)} AS text FROM v_technical")
 def apply_glossary(spark, sf):
     mapping = F.create_map(*[F.lit(x) for pair in GLOSSARY.items() for x in pair])
     return technical_lines(spark, sf).select(
