@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.session import written_once
+from cuewright.llm.common import stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     many links does not become one task.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, mark = written_once(edges, "links"), None
+    edges, mark = stored(edges, "links"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("m_a")).agg(F.least(F.col("m_a"), F.min("b")).alias("m"))
@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         lowest = large.groupBy(F.col("a").alias("m_a")).agg(F.min("b").alias("m"))
         moved = large.join(lowest, F.col("a") == F.col("m_a")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written_once(moved.unionByName(lowest.select(F.col("m_a").alias("a"), F.col("m").alias("b"))).distinct(), "links")
+        edges = stored(moved.unionByName(lowest.select(F.col("m_a").alias("a"), F.col("m").alias("b"))).distinct(), "links")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import packed
+from cuewright.llm.common import packed, stored
 from cuewright.llm.components import components
 from cuewright.llm.shingles import STEP, WordHashes, mixed, shingle_set
 from cuewright.session import written_once
@@ -181,7 +181,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int, growth: int = 8) -> tuple
     roles = named.where("node is not null").join(first, "node").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("first_id")).cast("int")).alias("leads"))
     repeats = roles.where("leads = 0 and doc_id is not null").select("doc_id")
     leading = docs.select("doc_id", "text").join(_bounded(repeats), "doc_id", "left_anti")
-    cells = written_once(_cells(leading, k, percent), "jaccard-cells")
+    cells = stored(_cells(leading, k, percent), "jaccard-cells")
     needed = cells.select("node").distinct().join(first, "node").select(F.col("first_id").alias("doc_id")).distinct()
     at_null = docs.select("doc_id", "text").where("doc_id is null")
     wanted = leading.where("doc_id is not null").join(_bounded(needed.where("doc_id is not null")), "doc_id", "left_semi").unionByName(at_null)
@@ -195,10 +195,10 @@ def linked_sets(docs: DataFrame, k: int, percent: int, growth: int = 8) -> tuple
         pairs = pairs.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        fresh = written_once(_measured(pairs, sets), "jaccard-measured")
+        fresh = stored(_measured(pairs, sets), "jaccard-measured")
         tried = fresh if tried is None else tried.unionByName(fresh)
         labels = components(tried.where(f"100 * common >= {percent} * all"))
-        cells = written_once(_split(cells, tried, labels, percent, pivots), "jaccard-cells")
+        cells = stored(_split(cells, tried, labels, percent, pivots), "jaccard-cells")
         pivots *= growth
     return named, labels
 
