@@ -26,7 +26,7 @@ SQL_VIEWS["v_dense_kept"] = """
 
 
 def _dense(spark, sf):
-    return retrieval.nearest(views.vectors(spark, sf), views.vector_queries(spark, sf), fv.FETCH_K)
+    return retrieval.nearest(views.vectors(spark, sf), views.vector_queries(spark, sf), fv.FETCH_K, digits=12)
 
 
 @query("dense_topk", "SELECT * REPLACE (round(score, 6) AS score) FROM v_dense")
@@ -145,7 +145,7 @@ def _questions(spark, sf):
 def rrf_fuse(spark, sf):
     corpus, asked = _corpus(spark, sf), _questions(spark, sf)
     texts = corpus.select("video_id", "chunk_id", "text")
-    dense = retrieval.dense_threshold(retrieval.nearest(corpus, asked, fv.FETCH_K), 0.985)
+    dense = retrieval.dense_threshold(retrieval.nearest(corpus, asked, fv.FETCH_K, digits=12), 0.985)
     both = dense.withColumn("list", F.lit(0)).unionByName(retrieval.bm25_topk(texts, asked).withColumn("list", F.lit(1)))
     return retrieval.rrf_fuse(both.drop("score").join(texts, ["video_id", "chunk_id"])).drop("text")
 

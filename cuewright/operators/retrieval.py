@@ -65,12 +65,15 @@ def _block_count(df: DataFrame, keys: list[str], block: int, name: str) -> DataF
     return broadcast_if_small(counted.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias(name)))
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, k: int, keys: Sequence[str] = ("video_id",)) -> DataFrame:
+def nearest(
+    chunks: DataFrame, queries: DataFrame, k: int, keys: Sequence[str] = ("video_id",), digits: int = 6
+) -> DataFrame:
     """``k`` chunks of highest cosine relevance per query among chunks with the same ``keys``.
 
     ``chunks``: keys, ``chunk_id, vec``; ``queries``: keys, ``query_id, vec``. Both sides are split
     into blocks where a key is large, blocks meet in matrix products, and only each block's best
-    ``k`` per query leave it, so neither pairs nor a hot video pile up anywhere.
+    ``k`` per query leave it, so neither pairs nor a hot video pile up anywhere. Ranks follow the full score;
+    ``digits`` rounds the score that is returned, 12 for one that a threshold is put to.
     """
     keys = list(keys)
     many_chunks = _block_count(chunks, keys, CHUNK_BLOCK, "_cn")
@@ -117,7 +120,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, keys: Sequence[str] =
     found = left.groupBy(*part).cogroup(right.groupBy(*part)).applyInPandas(best, schema)
     if keys != ["video_id"]:
         found = found.groupBy("video_id", "query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return top_k(found, k)
+    return top_k(found, k).withColumn("score", F.round("score", digits))
 
 
 def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -280,7 +283,7 @@ def hybrid_retrieve(
 ) -> DataFrame:
     """Dense and sparse rankings, fused (``corpus``: chunk text and ``vec``; ``questions``: text and ``vec``)."""
     texts = corpus.select("video_id", "chunk_id", "text")
-    dense = dense_threshold(nearest(corpus, questions, fetch_k), threshold)
+    dense = dense_threshold(nearest(corpus, questions, fetch_k, digits=12), threshold)
     sparse = bm25_topk(texts, questions, fetch_k)
     both = dense.withColumn("list", F.lit(0)).unionByName(sparse.withColumn("list", F.lit(1))).drop("score")
     return rrf_fuse(both.join(texts, ["video_id", "chunk_id"]), final_k=final_k)
