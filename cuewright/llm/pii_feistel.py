@@ -14,16 +14,22 @@ EPOCH = "1800-01-01"
 #: Days of one Gregorian cycle, 1800 to 2199: 189 * 773, the two halves of the date network.
 DAY_HALVES = (189, 773)
 
-#: Candidate shapes, tried in this order at each place; validation decides afterwards.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Candidate shapes. A place may have several candidates, of several kinds and lengths; validation decides among them.
+LOCAL = r"A-Za-z0-9._%+-"
+EMAIL = rf"(?:(?<![{LOCAL}])|(?<=\d)(?!\d))[{LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}\b"
-ISO_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
-DAY_DATE = r"\b\d{2}([./])\d{2}\1\d{4}\b"
+#: A date ends at a word's edge or before the T of a time.
+ISO_DATE = r"\b\d{4}-\d{2}-\d{2}(?:\b|(?=[Tt]))"
+DAY_DATE = r"\b\d{2}([./])\d{2}\%d\d{4}(?:\b|(?=[Tt]))"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-SHAPES = "|".join((EMAIL, IBAN, PHONE, ISO_DATE, DAY_DATE, IPV4, SSN, CARD))
+#: Characters that show every candidate of a place but an address, the value behind it, and what must not follow either.
+WINDOW = 100
+#: The start of any candidate, as an empty match; group 1 an e-mail address, the last one the window.
+PLACE = rf"(?=({EMAIL})|{IBAN}|{PHONE}|{ISO_DATE}|{DAY_DATE % 2}|{IPV4}|{SSN}|{CARD})(?=([\s\S]{{1,{WINDOW}}}))"
+PLACE_WINDOW = 3
 
 
 def _number(col: Column) -> Column:
@@ -195,25 +201,106 @@ def _email(item: Column, key: str) -> Column:
     return F.concat(permute_chars(local, key, F.concat(F.lit("email"), F.lower(host))), F.lit("@"), host)
 
 
-#: kind, test of a candidate, pseudonym. The first that holds decides; a candidate that fits none is left as it is.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _shape(window: Column, shape: str) -> Column:
+    """What ``shape`` matches behind the first character of ``window``; empty if nothing."""
+    return F.regexp_extract(window, rf"^[\s\S]({shape})", 1)
+
+
+def _heads(item: Column, separators: str) -> Column:
+    """``item`` and its shorter forms: what ends at a border of its groups."""
+
+    def cut(groups: Column) -> Column:
+        length = lambda k: F.aggregate(F.slice(groups, F.lit(1), k), F.lit(-1), lambda a, g: a + F.char_length(g) + 1)
+        return F.transform(F.sequence(F.lit(1), F.size(groups)), lambda k: F.substring(item, F.lit(1), length(k).cast("int")))
+
+    return _let(F.split(item, separators), cut)
+
+
+def _one(window: Column, shape: str, test: Callable[[Column], Column]) -> Column:
+    return F.filter(F.array(_shape(window, shape)), lambda v: (v != "") & test(v))
+
+
+def _ibans(window: Column) -> Column:
+    whole = lambda v: v.rlike(f"^{IBAN}$") & (mod97(F.replace(v, F.lit(" "), F.lit(""))) == 1)
+    return _let(_shape(window, IBAN), lambda s: F.when(s != "", F.filter(_heads(s, " "), whole)))
+
+
+def _phones(window: Column) -> Column:
+    """Those of 8 to 15 digits; behind country code 1 a number has 11 digits with it, if any candidate does."""
+    whole = lambda v: v.rlike(f"^{PHONE}$") & F.char_length(_digits(v)).between(8, 15)
+    american = lambda v: v.startswith("+1") & (F.char_length(_digits(v)) == 11)
+    chosen = lambda vs: F.when(F.exists(vs, american), F.filter(vs, american)).otherwise(vs)
+    return _let(_shape(window, PHONE), lambda s: F.when(s != "", _let(F.filter(_heads(s, "[ .-]"), whole), chosen)))
+
+
+def _cards(window: Column) -> Column:
+    whole = lambda v: v.rlike(r"^\d(?:[ -]?\d){12,18}$") & (luhn_sum(_digits(v), 0) % 10 == 0)
+    return _let(_shape(window, CARD), lambda s: F.when(s != "", F.filter(_heads(s, "[ -]"), whole)))
+
+
+def _dates(window: Column) -> Column:
+    known = lambda v: F.coalesce(_day(v).between(F.lit("1800-01-01").cast("date"), F.lit("2199-12-31").cast("date")), F.lit(False))
+    return _one(window, f"{ISO_DATE}|{DAY_DATE % 2}", known)
+
+
+def _addresses(window: Column) -> Column:
+    return _one(window, IPV4, lambda s: s.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.|$)){4}"))
+
+
+def _ssns(window: Column) -> Column:
+    return _one(window, SSN, lambda s: s.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"))
+
+
+#: kind, valid values at a place (the window starts one character before it), pseudonym. The first kind with a value decides.
 KINDS: list[tuple[str, Callable[[Column], Column], Callable[[Column, str], Column]]] = [
-    ("email", lambda s: F.contains(s, F.lit("@")), _email),
-    ("iban", lambda s: s.rlike(r"^[A-Z]{2}\d{2}") & (mod97(F.replace(s, F.lit(" "), F.lit(""))) == 1), _iban),
-    ("phone", lambda s: s.rlike(r"^\+") & F.char_length(_digits(s)).between(8, 15), _phone),
-    ("date", lambda s: F.coalesce(_day(s).between(F.lit("1800-01-01").cast("date"), F.lit("2199-12-31").cast("date")), F.lit(False)), _date),
-    ("ipv4", lambda s: s.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.|$)){4}"), _address),
-    ("ssn", lambda s: s.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"), _ssn),
-    ("card", lambda s: s.rlike(r"^\d(?:[ -]?\d){12,18}$") & (luhn_sum(_digits(s), 0) % 10 == 0), _card),
+    ("email", lambda w: _one(w, EMAIL, lambda s: F.lit(True)), _email),
+    ("iban", _ibans, _iban),
+    ("phone", _phones, _phone),
+    ("date", _dates, _date),
+    ("ipv4", _addresses, _address),
+    ("ssn", _ssns, _ssn),
+    ("card", _cards, _card),
 ]
 
 
-def _classified(item: Column, key: str) -> Column:
-    """Struct (kind, new): null kind where nothing was recognised."""
-    kind, new = F.lit(None).cast("string"), item
-    for name, test, make in reversed(KINDS):
-        holds = test(item)
-        kind, new = F.when(holds, F.lit(name)).otherwise(kind), F.when(holds, make(item, key)).otherwise(new)
-    return F.struct(kind.alias("kind"), new.alias("new"))
+def _found(window: Column, kinds: list) -> Column:
+    """Struct (kind, items) of the first of ``kinds`` with valid values at the place; null if none."""
+
+    def named(name: str, values: Callable[[Column], Column]) -> Column:
+        return _let(values(window), lambda vs: F.when(F.size(vs) > 0, F.struct(F.lit(name).alias("kind"), vs.alias("items"))))
+
+    return F.coalesce(*[named(name, values) for name, values, _ in kinds])
+
+
+def _value(window: Column, email: Column) -> Column:
+    """Struct (kind, item) of the value at a place: the longest valid one, counting the value one separator behind it.
+
+    So a number does not take the first digits of the value that follows it.
+    """
+
+    def length(v: Column) -> Column:
+        behind = _found(F.substring(window, F.char_length(v) + 2, F.lit(WINDOW)), KINDS)
+        return F.char_length(v) + F.coalesce(F.array_max(F.transform(behind["items"], F.char_length)), F.lit(0))
+
+    def pick(values: Column) -> Column:
+        ranked = F.transform(values, lambda v: F.struct(length(v).alias("n"), F.char_length(v).alias("own"), v.alias("v")))
+        return F.when(F.size(values) > 1, F.array_max(ranked)["v"]).otherwise(F.get(values, F.lit(0)))
+
+    address = F.when(email != "", F.struct(F.lit("email").alias("kind"), F.array(email).alias("items")))
+    found = F.coalesce(address, _found(window, KINDS[1:]))
+    return _let(found, lambda f: F.when(f.isNotNull(), F.struct(f["kind"].alias("kind"), pick(f["items"]).alias("item"))))
+
+
+def _pseudonym(found: Column, key: str) -> Column:
+    new = F
+    for name, _, make in KINDS:
+        new = new.when(found["kind"] == name, make(found["item"], key))
+    return new
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -221,21 +308,51 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Equal values get equal pseudonyms in all documents, whatever their separators; different values of a kind and
     format get different ones. The text between the values is untouched. Numbers that fail their check (Luhn, mod 97,
-    octets, calendar) stay. A value must lie within one line. A null text is empty and has no values.
+    octets, calendar) stay, but the values inside them are found: every start at a border of digit groups
+    and every length that ends at one is tried, and the search goes on just behind a value. A value must lie within one line. A null text is empty and has no values.
     The key is the caller's secret.
     """
 
     def scrub(line: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(line, F.lit(SHAPES), F.lit(0)), lambda s: _classified(s, key))
-        between = F.split(line, SHAPES, -1)
-        new = F.concat(F.transform(found, lambda f: f["new"]), F.array(F.lit("")))
-        joined = F.array_join(F.zip_with(between, new, lambda b, n: F.concat(b, n)), "")
-        kinds = F.filter(F.transform(found, lambda f: f["kind"]), lambda k: k.isNotNull())
-        return F.struct(joined.alias("line"), kinds.alias("kinds"))
+        # The first piece is no place; every other one starts at a place.
+        pieces = F.split(F.concat(F.lit("\n"), line), PLACE, -1)
+        emails, windows = (F.regexp_extract_all(line, F.lit(PLACE), F.lit(g)) for g in (1, PLACE_WINDOW))
+        return _let(pieces, lambda p: fold(p, F.zip_with(emails, windows, lambda e, w: F.struct(e.alias("email"), w.alias("window")))))
+
+    def fold(pieces: Column, places: Column) -> Column:
+        before = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.substring(p, -1, 1))
+        behind = F.slice(pieces, F.lit(2), F.size(pieces))
+        parts = F.zip_with(
+            F.zip_with(before, behind, lambda b, p: F.struct(b.alias("before"), p.alias("piece"))),
+            places,
+            lambda p, x: F.struct(p["piece"].alias("piece"), x["email"].alias("email"), F.concat(p["before"], x["window"]).alias("window")),
+        )
+
+        def state(skip: Column, line: Column, kinds: Column) -> Column:
+            return F.struct(skip.cast("int").alias("skip"), line.alias("line"), kinds.alias("kinds"))
+
+        def rest(piece: Column, n: Column) -> Column:
+            return F.substring(piece, n + 1, F.char_length(piece))
+
+        def step(so_far: Column, x: Column) -> Column:
+            """``skip``: characters from this place on that belong to the value before."""
+            piece, size = x["piece"], F.char_length(x["piece"])
+            inside = state(F.greatest(so_far["skip"] - size, F.lit(0)), F.concat(so_far["line"], rest(piece, so_far["skip"])), so_far["kinds"])
+
+            def replaced(v: Column) -> Column:
+                n = F.char_length(v["item"])
+                line = F.concat(so_far["line"], _pseudonym(v, key), rest(piece, n))
+                taken = state(F.greatest(n - size, F.lit(0)), line, F.concat(so_far["kinds"], F.array(v["kind"])))
+                return F.when(v.isNotNull(), taken).otherwise(state(F.lit(0), F.concat(so_far["line"], piece), so_far["kinds"]))
+
+            return F.when(so_far["skip"] > 0, inside).otherwise(_let(_value(x["window"], x["email"]), replaced))
+
+        start = state(F.lit(0), F.substring(F.get(pieces, F.lit(0)), 2, 1 << 30), F.array().cast("array<string>"))
+        return _let(F.aggregate(parts, start, step), lambda s: F.struct(s["line"].alias("line"), s["kinds"].alias("kinds")))
 
     untouched = lambda line: F.struct(line.alias("line"), F.array().cast("array<string>").alias("kinds"))
     lines = F.transform(
-        F.split(whole_text(text), "\n", -1), lambda line: F.when(line.rlike("[0-9@]"), scrub(line)).otherwise(untouched(line))
+        F.split(whole_text(text), "\n", -1), lambda line: F.when(line.rlike(PLACE), scrub(line)).otherwise(untouched(line))
     )
     rows = docs.select(packed(docs).alias("row"), lines.alias("lines"))
     return rows.select(

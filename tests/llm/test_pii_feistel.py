@@ -129,3 +129,28 @@ def test_key_matters_and_edges(spark):
     for r in out.collect():
         assert r.pii_text == (r.text or "") and r.pii_kinds == []
     assert pii.pseudonymise(table(spark, []), KEY).count() == 0
+
+
+def test_values_inside_and_behind_failing_candidates(spark):
+    texts = {
+        "+1 (826) 555-4081 190.137.223.9": ["phone", "ipv4"],
+        "+44 20 7946 0958 190.137.223.9": ["phone", "ipv4"],
+        "+49 30 1234567 4111 1111 1111 1111": ["phone", "card"],
+        "4111 1111 1111 1111 123": ["card"],
+        "4111 1111 1111 1111 12/27": ["card"],
+        "10 4111111111111111": ["card"],
+        "BE68 5390 0754 7034 250 EUR": ["iban"],
+        "+1 (487) 555-7209 12": ["phone"],
+        "2020-02-03T10:11:12 and 2020-02-03": ["date", "date"],
+        "2020-02-03 10.0.0.1 123-45-6789 a.b@example.com 01.02.2020": ["date", "ipv4", "ssn", "email", "date"],
+        "4111 1111 1111 1111 5500 0000 0000 0004 +1 (217) 555-0100 DE89 3704 0044 0532 0130 00": ["card", "card", "phone", "iban"],
+        "+49 30 1234567.user@example.com": ["phone", "email"],
+    }
+    out = scrub(spark, list(texts))
+    assert {t: out[i][1] for i, t in enumerate(texts)} == texts
+    alone = scrub(spark, ["+1 (826) 555-4081", "190.137.223.9", "4111 1111 1111 1111", "BE68 5390 0754 7034", "+1 (487) 555-7209", "2020-02-03"])
+    phone, address, card, iban, phone2, day = (alone[i][0] for i in range(6))
+    got = [out[i][0] for i in range(len(texts))]
+    assert got[0] == f"{phone} {address}" and got[3] == f"{card} 123" and got[4] == f"{card} 12/27"
+    assert got[5] == "10 " + card.replace(" ", "") and got[6] == f"{iban} 250 EUR" and got[7] == f"{phone2} 12"
+    assert got[8] == f"{day}T10:11:12 and {day}"
