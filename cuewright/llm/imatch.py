@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import whole_text, with_next, words
@@ -14,7 +14,11 @@ DRAWS = 8
 KINDS = len(DENSITIES) * DRAWS
 #: Inverse-document-frequency band, as the least and most share of documents.
 BAND = (0.001, 0.1)
-#: Lexicon entries that may be broadcast: 16 bytes each. A band from a share s up holds at most (mean distinct terms) / s terms.
+#: A term of as many documents is in the band at any corpus size: the lower end is a share of small tables alone.
+FREQUENT = 10
+#: Terms that a text has at least, if it has as many (one in a sub-lexicon of the highest density, on average): short of them, its terms nearest to the band are added.
+LEAST_TERMS = 16
+#: Lexicon entries that may be broadcast: 16 bytes each.
 MAX_BROADCAST = 1_000_000
 
 
@@ -23,21 +27,51 @@ def term_hashes(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))))
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """term, mask: terms whose document frequency lies in the band, and the sub-lexicons (bits) each belongs to.
-
-    Frequencies are counted over all documents; the band is a share, so the lexicon's size is bounded at any corpus size.
-    """
-    n = docs.count()
+def frequencies(docs: DataFrame, least: int = 1) -> DataFrame:
+    """term, count: the terms of at least ``least`` documents, counted over all documents."""
     terms = docs.select(F.explode(term_hashes(whole_text())).alias("term"))
-    kept = terms.groupBy("term").count().where(F.col("count").between(band[0] * n, band[1] * n))
+    return terms.groupBy("term").count().where(F.col("count") >= least)
+
+
+def edges_of(n: int, band: tuple[float, float]) -> tuple[float, float]:
+    """The band's ends as numbers of documents."""
+    return min(band[0] * n, FREQUENT), band[1] * n
+
+
+def masked(term: Column) -> Column:
+    """The sub-lexicons (bits) a term belongs to."""
     bits = []
     for d, density in enumerate(DENSITIES):
         for draw in range(DRAWS):
             k = d * DRAWS + draw
-            drawn = F.pmod(F.xxhash64(F.lit(k), F.col("term")), F.lit(1 << density)) == 0
+            drawn = F.pmod(F.xxhash64(F.lit(k), term), F.lit(1 << density)) == 0
             bits.append(F.when(drawn, F.lit(1 << k)).otherwise(F.lit(0)))
-    return kept.select("term", sum(bits[1:], bits[0]).cast("int").alias("mask"))
+    return sum(bits[1:], bits[0]).cast("int")
+
+
+def in_band(counts: DataFrame, ends: tuple[float, float]) -> DataFrame:
+    """term, mask: the counted terms inside the band."""
+    return counts.where(F.col("count").between(*ends)).select("term", masked(F.col("term")).alias("mask"))
+
+
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
+    """term, mask: terms whose document frequency lies in the band, and the sub-lexicons (bits) each belongs to."""
+    return in_band(frequencies(docs), edges_of(docs.count(), band))
+
+
+def nearest_terms(texts: DataFrame, counts: DataFrame, ends: tuple[float, float]) -> DataFrame:
+    """row, of_edited, term: the ``LEAST_TERMS`` terms of each text that are nearest to the band.
+
+    ``texts`` holds row, of_edited and terms (distinct). Nearness is the ratio of a term's frequency to the nearer end,
+    ties go by hash; a term that ``counts`` does not hold is in one document.
+    """
+    rows = texts.select("row", "of_edited", F.explode("terms").alias("term"))
+    known = counts.select(F.col("term").alias("c_term"), "count")
+    n = F.coalesce(F.col("count"), F.lit(1))
+    away = F.greatest(F.lit(1.0), F.lit(float(ends[0])) / n, n / F.lit(float(ends[1])))
+    counted = rows.join(known, F.col("term") == F.col("c_term"), "left").select("row", "of_edited", "term", away.alias("away"))
+    place = F.row_number().over(Window.partitionBy("row", "of_edited").orderBy("away", "term"))
+    return counted.withColumn("place", place).where(F.col("place") <= LEAST_TERMS).select("row", "of_edited", "term")
 
 
 def sub_hashes(terms: Column, mask: Column, mine: Column) -> list[Column]:
@@ -73,13 +107,19 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(left == right, F.lit(1.0)).when(whole, F.lit(0.0)).otherwise(F.greatest(*shares))
 
 
+def halves(text: Column, following: Column) -> Column:
+    """``text`` with its last half replaced by the beginning of the following one."""
+    n = F.char_length(text)
+    half = F.floor(n / 2).cast("int")
+    return F.concat(F.substring(text, F.lit(1), (n - half).cast("int")), F.substring(following, F.lit(1), half))
+
+
 def with_edited(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_chars, edited, tie, next_doc_id, next_tie: the last half of the text replaced by the first of the next document."""
     base = docs.select("doc_id", whole_text().alias("text")).withColumn("tie", F.sha2(F.col("text"), 256))
     paired = with_next(base, "doc_id", ["tie"], ["text", "doc_id", "tie"])
     n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
+    edited = halves(F.col("text"), F.coalesce("next_text", F.lit("")))
     return paired.select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "tie", "next_doc_id", "next_tie", F.col("row_place").alias("row"))
 
 
@@ -89,7 +129,9 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     Null texts are empty. Equal texts have equal fingerprints. Repeated ids follow each other by the digest of their
     text; rows equal in both come out once per row. One document is its own next. Empty input gives no rows.
     """
-    terms = lexicon(docs, band).select(F.col("term").alias("l_term"), "mask").persist()
+    ends = edges_of(docs.count(), band)
+    counts = written_once(frequencies(docs, 2 if ends[0] > 1 else 1), "imatch-terms")
+    terms = in_band(counts, ends).select(F.col("term").alias("l_term"), "mask").persist()
     small = terms.count() <= MAX_BROADCAST
     both = with_edited(docs).withColumn("edited_sha256", F.sha2(F.col("edited"), 256))
     own = F.transform(term_hashes(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(False).alias("of_edited")))
@@ -98,16 +140,61 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     rows = both.select("row", *key, F.explode_outer(F.concat(own, new)).alias("e")).select("*", "e.term", "e.of_edited")
     hit = rows.join(F.broadcast(terms) if small else terms, F.col("term") == F.col("l_term"), "left")
     here, there = ~F.col("of_edited"), F.col("of_edited")
+    found = F.col("l_term").isNotNull()
+    of = lambda side: F.count(F.when(side & F.col("term").isNotNull(), 1))
+    short = lambda side: (F.count(F.when(side & found, 1)) < LEAST_TERMS) & (F.count(F.when(side & found, 1)) < of(side))
     prints = hit.groupBy("row", *key).agg(
         *[c.alias(f"a{k}") for k, c in enumerate(sub_hashes(F.col("term"), F.col("mask"), here))],
         *[c.alias(f"b{k}") for k, c in enumerate(sub_hashes(F.col("term"), F.col("mask"), there))],
+        short(here).alias("short"),
+        short(there).alias("edited_short"),
     )
     prints = prints.select(
+        "row",
         *key,
+        "short",
+        "edited_short",
         render(F.array(*[f"a{k}" for k in range(KINDS)]), F.col("tie")).alias("fingerprint"),
         render(F.array(*[f"b{k}" for k in range(KINDS)]), F.col("edited_sha256")).alias("edited_fingerprint"),
     )
     prints = written_once(prints, "imatch-prints")
+    lacking = prints.where("short or edited_short").select("row", "tie", "next_tie", "short", "edited_short")
+    if not lacking.isEmpty():
+        # Texts by digest, so that only those looked for are dealt again.
+        needed = lacking.select(F.explode(F.array("tie", "next_tie")).alias("n_tie")).distinct()
+        needed = F.broadcast(needed) if needed.count() <= MAX_BROADCAST // 10 else needed
+        held = docs.select(whole_text().alias("text")).withColumn("h_tie", F.sha2(F.col("text"), 256))
+        held = held.join(needed, F.col("h_tie") == F.col("n_tie"), "left_semi").dropDuplicates(["h_tie"])
+        held = written_once(held, "imatch-texts")
+        after = held.select(F.col("h_tie").alias("a_tie"), F.col("text").alias("next_text"))
+        texts = lacking.join(held, F.col("tie") == F.col("h_tie")).join(after, F.col("next_tie") == F.col("a_tie"))
+        texts = texts.withColumn("edited", halves(F.col("text"), F.col("next_text"))).select(
+            "row",
+            F.explode(
+                F.array(
+                    F.struct(F.lit(False).alias("of_edited"), F.when(F.col("short"), F.col("text")).alias("t")),
+                    F.struct(F.lit(True).alias("of_edited"), F.when(F.col("edited_short"), F.col("edited")).alias("t")),
+                )
+            ).alias("e"),
+        )
+        texts = texts.where("e.t is not null").select("row", "e.of_edited", F.sha2("e.t", 256).alias("digest"), term_hashes(F.col("e.t")).alias("terms"))
+        texts = written_once(texts, "imatch-short")
+        near = nearest_terms(texts, counts, ends).withColumn("mask", masked(F.col("term")))
+        more = near.groupBy("row", "of_edited").agg(
+            *[c.alias(f"a{k}") for k, c in enumerate(sub_hashes(F.col("term"), F.col("mask"), F.lit(True)))]
+        )
+        hashes = F.array(*[f"a{k}" for k in range(KINDS)])
+        more = more.join(texts.select("row", "of_edited", "digest"), ["row", "of_edited"])
+        more = more.select(F.col("row").alias("m_row"), "of_edited", render(hashes, F.col("digest")).alias("print"))
+        more = more.groupBy("m_row").agg(
+            F.max(F.when(~F.col("of_edited"), F.col("print"))).alias("own_print"), F.max(F.when(F.col("of_edited"), F.col("print"))).alias("new_print")
+        )
+        whole = prints.join(more, F.col("row") == F.col("m_row"), "left").select(
+            *key,
+            F.coalesce("own_print", "fingerprint").alias("fingerprint"),
+            F.coalesce("new_print", "edited_fingerprint").alias("edited_fingerprint"),
+        )
+        prints = written_once(whole, "imatch-whole")
     following = prints.groupBy(F.col("doc_id").alias("n_doc_id"), F.col("tie").alias("n_tie")).agg(F.first("fingerprint").alias("next_fingerprint"))
     paired = prints.join(following, F.col("next_doc_id").eqNullSafe(F.col("n_doc_id")) & (F.col("next_tie") == F.col("n_tie")), "left")
     return paired.select(

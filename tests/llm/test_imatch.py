@@ -86,3 +86,28 @@ def test_next_over_many_buckets(spark):
     got = {r.doc_id: r.next_text for r in with_next(df, "doc_id", ["text"], ["text"], rows_per_bucket=50).collect()}
     ids = list(range(0, 5000, 7))
     assert got == {a: str(b) for a, b in zip(ids, ids[1:] + ids[:1])}
+
+
+def test_near_copies_that_hold_a_third_of_the_rows(spark):
+    rng = random.Random(5)
+    base = [f"c{i}" for i in range(60)]
+    rows = []
+    for d in range(600):
+        if d < 200:
+            text = base[:-2] + [f"x{d}", f"y{d}"]
+        else:
+            text = words(rng, 60, 3000).split()
+        rows.append((d, " ".join(text), "en", "s", 1))
+    out = {r.doc_id: r for r in imatch.fingerprints(table(spark, rows)).collect()}
+    assert len(out) == 600
+    near = [out[d].near_next for d in range(199)]
+    assert sum(near) / 199 > 0.6 and not any(out[d].fingerprint.startswith("=") for d in range(200))
+
+
+def test_least_terms_and_lower_end(spark):
+    assert imatch.edges_of(10_000_000, imatch.BAND) == (imatch.FREQUENT, 1_000_000.0)
+    assert imatch.edges_of(200, (0.05, 0.3)) == (10.0, 60.0)
+    counts = table(spark, [(t, n) for t, n in ((1, 50), (2, 500), (3, 200), (4, 5), (5, 900))], "term long, count long")
+    texts = table(spark, [(7, False, [1, 2, 3, 4, 5, *range(6, 40)])], "row long, of_edited boolean, terms array<long>")
+    got = sorted(r.term for r in imatch.nearest_terms(texts, counts, (10.0, 100.0)).collect())
+    assert got == list(range(1, imatch.LEAST_TERMS + 1))
