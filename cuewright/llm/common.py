@@ -95,3 +95,21 @@ def with_next(df: DataFrame, order: str, ties: list[str], carried: list[str], ro
     place = F.col("_bucket").cast("long") * F.lit(1 << 40) + F.row_number().over(inside)
     out = dealt.select("*", *[F.lead(c).over(inside).alias(f"next_{c}") for c in carried], place.alias("row_place"))
     return out.where(~F.col("_halo")).drop("_bucket", "_key", "_first", "_to", "_halo")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``row_number``: 0, 1, 2, ... by the columns ``order`` (ascending, null first), written once.
+
+    One range sort; rows that tie are dealt on by where they were read, so a key with a third of all rows spreads over
+    tasks. Their numbers are arbitrary among them, so ``order`` must tell apart all rows that are not interchangeable, and ``df`` must be
+    read from files (or be otherwise repeatable). Only one row per task of that sort is summed up and broadcast.
+    """
+    spread = df.withColumn("_read", F.monotonically_increasing_id())
+    ranged = spread.repartitionByRange(*order, "_read").sortWithinPartitions(*order, "_read").drop("_read")
+    placed = written_once(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
+    task, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    out = placed.withColumn("_task", task).join(F.broadcast(starts), "_task")
+    return out.withColumn("row_number", F.col("_start") + inside).drop("_at", "_task", "_start")

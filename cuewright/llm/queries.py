@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import hmm_lm, imatch, jaccard_join, language_id, learned_ann, line_runs, mixing, pii_feistel, quality_fm, sentencepiece_sa
-from cuewright.llm.common import table
+from cuewright.llm import hmm_lm, imatch, jaccard_join, language_id, learned_ann, line_runs, merkle, mixing, pii_feistel, quality_fm, sentencepiece_sa
+from cuewright.llm.common import ascii_lower, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +144,70 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return learned_ann.search(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", k=20)
+
+
+#: Unsigned CRC-32 of ``(table).(column)`` as decimal text, for the ids of one table: table ``crc`` with id, crc.
+CRC_SQL = r"""
+crc_bits AS (
+    SELECT range AS i, range::BIGINT AS c, 0 AS k FROM range(256)
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_bits WHERE k < 8
+), crc_run AS (
+    SELECT DISTINCT {column}::BIGINT AS id, {column}::VARCHAR AS s, 0 AS place, 4294967295::BIGINT AS c FROM {table} WHERE {column} IS NOT NULL
+    UNION ALL
+    SELECT id, s, place + 1, xor(r.c >> 8, b.c) FROM crc_run r JOIN crc_bits b ON b.k = 8 AND b.i = xor(r.c & 255, ascii(substr(s, place + 1, 1))) WHERE place < length(s)
+), crc AS (SELECT id, xor(c, 4294967295) AS crc FROM crc_run WHERE place = length(s))
+"""
+
+
+def _merkle_sql(lower: int = 8, upper: int = 3, fanout: int = 8) -> str:
+    """Trees of at most ``lower`` and ``upper`` levels, one table per level."""
+    frame = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join([*map(frame, ("doc_id", "source", "lang", "n_chars")), frame(text)]) + ")"
+    parts = [
+        CRC_SQL.format(table="documents", column="doc_id").strip(),
+        f"""t AS (
+    SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN crc % 3 = 0
+        THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+    FROM documents LEFT JOIN crc ON id = doc_id)""",
+        """a0 AS (
+    SELECT doc_id, lang, leaf, coalesce(tampered, leaf) AS fold, leaf AS d, '' AS proof,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM t)""",
+    ]
+
+    def level(before: str, now: str, names: str, group: str) -> None:
+        runs = f"SELECT DISTINCT {group}, pos, n, d FROM {before}"
+        parts.append(
+            f"""{now}r AS (SELECT {group}, n, pos // {fanout} AS run, list(d ORDER BY pos) AS m FROM ({runs}) GROUP BY ALL)"""
+        )
+        i = f"(a.pos % {fanout})::INT"
+        parts.append(
+            f"""{now} AS (
+    SELECT {names}, CASE WHEN a.n = 1 THEN a.d ELSE sha256(array_to_string(m, '')) END AS d,
+           CASE WHEN a.n = 1 THEN fold ELSE sha256(array_to_string(m[1:{i}], '') || fold || array_to_string(m[{i} + 2:], '')) END AS fold,
+           CASE WHEN a.n = 1 THEN proof ELSE proof || array_to_string(m[1:{i}], '') || array_to_string(m[{i} + 2:], '') END AS proof,
+           a.pos // {fanout} AS pos, ((a.n + {fanout - 1}) // {fanout})::BIGINT AS n
+    FROM {before} a JOIN {now}r r ON a.{group} IS NOT DISTINCT FROM r.{group} AND a.pos // {fanout} = r.run)"""
+        )
+
+    for k in range(lower):
+        level(f"a{k}", f"a{k + 1}", "doc_id, a.lang, leaf", "lang")
+    parts.append(
+        f"""g AS (SELECT lang, any_value(d) AS d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM a{lower} GROUP BY lang),
+b0 AS (SELECT doc_id, leaf, a.d AS subroot, a.d, fold, proof, g.pos, g.n, 0 AS top FROM a{lower} a JOIN g ON a.lang IS NOT DISTINCT FROM g.lang)"""
+    )
+    for k in range(upper):
+        level(f"b{k}", f"b{k + 1}", "doc_id, leaf, subroot, a.top", "top")
+    return "WITH RECURSIVE " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = d AS verified FROM b{upper}"""
+
+
+@query("op11_merkle_proofs", _merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs for all leaves, checked against leaves of which every third or so was tampered with."""
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = F.when(hit, merkle.leaf_digest(*values[:4], ascii_lower(F.col("text"))))
+    made = merkle.proofs(documents(spark, sf_dir), merkle.leaf_digest(*values), F.col("lang"), {"doc_id": F.col("doc_id")}, {"changed": changed})
+    out = made.withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("proof")))
+    proof = F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256")
+    return out.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
