@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import hmm_lm, imatch, jaccard_join, language_id, learned_ann, line_runs, merkle, mixing, pii_feistel, quality_fm, sentencepiece_sa
+from cuewright.llm import hmm_lm, imatch, jaccard_join, language_id, learned_ann, line_runs, merkle, mixing, pii_feistel, prefix_trie, quality_fm, sentencepiece_sa
 from cuewright.llm.common import ascii_lower, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,42 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = made.withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("proof")))
     proof = F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256")
     return out.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+TRIE_SQL = (
+    "WITH RECURSIVE "
+    + CRC_SQL.format(table="conversations", column="conv_id").strip()
+    + r""",
+o AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT id AS conv_id, (crc % 9)::INT AS h, id - id % 5 AS base FROM crc
+), k AS (SELECT c.*, least(h, (SELECT count(*) FROM o WHERE o.conv_id = c.base)) AS k FROM c
+), r AS (
+    SELECT k.conv_id, place + 1 AS depth, role, text FROM k JOIN o ON o.conv_id = k.base AND place < h
+    UNION ALL SELECT k.conv_id, place - h + k + 1, role, text FROM k JOIN o ON o.conv_id = k.conv_id AND place >= h
+), p AS (
+    SELECT conv_id, 0::BIGINT AS depth, '' AS p, NULL::VARCHAR AS q, 0::BIGINT AS bytes FROM c
+    UNION ALL
+    SELECT p.conv_id, r.depth, sha256(p.p || strlen(role) || ':' || role || text), p.p, strlen(text)::BIGINT FROM p JOIN r ON r.conv_id = p.conv_id AND r.depth = p.depth + 1
+), n AS (SELECT depth, p, any_value(q) AS q, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY depth, p
+), ch AS (SELECT depth - 1 AS depth, q AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), e AS (
+    SELECT depth, p, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+    FROM (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS last FROM p) WHERE depth = last GROUP BY depth, p
+), a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (depth, p)
+), s AS (
+    SELECT p.depth, p.p, count(*) FILTER (a.n_children = 0) AS n_leaves, sum((a.n_convs - 1) * a.bytes)::BIGINT AS saved_tokens
+    FROM a JOIN p ON p.conv_id = a.conv_id AND p.depth <= a.depth GROUP BY p.depth, p.p
+)
+SELECT a.conv_id, a.depth, u.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM a JOIN s USING (depth, p) LEFT JOIN e USING (depth, p) LEFT JOIN n u ON u.depth = a.depth - 1 AND u.p = a.q
+"""
+)
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_nodes(*prefix_trie.grafted(turns, every=5, modulus=9))
