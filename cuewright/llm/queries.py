@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import hmm_lm, imatch, jaccard_join, language_id, learned_ann, line_runs, merkle, mixing, pii_feistel, prefix_trie, quality_fm, sentencepiece_sa
+from cuewright.llm import hmm_lm, imatch, jaccard_join, language_id, learned_ann, line_runs, merkle, mixing, pii_feistel, prefix_trie, quality_fm, secret_links, sentencepiece_sa
 from cuewright.llm.common import ascii_lower, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,48 @@ FROM a JOIN s USING (depth, p) LEFT JOIN e USING (depth, p) LEFT JOIN n u ON u.d
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_nodes(*prefix_trie.grafted(turns, every=5, modulus=9))
+
+
+def _secrets_sql(reach: int = secret_links.REACH) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    parts = []
+    for no, (name, pattern, least, holds) in enumerate(secret_links.KINDS):
+        p = quoted(pattern)
+        value = f"regexp_extract_all(text, {p}, 2)" if least else f"regexp_extract_all(text, {p})"
+        keep = " AND ".join([f"length(v) >= {least}", *[f"regexp_matches(v, '{h}')" for h in holds]])
+        parts.append(
+            f"""SELECT rn, kind_no, kind, start, start + len AS stop FROM (
+        SELECT rn, {no} AS kind_no, '{name}' AS kind, length(m) AS len, v,
+               (sum(length(g) + length(m)) OVER (PARTITION BY rn ORDER BY i))::BIGINT - length(m) AS start
+        FROM (SELECT rn, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i
+              FROM (SELECT rn, regexp_extract_all(text, {p}) AS ms, {value} AS vs, string_split_regex(text, {p}) AS gs FROM d WHERE regexp_matches(text, {p})))
+    ) WHERE {keep}"""
+        )
+    n = len(secret_links.BASE)
+    role = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in secret_links.ROLES.items())
+    found = lambda r: f"EXISTS (FROM a q WHERE q.rn = p.rn AND q.role = '{r}' AND q.start >= p.start - {reach} AND q.start < p.stop + {reach})"
+    rules = " OR ".join(f"(kind = '{k}' AND {' AND '.join(map(found, v))})" for k, v in secret_links.NEEDS.items())
+    line = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no)"
+    unions = "\n    UNION ALL ".join(parts)
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents
+), m AS MATERIALIZED ({unions}
+), a AS MATERIALIZED (
+    SELECT *, CASE kind {role} END AS role FROM m p
+    WHERE kind_no < {n} OR NOT EXISTS (FROM m b WHERE b.rn = p.rn AND b.kind_no < {n} AND b.start < p.stop AND b.stop > p.start)
+), s AS (SELECT * FROM a p WHERE kind_no < {n} OR {rules}
+), g AS (
+    SELECT rn, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secret_links.BASE)},
+           {line} FILTER (kind_no < {n}) AS base, {line} AS spans FROM s GROUP BY rn
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_links.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rn)"""
+
+
+@query("op12_secret_links", _secrets_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_links.scan(documents(spark, sf_dir), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind_no"] < len(secret_links.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in secret_links.BASE]
+    return out.select("doc_id", *counts, F.sha2(secret_links.listed(base), 256).alias("base_sha256"), secret_links.listed(F.col("spans")).alias("spans"))
