@@ -1,9 +1,11 @@
-"""Exact n-gram Jaccard join: cells around shared parts, then recursive pivot rings by the triangle inequality."""
+"""Exact n-gram Jaccard join: regions around pivots, links and partners by the triangle inequality, recursion in what is left."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, exp
+from functools import reduce
+from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -14,11 +16,16 @@ from pyspark.sql import functions as F
 from cuewright.llm.common import packed, stored
 from cuewright.llm.components import components
 from cuewright.llm.shingles import STEP, WordHashes, mixed, shingle_set
+from cuewright.plans.sizes import broadcast_if_small, hinted
 from cuewright.session import written_once
 
-#: Most ids that a broadcast may hold (8 bytes each).
-MAX_BROADCAST = 1_000_000
-
+#: Most ids that a broadcast may hold (8 bytes each), and most bytes of pivot sets.
+MAX_BROADCAST, PIVOT_BYTES = 1_000_000, 32_000_000
+#: Regions of at most so many sets are compared pair by pair; a pivot is drawn from so many sets with at most so many shingles.
+SMALL = 24
+PIVOT_SETS, PIVOT_SHINGLES = 31, 4_000_000
+#: Parts beyond those that must be kept, as a share of them: each set leaves out as many of its most common cells.
+SPARE = 0.25
 
 RING_STEP = 0xD1342543DE82EF95
 
@@ -32,22 +39,21 @@ class SizeRings:
 
     In the metric |x delta y| the empty set is a pivot at distance |x|, so linked sets lie in the same ring or in
     neighbouring ones; a set near the upper edge of its ring is also sent to the next. In a ring, linked sets differ
-    in at most ``differ`` shingles: of ``parts = differ + 1 + spare`` parts at least ``1 + spare`` are equal.
+    in at most ``differ`` shingles: of ``parts = differ + 1 + spare`` parts at least ``1 + spare`` are equal. In any common
+    order of the cells, the first of a pair's equal cells is among the first ``differ + 1`` of both sets, for
+    ``spare`` equal ones follow it. So each set needs only its ``differ + 1`` rarest cells.
     """
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.lows, self.parts, self.spares = [1], [], []
+        self.lows, self.need, self.parts = [1], [], []
 
     def _extend(self) -> None:
         p, low = self.percent, self.lows[-1]
         high = low * 10_000 // (p * p)  # two steps of the largest size ratio of linked sets
         differ = 2 * high * (100 - p) // (100 + p)
-        smallest = max(1, low * p // 100)
-        m = differ + 1
-        spare = ceil(1.5 * m * exp(-smallest / m)) + 1 if differ else 0
-        self.parts.append(m + spare if differ else 0)
-        self.spares.append(spare)
+        self.need.append(differ + 1 if differ else 0)
+        self.parts.append(differ + 1 + ceil(SPARE * (differ + 1)) if differ else 0)
         self.lows.append(high + 1)
 
     def of(self, n: int) -> list[int]:
@@ -59,12 +65,11 @@ class SizeRings:
         # The largest linked set has n * 100 / percent shingles.
         return [ring, ring + 1] if n * 100 >= self.lows[ring + 1] * self.percent else [ring]
 
-    def cells(self, shingles: np.ndarray) -> np.ndarray:
-        """One hash per part: equal where two sets have the same shingles in it. A part that is empty is left out
-        unless more than ``spare`` are, so linked sets always share a cell."""
+    def cells(self, shingles: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """ring, cells needed, one hash per part: equal where two sets have the same shingles in it, none too."""
         found = []
         for ring in self.of(len(shingles)):
-            m, spare = self.parts[ring], self.spares[ring]
+            m = self.parts[ring]
             if not m:
                 continue  # linked sets of this size are equal
             h = mixed(shingles + wrapped((ring + 1) * int(STEP)))
@@ -72,13 +77,11 @@ class SizeRings:
             order = np.argsort(part, kind="stable")
             part = part[order]
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            content = np.add.reduceat(mixed(h[order] ^ STEP), starts)
-            used = part[starts]
-            if m - len(used) > spare:
-                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), used)
-                used, content = np.r_[used, empty], np.r_[content, np.zeros(len(empty), np.uint64)]
-            found.append(mixed(content + used * STEP + wrapped(ring * RING_STEP)))
-        return np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            content = np.zeros(m, np.uint64)
+            content[part[starts].astype(np.int64)] = np.add.reduceat(mixed(h[order] ^ STEP), starts)
+            hashes = mixed(content + np.arange(m, dtype=np.uint64) * STEP + wrapped(ring * RING_STEP))
+            found.append((ring, self.need[ring], hashes.view(np.int64)))
+        return found
 
 
 def node_of(shingles: np.ndarray) -> int | None:
@@ -101,16 +104,23 @@ def _named(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _cells(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """cell, node: each set's rarest cells, as many as linked sets need to meet in one, where another set has the cell too."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, rings = WordHashes(), SizeRings(percent)
         for batch in batches:
             sets = [s for s in (shingle_set(t, k, hashes) for t in batch["text"]) if len(s)]
-            yield pd.DataFrame({"node": np.array([node_of(s) for s in sets], np.int64), "cells": [rings.cells(s) for s in sets]})
+            rows = [(node_of(s), ring, need, cells) for s in sets for ring, need, cells in rings.cells(s)]
+            yield pd.DataFrame(rows, columns=["node", "ring", "need", "cells"])
 
-    cells = docs.select("text").mapInPandas(run, "node long, cells array<long>").select("node", F.explode("cells").alias("cell"))
-    here = Window.partitionBy("cell")
-    shared = cells.withColumn("least", F.min("node").over(here)).withColumn("most", F.max("node").over(here)).where("least <> most")
-    return shared.select("cell", "node").distinct()
+    dealt = written_once(docs.select("text").mapInPandas(run, "node long, ring int, need int, cells array<long>"), "jaccard-parts")
+    shared = dealt.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("f")).where("f > 1")
+    rows = dealt.select("node", "ring", (F.col("need") - F.size("cells")).alias("over"), F.explode("cells").alias("cell"))
+    rows = rows.join(shared, "cell").dropDuplicates(["node", "ring", "cell"])
+    mine = Window.partitionBy("node", "ring")
+    rank, common = F.row_number().over(mine.orderBy("f", "cell")), F.count("*").over(mine)
+    kept = rows.withColumns({"rank": rank, "common": common})  # the cells that nobody shares come first
+    return kept.where("rank <= over + common").select("cell", "node").distinct()
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -123,57 +133,126 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, common, all: sizes of the intersection and the union of each pair."""
+def _bounded(df: DataFrame) -> DataFrame:
+    """A broadcast hint where the number of ids was checked; otherwise the join shuffles."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def _regions(cells: DataFrame) -> DataFrame:
+    """Cells that have the same smallest member become one region: a group of near copies fills few regions, not one per part."""
+    least = cells.groupBy("cell").agg(F.min("node").alias("region"), F.max("node").alias("most")).where("region <> most")
+    return cells.join(least, "cell").select(F.col("region").alias("cell"), "node").distinct()
+
+
+def _direct(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links within regions of at most SMALL sets, read one after the other; chains of links are not repeated."""
+
+    def links(group: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        label = list(range(len(group)))
+        for i, j in combinations(range(len(group)), 2):
+            (a, x), (b, y) = group[i], group[j]
+            if label[i] == label[j] or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                label = [label[i] if c == label[j] else c for c in label]
+                yield a, b
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, group = None, []
         for batch in batches:
-            common, union = [], []
-            for left, right in zip(batch["left"], batch["right"]):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                common.append(n)
-                union.append(len(x) + len(y) - n)
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "common": common, "all": union})
+            out = []
+            for cell, node, shingles in zip(batch["cell"], batch["node"], batch["shingles"]):
+                if cell != at:
+                    out += links(group)
+                    at, group = cell, []
+                group.append((node, np.frombuffer(shingles, np.uint64)))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(list(links(group)), columns=["a", "b"], dtype=np.int64)
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(run, "a long, b long, common long, all long")
+    rows = cells.join(sets, "node").select("cell", "node", "shingles").repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInPandas(run, "a long, b long")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A broadcast hint where the number of ids was checked; otherwise the join shuffles."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+def _pivots(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """cell, pivot: the shingles that more than half of some of a region's sets hold.
+
+    A pivot need not be a document. This one lies in the middle, so few sets differ from it in the same shingle.
+    """
+    first = Window.partitionBy("cell").orderBy("node")
+    some = cells.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOT_SETS).join(sets, "node")
+    so_far = F.sum(F.octet_length("shingles") / 8).over(Window.partitionBy("cell").orderBy("place"))
+    some = some.withColumn("so_far", so_far).where((F.col("place") == 1) | (F.col("so_far") <= PIVOT_SHINGLES))
 
+    def majority(group: pd.DataFrame) -> pd.DataFrame:
+        values, counts = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in group["shingles"]]), return_counts=True)
+        return pd.DataFrame({"cell": [group["cell"].iloc[0]], "pivot": [values[2 * counts > len(group)].tobytes()]})
 
-def _split(cells: DataFrame, tried: DataFrame, labels: DataFrame, percent: int, pivots: int) -> DataFrame:
-    """The cells of the next round.
+    return some.select("cell", "shingles").groupBy("cell").applyInPandas(majority, "cell long, pivot binary")
 
-    Pivots have met all their cell and go. By the triangle inequality two sets whose distances to the first pivot
-    differ by more than the linking distance are not linked, so each cell falls apart where its sorted distances leave
-    such a gap. What is one component already needs no more tests.
+
+def _differences(cells: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """cell, node, most, slack, apart: in how many shingles a set linked with this one may differ from it, how far it is from its
+    region's pivot beyond its own half of a link, and the shingles in which it differs from the pivot."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for cell, node, pivot, shingles in zip(batch["cell"], batch["node"], batch["pivot"], batch["shingles"]):
+                x = np.frombuffer(shingles, np.uint64)
+                apart = np.setxor1d(x, np.frombuffer(pivot, np.uint64), assume_unique=True)
+                n = len(x)
+                rows.append((cell, node, (100 - percent) * n // percent, (100 + percent) * len(apart) - (100 - percent) * n, apart.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["cell", "node", "most", "slack", "apart"])
+
+    size = pivots.agg(F.coalesce(F.sum(F.octet_length("pivot")), F.lit(0))).first()[0]
+    rows = cells.join(sets, "node").join(hinted(pivots, size <= PIVOT_BYTES), "cell").select("cell", "node", "pivot", "shingles")
+    return rows.mapInPandas(run, "cell long, node long, most long, slack long, apart array<long>")
+
+
+def _around(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One step in large regions: (links a, b; sub-regions cell, node, far).
+
+    With X the difference of set x from the pivot, |x delta y| <= |X| + |Y|: two sets whose slacks add up to at most 0 are linked, untested.
+    So all whose slack the region's least slack makes up for are linked with the set of least slack. Every other set x is
+    too far for that with any y, so if it is linked with y, X and Y share a shingle: these are the sub-regions. X and Y differ in at most
+    ``most`` shingles, so the rarest shingle they share is among the ``most`` + 1 rarest of both. Sub-regions
+    shrink, as a shingle in which most sets differ from the pivot would be in the pivot.
     """
-    here = Window.partitionBy("cell").orderBy("node")
-    ranked = cells.withColumn("place", F.row_number().over(here)).withColumn("pivot", F.first("node").over(here))
-    rest = ranked.where(F.col("place") > pivots)
-    known = tried.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (F.lit(1.0) - F.col("common") / F.col("all")).alias("d"))
-    rest = rest.join(known, ["pivot", "node"])
-    sorted_ = Window.partitionBy("cell").orderBy("d", "node")
-    gap = (F.col("d") - F.lag("d").over(sorted_)) > (100 - percent) / 100 + 1e-9
-    rest = rest.withColumn("ring", F.sum(F.when(gap, 1).otherwise(0)).over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
-    rest = rest.select(F.xxhash64("cell", "pivot", "ring").alias("cell"), "node")
-    rest = rest.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    part = Window.partitionBy("cell")
-    rest = rest.withColumn("least", F.min("component").over(part)).withColumn("most", F.max("component").over(part))
-    return rest.where("least <> most").select("cell", "node")
-
-
-def linked_sets(docs: DataFrame, k: int, percent: int, growth: int = 8) -> tuple[DataFrame, DataFrame]:
+    pivots = written_once(_pivots(cells, sets), "jaccard-pivots")
+    rows = written_once(_differences(cells, pivots, sets, percent), "jaccard-differences")
+    near = rows.groupBy(F.col("cell").alias("n_cell")).agg(F.min(F.struct("slack", "node")).alias("best"), F.max("slack").alias("worst"))
+    near = broadcast_if_small(stored(near.select("n_cell", F.col("best.slack").alias("least"), F.col("best.node").alias("middle"), "worst"), "jaccard-nearest"))
+    rows = rows.join(near, F.col("cell") == F.col("n_cell"))
+    links = rows.where((F.col("slack") + F.col("least") <= 0) & (F.col("node") != F.col("middle"))).select(F.col("middle").alias("a"), F.col("node").alias("b"))
+    left = rows.where(F.col("worst") + F.col("least") > 0).withColumn("far", F.col("slack") + F.col("least") > 0)
+    each = left.select("cell", "node", "most", "far", F.size("apart").alias("n"), F.explode("apart").alias("e"))
+    shared = each.groupBy(F.col("cell").alias("s_cell"), F.col("e").alias("s_e")).agg(F.count("*").alias("f"), F.max("far").alias("asked"))
+    shared = shared.where("f > 1")
+    each = each.join(shared, (F.col("cell") == F.col("s_cell")) & (F.col("e") == F.col("s_e")))
+    mine = Window.partitionBy("cell", "node")
+    each = each.withColumns({"rank": F.row_number().over(mine.orderBy("f", "e")), "common": F.count("*").over(mine)})
+    each = each.where("asked and rank <= most + 1 - n + common")
+    return links, each.select(F.xxhash64("cell", "e").alias("cell"), "node", "far")
+
+
+def _open(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """Regions that hold a far set and more than one component; of regions with the same members one."""
+    rows = cells.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sums = rows.groupBy(F.col("cell").alias("of_cell")).agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.max("far").alias("far"),
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    )
+    kept = sums.where("far and least <> most").groupBy("n", "x", "y").agg(F.min("of_cell").alias("of_cell"))
+    return rows.join(kept.select("of_cell"), F.col("cell") == F.col("of_cell")).select("cell", "node")
+
+
+def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Named rows (doc_id, n_shingles, node), and id, component of the linked nodes.
 
-    Each round takes the first nodes of every cell as pivots and measures them against the cell: one pivot at first,
-    which settles cells of near copies in linear work, then ``growth`` times as many for what is left, so the number of
-    rounds is logarithmic in the largest cell whose members are alike but not linked.
+    Sets meet in regions; small regions are compared directly, large ones split around their pivot, again and again.
+    A shingle stays a reason to meet for at most about half of a region's sets, so the number of rounds is logarithmic
+    in the largest group that is alike but not linked, and no round makes the pairs of a group.
     """
     named = written_once(_named(docs.select("doc_id", "text"), k), "jaccard-named")
     first = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
@@ -181,25 +260,24 @@ def linked_sets(docs: DataFrame, k: int, percent: int, growth: int = 8) -> tuple
     roles = named.where("node is not null").join(first, "node").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("first_id")).cast("int")).alias("leads"))
     repeats = roles.where("leads = 0 and doc_id is not null").select("doc_id")
     leading = docs.select("doc_id", "text").join(_bounded(repeats), "doc_id", "left_anti")
-    cells = stored(_cells(leading, k, percent), "jaccard-cells")
+    cells = stored(_regions(stored(_cells(leading, k, percent), "jaccard-cells")), "jaccard-regions")
     needed = cells.select("node").distinct().join(first, "node").select(F.col("first_id").alias("doc_id")).distinct()
     at_null = docs.select("doc_id", "text").where("doc_id is null")
     wanted = leading.where("doc_id is not null").join(_bounded(needed.where("doc_id is not null")), "doc_id", "left_semi").unionByName(at_null)
     sets = written_once(_sets(wanted, k).join(cells.select("node").distinct(), "node", "left_semi"), "jaccard-sets")
-    tried, pivots = None, 1
-    labels = docs.sparkSession.createDataFrame([], "id long, component long")
+    links, labels = [], docs.sparkSession.createDataFrame([], "id long, component long")
     while cells.limit(1).count():
-        here = Window.partitionBy("cell").orderBy("node")
-        by_cell = cells.withColumn("place", F.row_number().over(here))
-        pairs = by_cell.join(by_cell.where(F.col("place") <= pivots).select("cell", F.col("node").alias("p")), "cell").where("p < node")
-        pairs = pairs.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        fresh = stored(_measured(pairs, sets), "jaccard-measured")
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        labels = components(tried.where(f"100 * common >= {percent} * all"))
-        cells = stored(_split(cells, tried, labels, percent, pivots), "jaccard-cells")
-        pivots *= growth
+        sizes = stored(cells.groupBy(F.col("cell").alias("s_cell")).agg(F.count("*").alias("n")), "jaccard-sizes")
+        sized = cells.join(sizes, F.col("cell") == F.col("s_cell")).drop("s_cell")
+        links.append(written_once(_direct(sized.where(F.col("n") <= SMALL).drop("n"), sets, percent), "jaccard-links"))
+        if not sizes.where(F.col("n") > SMALL).limit(1).count():
+            labels = components(reduce(DataFrame.unionByName, links))
+            break
+        found, parts = _around(stored(sized.where(F.col("n") > SMALL).drop("n"), "jaccard-large"), sets, percent)
+        links.append(stored(found, "jaccard-links"))
+        parts = stored(parts, "jaccard-parts")
+        labels = components(reduce(DataFrame.unionByName, links))
+        cells = stored(_open(parts, labels), "jaccard-regions")
     return named, labels
 
 

@@ -43,7 +43,7 @@ def edited(rng, text, changes):
     w = text.split()
     for _ in range(changes):
         i = rng.randrange(len(w))
-        w[i : i + 1] = rng.choice([[], ["new%d" % rng.randrange(999)], [w[i], "more"]])
+        w[i : i + 1] = rng.choice([[] if len(w) > 1 else [w[i]], ["new%d" % rng.randrange(999)], [w[i], "more"]])
     return " ".join(w)
 
 
@@ -79,7 +79,7 @@ def test_edges(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([None, 1, 2, 3, 4, 6, 7, 8, 9], key=repr)
 
 
-def test_linked_sets_share_a_cell():
+def test_linked_sets_share_a_needed_cell():
     rng = np.random.default_rng(1)
     for percent in (60, 80, 90):
         rings = jaccard_join.SizeRings(percent)
@@ -92,7 +92,46 @@ def test_linked_sets_share_a_cell():
                 y = np.unique(np.r_[x[drop:], rng.integers(0, 2**63, add + drop).astype(np.uint64)])
                 common, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
                 if 100 * common >= percent * union and common < union:
-                    assert len(np.intersect1d(rings.cells(x), rings.cells(y))), (percent, n, add, drop)
+                    seed = int(rng.integers(1 << 30))  # any order of the cells, the same for both
+                    order = lambda c: np.argsort(jaccard_join.mixed(c.view(np.uint64) + np.uint64(seed)))
+                    first = [{(r, int(v)) for r, need, c in rings.cells(s) for v in c[order(c)][:need]} for s in (x, y)]
+                    assert first[0] & first[1], (percent, n, add, drop)
+
+
+def near_group(rng, n, size, edits, prefix="", pool=40):
+    """Copies of a text with so many words exchanged each, for words of their own or out of ``pool``."""
+    base, out = words(rng, size, 100_000).split(), []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(size), edits):
+            w[at] = f"{prefix}{rng.randrange(pool)}" if rng.random() < 0.3 else f"{prefix}{i}x{at}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_large_regions_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    rng = random.Random(9)
+    texts = [t for size, edits in ((60, 2), (90, 3), (90, 1), (40, 3)) for t in near_group(rng, 45, size, edits)]
+    texts += [t + " " + words(rng, 12, 9000) for t in near_group(rng, 30, 100, 0)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    for k, percent in ((3, 90), (5, 80), (2, 70)):
+        assert got(table(spark, rows), k, percent) == plain_components(rows, k, percent)
+
+
+def test_alike_but_not_linked_is_linear_work(spark):
+    """Sub-regions of a group whose members are all alike and hardly linked: their rows grow with the group, not with its square."""
+    rows = []
+    for n in (500, 2000):
+        rng = random.Random(11)
+        docs = table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(near_group(rng, n, 120, 5, pool=n // 10))])
+        regions = jaccard_join._regions(jaccard_join._cells(docs, 3, 90))
+        large = regions.join(regions.groupBy("cell").count().where(f"count > {jaccard_join.SMALL}"), "cell").drop("count")
+        links, parts = jaccard_join._around(large, jaccard_join._sets(docs, 3), 90)
+        rows.append((regions.count(), links.count(), parts.count()))
+        members = [r.n for r in parts.groupBy("cell").agg({"node": "count"}).toDF("cell", "n").collect()]
+        assert max(members, default=0) <= 0.6 * n
+    assert all(b <= 6 * a + 200 for a, b in zip(*rows)), rows
 
 
 def test_components(spark):
