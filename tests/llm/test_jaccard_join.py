@@ -120,7 +120,7 @@ def test_large_regions_against_all_pairs(spark, monkeypatch):
 
 
 def test_alike_but_not_linked_is_linear_work(spark):
-    """Sub-regions of a group whose members are all alike and hardly linked: their rows grow with the group, not with its square."""
+    """Sub-regions of a group whose members are all alike and hardly linked: their rows grow with the group (4 times here), not with its square (16 times)."""
     rows = []
     for n in (500, 2000):
         rng = random.Random(11)
@@ -131,7 +131,7 @@ def test_alike_but_not_linked_is_linear_work(spark):
         rows.append((regions.count(), links.count(), parts.count()))
         members = [r.n for r in parts.groupBy("cell").agg({"node": "count"}).toDF("cell", "n").collect()]
         assert max(members, default=0) <= 0.6 * n
-    assert all(b <= 6 * a + 200 for a, b in zip(*rows)), rows
+    assert all(b <= 8 * a for a, b in zip(*rows)), rows
 
 
 def test_components(spark):
