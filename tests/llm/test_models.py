@@ -131,6 +131,33 @@ def test_neighbours_against_brute_force(spark):
     assert hit / (20 * 75) >= 0.9
 
 
+def test_partitions_of_partitions_and_short_queries(spark, monkeypatch):
+    monkeypatch.setattr(learned_ann, "LARGE_PART", 150)
+    monkeypatch.setattr(learned_ann, "PART_ROWS", 40)
+    monkeypatch.setattr(learned_ann, "PIECE_ROWS", 100)
+    rng = np.random.default_rng(8)
+    centres = 3 * rng.normal(size=(40, 24))
+    x = centres[rng.integers(0, 40, 2400)] + rng.normal(size=(2400, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    made = learned_ann.Index(df, "vec_id", "embedding", k=10, sample=400)
+    assert made.levels and made.index.count() == 2400  # every row is indexed, once
+    sizes = [r["count"] for r in made.index.groupBy("part").count().collect()]
+    assert max(sizes) <= 400
+    out = learned_ann.search(df, df.where("vec_id % 40 = 0"), "vec_id", "embedding", k=10, sample=400).collect()
+    hit = 0
+    for q in range(0, 2400, 40):
+        mine = {r.vec_id for r in out if r.query_id == q}
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert len(mine) == 10
+        hit += len(mine & set(np.argsort(-score)[:10].tolist()))
+    assert hit / 600 >= 0.9
+    products = made._asked(made._usable(df.where("vec_id % 40 = 0")), 1).join(made.index.groupBy("part").count(), "part").agg({"count": "sum"}).first()[0]
+    assert products <= 0.6 * 60 * 2400  # clustered vectors: a share of all products
+    few = learned_ann.search(df.where("vec_id < 60"), df.where("vec_id < 3"), "vec_id", "embedding", k=80).collect()
+    assert all(sum(r.query_id == q for r in few) == 59 for q in range(3))
+
+
 def test_balanced_parts():
     x = np.random.default_rng(1).normal(size=(203, 8))
     sizes = np.bincount(learned_ann.balanced_parts(learned_ann.neighbour_graph(x, 6), 8))
