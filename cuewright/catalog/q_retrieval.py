@@ -9,7 +9,8 @@ from cuewright.catalog import views
 from cuewright.catalog.q_timing import chunks as all_chunks
 from cuewright.catalog.registry import ORACLES, SQL_VIEWS, query
 from cuewright.functions import numbers as num
-from cuewright.operators import player, retrieval
+from cuewright.operators import player, postings, retrieval
+from cuewright.session import scratch_path
 
 # ---- dense -----------------------------------------------------------------------------------
 SQL_VIEWS["v_dense"] = """
@@ -104,6 +105,28 @@ def bm25_topk(spark, sf):
     return retrieval.bm25_topk(views.corpus(spark, sf), views.questions(spark, sf))
 
 
+@query("bm25_index_topk", "SELECT * FROM v_sparse")
+def bm25_index_topk(spark, sf):
+    """The same rows from a stored index, of which only the blocks that can matter are read."""
+    path = scratch_path(spark, "postings")
+    postings.write_postings(views.corpus(spark, sf), path)
+    return postings.bm25_search(spark, path, views.questions(spark, sf))
+
+
+@query("bm25_index_update", "SELECT * FROM v_sparse")
+def bm25_index_update(spark, sf):
+    """An index of other texts, brought up to date video by video, answers like a new one."""
+    path, now = scratch_path(spark, "postings"), views.corpus(spark, sf)
+    late = F.pmod(F.xxhash64("video_id"), F.lit(3))
+    old = now.where(late != 0).withColumn("text", F.when(late == 1, F.upper("text")).otherwise(F.col("text")))
+    gone = now.where(late == 2).withColumn("video_id", F.concat(F.lit("gone "), F.col("video_id")))
+    postings.write_postings(old.unionByName(gone), path)
+    changed = now.where(late != 2)
+    stale = changed.select("video_id").unionByName(gone.select("video_id")).distinct()
+    postings.write_postings(changed, path, replaced=stale)
+    return postings.bm25_search(spark, path, views.questions(spark, sf))
+
+
 # ---- fusion: letter counts stand in for an embedding, so that SQL can follow ----------------------
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _LETTER_VEC = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda a: (length({t}) - length(replace({t}, a, '')))::DOUBLE)"
@@ -205,7 +228,6 @@ ORACLES["build_context"] = (
 @query("scan_chunks")
 def scan_chunks(spark, sf):
     """All chunks read back from the chunk store."""
-    from cuewright.session import scratch_path
     from cuewright.sources import sinks
 
     path = scratch_path(spark, "chunks")

@@ -31,8 +31,11 @@ def write_transcripts(segments: DataFrame, path: str) -> None:
     with_bucket(transcript_payloads(segments)).write.mode("overwrite").partitionBy("bucket").json(path)
 
 
-def upsert_by_video(new: DataFrame, path: str, buckets: int = BUCKETS, replaced: DataFrame | None = None) -> None:
+def upsert_by_video(
+    new: DataFrame, path: str, buckets: int = BUCKETS, replaced: DataFrame | None = None, order: tuple[str, ...] = ()
+) -> None:
     """Replace all rows of the videos in ``new`` and in ``replaced``; other videos and untouched buckets stay.
+    ``order`` sorts the rows of a bucket, so that readers can skip by these columns.
 
     A video in ``replaced`` alone keeps no row: its text became empty.
 
@@ -53,6 +56,8 @@ def upsert_by_video(new: DataFrame, path: str, buckets: int = BUCKETS, replaced:
         fresh = kept.unionByName(fresh, allowMissingColumns=True)
     staged = written_once(fresh, "upsert")
     emptied = [] if touched is None else touched.join(staged.select("bucket").distinct(), "bucket", "left_anti").collect()
+    if order:
+        staged = staged.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     for row in emptied:  # a bucket without any row left is not overwritten by the writer
         target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={row.bucket}")
