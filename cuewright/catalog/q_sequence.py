@@ -189,7 +189,8 @@ def both_chapters(spark, sf):
 # ---- whole transcripts ---------------------------------------------------------------------------
 @query(
     "full_text",
-    "SELECT video_id, 0::BIGINT AS part, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM v_segments GROUP BY video_id",
+    """SELECT video_id, seg_idx, coalesce(sum(length(text) + 1) OVER (PARTITION BY video_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", text AS piece
+       FROM v_segments WHERE text IS NOT NULL""",
 )
 def full_text(spark, sf):
     return transcripts.full_text(views.segments(spark, sf))

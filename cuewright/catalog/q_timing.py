@@ -8,6 +8,8 @@ from cuewright.catalog import sql_bits as sb
 from cuewright.catalog import views
 from cuewright.catalog.registry import SQL_VIEWS, query
 from cuewright.operators import chapters, chunking, frames, player, segments, timing
+from cuewright.session import scratch_path
+from cuewright.sources import sinks
 
 SQL_VIEWS["v_src"] = """
   SELECT *, CASE WHEN e0 <= start THEN start + greatest(duration, 0.5) ELSE e0 END AS src_end FROM (
@@ -187,36 +189,47 @@ def attach_timings(spark, sf):
 _CUE = "{start} || ' --> ' || {end} || chr(10) || {text} || chr(10)"
 
 
-@query(
-    "export_vtt",
-    f"""SELECT video_id, 0::BIGINT AS part, 'vi' AS lang, 'WEBVTT' || chr(10) || chr(10) || string_agg(cue, chr(10) ORDER BY seg_idx) AS vtt FROM (
-         SELECT video_id, seg_idx, {_CUE.format(start=sb.cue_time('vi_start'), end=sb.cue_time('e'), text='t')} AS cue FROM (
+_PIECES = """SELECT *, coalesce(sum(strlen(piece) + 1) OVER (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM (
+         SELECT {keys}, {order}, cue AS piece FROM ({cues}) UNION ALL SELECT DISTINCT {keys}, -1::BIGINT, 'WEBVTT' || chr(10) FROM ({cues}))"""
+_CUES = f"""SELECT video_id, 'vi' AS lang, seg_idx, {_CUE.format(start=sb.cue_time('vi_start'), end=sb.cue_time('e'), text='t')} AS cue FROM (
            SELECT *, CASE WHEN vi_end <= vi_start THEN vi_start + greatest(duration, 0.5) ELSE vi_end END AS e,
-             {sb.strip("replace(CASE WHEN text_vi <> '' THEN text_vi ELSE coalesce(text_tts, '') END, chr(10), ' ')")} AS t FROM v_disp) WHERE t <> '') GROUP BY video_id
+             {sb.strip("replace(CASE WHEN text_vi <> '' THEN text_vi ELSE coalesce(text_tts, '') END, chr(10), ' ')")} AS t FROM v_disp) WHERE t <> ''
        UNION ALL
-       SELECT video_id, 0::BIGINT AS part, 'en' AS lang, 'WEBVTT' || chr(10) || chr(10) || string_agg(cue, chr(10) ORDER BY seg_idx) AS vtt FROM (
-         SELECT video_id, seg_idx, {_CUE.format(start=sb.cue_time('en_start'), end=sb.cue_time('e'), text='t')} AS cue FROM (
+       SELECT video_id, 'en' AS lang, seg_idx, {_CUE.format(start=sb.cue_time('en_start'), end=sb.cue_time('e'), text='t')} AS cue FROM (
            SELECT *, CASE WHEN en_end <= en_start THEN en_start + greatest(duration, 0.5) ELSE en_end END AS e,
-             {sb.strip("replace(text, chr(10), ' ')")} AS t FROM v_disp) WHERE t <> '') GROUP BY video_id""",
-)
+             {sb.strip("replace(text, chr(10), ' ')")} AS t FROM v_disp) WHERE t <> ''"""
+
+
+@query("export_vtt", _PIECES.format(keys="video_id, lang", order="seg_idx", cues=_CUES))
 def export_vtt(spark, sf):
     timed = views.timed_segments(spark, sf)
     vi, en = (player.export_vtt(timed, lang).withColumn("lang", F.lit(lang)) for lang in ("vi", "en"))
     return vi.unionByName(en)
 
 
-@query(
-    "export_chapter_vtt",
-    f"""SELECT video_id, 0::BIGINT AS part, 'WEBVTT' || chr(10) || chr(10) || string_agg({_CUE.format(start=sb.cue_time('start'), end=sb.cue_time('"end"'), text='t')}, chr(10) ORDER BY "index") AS vtt
+_CHAPTER_CUES = f"""SELECT video_id, "index", {_CUE.format(start=sb.cue_time('start'), end=sb.cue_time('"end"'), text='t')} AS cue
         FROM (SELECT *, bool_and(t <> '') OVER (PARTITION BY video_id) AS ok FROM (
-          SELECT *, CASE WHEN length(title) % 9 = 0 THEN '' ELSE 'vi ' || title END AS t FROM v_chapters)) WHERE ok GROUP BY video_id""",
-)
+          SELECT *, CASE WHEN length(title) % 9 = 0 THEN '' ELSE 'vi ' || title END AS t FROM v_chapters)) WHERE ok"""
+
+
+@query("export_chapter_vtt", _PIECES.format(keys="video_id", order='"index"', cues=_CHAPTER_CUES))
 def export_chapter_vtt(spark, sf):
     found = chapters.normalize_chapters(views.raw_chapters(spark, sf))
     title = F.when(F.length("title") % 9 == 0, " ").otherwise(F.concat(F.lit("vi  "), F.col("title")))
     return player.export_chapter_vtt(found.withColumn("title_vi", title))
 
 
+@query(
+    "subtitle_files",
+    f"""SELECT video_id, lang, 'WEBVTT' || chr(10) || chr(10) || string_agg(cue, chr(10) ORDER BY seg_idx) || chr(10) AS content FROM ({_CUES}) GROUP BY video_id, lang""",
+)
+def subtitle_files(spark, sf):
+    """One subtitle file per video and language, written and read back whole."""
+    path = scratch_path(spark, "subtitles")
+    sinks.write_files(export_vtt(spark, sf), path, "seg_idx", keys=("video_id", "lang"))
+    return spark.read.text(path, wholetext=True).select("video_id", "lang", F.col("value").alias("content"))
+
+
 @query(
     "reader_rows",
     f"""SELECT video_id, seg_idx AS "index", vi_start AS start, CASE WHEN vi_end <= vi_start THEN vi_start + greatest(duration, 0.5) ELSE vi_end END AS "end", duration,

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from cuewright import fixed_values as fv
 from cuewright.functions.text import fmt_time, strip
-from cuewright.plans.blocked import BLOCK_ROWS, block_of, ordered_text, running
+from cuewright.plans.blocked import block_of, running, with_offsets
 
 
-def full_text(segments: DataFrame, part_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Transcript text per video in numbered parts; one part for all but enormous videos."""
-    return ordered_text(segments, ["video_id"], "seg_idx", "text", " ", part_rows=part_rows)
+def full_text(segments: DataFrame) -> DataFrame:
+    """``video_id, seg_idx, offset, piece``: the transcript as pieces in order, and the character at which each starts.
+
+    Joined by spaces, a video's pieces are its text (null lines are left out). A row per line at every length, so that no
+    value grows with a video; ``sinks.write_files`` makes one file of them.
+    """
+    rows = segments.where("text is not null").select("video_id", "seg_idx", F.col("text").alias("piece"))
+    return with_offsets(rows, ["video_id"], "seg_idx", F.char_length("piece") + 1)
 
 
 def capped_transcript(segments: DataFrame, cap: int = fv.TRANSCRIPT_CAP_CHARS, order: str = "seg_idx") -> DataFrame:

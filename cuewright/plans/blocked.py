@@ -201,6 +201,12 @@ def value_rank(
     return placed.join(levels, [*keys, value]).withColumn(name, F.col("_ahead") + F.col("_tie")).drop("_ahead", "_tie")
 
 
+def with_offsets(df: DataFrame, keys: Sequence[str], order: str, length: Column, name: str = "offset") -> DataFrame:
+    """Add where each row starts when the rows of a key are laid end to end in order, given their lengths."""
+    spec = {name: ("sum", length.cast("long"))}
+    return running(df.withColumn("_blk", block_of(order)), keys, [order], spec, inclusive=False).drop("_blk")
+
+
 def ordered_text(
     df: DataFrame,
     keys: Sequence[str],

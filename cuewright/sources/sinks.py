@@ -13,6 +13,16 @@ from cuewright.session import written_once
 BUCKETS = 64
 
 
+def write_files(pieces: DataFrame, path: str, order: str, separator: str = "\n", keys: tuple[str, ...] = ("video_id",)) -> None:
+    """One text file per key below ``path`` (folders ``key=value``): its pieces in order, the separator after each.
+
+    A file is written front to back by one task that streams its sorted pieces, so memory does not grow with its length; files of
+    different keys are written in parallel.
+    """
+    laid = pieces.repartition(*keys).sortWithinPartitions(*keys, order)
+    laid.select(*keys, F.col("piece").alias("value")).write.mode("overwrite").option("lineSep", separator).partitionBy(*keys).text(path)
+
+
 def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int"))
 

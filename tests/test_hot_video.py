@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from cuewright.operators import chunking, segments, sentences, timing, transcripts
+from cuewright.operators import chunking, player, segments, sentences, timing, transcripts
 from cuewright.plans.blocked import block_window, drop_halo, many_blocks, with_halo
+from cuewright.sources import sinks
 from tests.test_folds import plain_chunks, plain_groups
 from tests.test_sentences import frame as word_frame
 from tests.test_sentences import make_words, plain_runs
@@ -47,9 +48,25 @@ def test_hot_segments(spark):
     assert len(ends) == ROWS
     assert all(ends[i] == videos["hot"][i + 1][1] for i in range(ROWS - 1))
 
-    parts = transcripts.full_text(df).where("video_id = 'hot'").orderBy("part").collect()
-    assert len(parts) == 3
-    assert " ".join(r.text for r in parts) == " ".join(t for t, _, _ in videos["hot"])
+    pieces = transcripts.full_text(df).where("video_id = 'hot'").orderBy("seg_idx").collect()
+    whole = " ".join(t for t, _, _ in videos["hot"])
+    assert len(pieces) == ROWS and " ".join(r.piece for r in pieces) == whole
+    assert all(whole[r.offset :].startswith(r.piece) for r in pieces[:: ROWS // 50])
+
+
+def test_one_file_per_video_at_every_length(spark, tmp_path):
+    n = 70_000
+    rows = [("long", i, i * 2.0, i * 2.0 + 1, f"line {i}") for i in range(n)] + [("short", 7, 0.0, 1.0, "größe")]
+    cues = spark.createDataFrame(rows, "video_id string, seg_idx long, start double, end double, text string")
+    pieces = player._vtt(cues, "seg_idx")
+    assert pieces.columns == ["video_id", "seg_idx", "piece", "offset"] and pieces.count() == n + 3
+    sinks.write_files(pieces, str(tmp_path / "vtt"), "seg_idx")
+    for video, count in (("long", n), ("short", 1)):
+        (file,) = (tmp_path / "vtt" / f"video_id={video}").glob("*.txt")
+        content = file.read_bytes()
+        assert content.startswith(b"WEBVTT\n\n00:00:00.000 --> ") and content.count(b"WEBVTT") == 1 and content.count(b" --> ") == count
+        last = pieces.where(f"video_id = '{video}'").orderBy("seg_idx", ascending=False).first()
+        assert content[last.offset :] == last.piece.encode() + b"\n"
 
 
 def fast_chunks(lines, target, overlap):
