@@ -53,6 +53,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/cuewright/{name}-{uuid.uuid4().hex}"
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written_once`` that nothing will read again; everything made from them must be written itself."""
+    for table in tables:
+        files, spark = table.inputFiles(), table.sparkSession
+        home = shared_folder(spark).rstrip("/").removeprefix("file://") + "/cuewright/"
+        for folder in {f.rsplit("/", 1)[0] for f in files}:
+            if home in folder:  # scratch alone
+                target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written_once(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
