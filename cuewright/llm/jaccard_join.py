@@ -17,10 +17,12 @@ from cuewright.llm.common import packed, stored
 from cuewright.llm.components import components
 from cuewright.llm.shingles import STEP, WordHashes, mixed, shingle_set
 from cuewright.plans.sizes import broadcast_if_small, hinted
-from cuewright.session import written_once
+from cuewright.session import discard, written_once
 
 #: Most ids that a broadcast may hold (8 bytes each), and most bytes of pivot sets.
 MAX_BROADCAST, PIVOT_BYTES = 1_000_000, 32_000_000
+#: Cells that one task counts, about, and bits of the map of shared cells at most (16 MB).
+CELLS_PER_TASK, MAP_BITS = 2_000_000, 1 << 27
 #: Regions of at most so many sets are compared pair by pair; a pivot is drawn from so many sets with at most so many shingles.
 SMALL = 24
 PIVOT_SETS, PIVOT_SHINGLES = 31, 4_000_000
@@ -114,13 +116,69 @@ def _cells(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["node", "ring", "need", "cells"])
 
     dealt = written_once(docs.select("text").mapInPandas(run, "node long, ring int, need int, cells array<long>"), "jaccard-parts")
-    shared = dealt.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("f")).where("f > 1")
-    rows = dealt.select("node", "ring", (F.col("need") - F.size("cells")).alias("over"), F.explode("cells").alias("cell"))
-    rows = rows.join(shared, "cell").dropDuplicates(["node", "ring", "cell"])
+    shared = written_once(_shared(dealt), "jaccard-shared")
+    rows = _candidates(dealt, shared).join(shared, "cell").dropDuplicates(["node", "ring", "cell"])
     mine = Window.partitionBy("node", "ring")
     rank, common = F.row_number().over(mine.orderBy("f", "cell")), F.count("*").over(mine)
     kept = rows.withColumns({"rank": rank, "common": common})  # the cells that nobody shares come first
-    return kept.where("rank <= over + common").select("cell", "node").distinct()
+    cells = stored(kept.where("rank <= over + common").select("cell", "node").distinct(), "jaccard-cells")
+    discard(dealt, shared)
+    return cells
+
+
+def _shared(dealt: DataFrame) -> DataFrame:
+    """cell, f: the cells that occur more than once and how often.
+
+    Cells travel packed, counted once per batch, in as many buckets of their hash as the data need for CELLS_PER_TASK cells each.
+    """
+    total = dealt.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0]
+    buckets = total // CELLS_PER_TASK + 1
+    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                values, counts = np.unique(np.concatenate(batch["cells"].to_list()).view(np.uint64), return_counts=True)
+                cut = np.r_[0, np.searchsorted(values, edges), len(values)]
+                some = np.flatnonzero(np.diff(cut))
+                packed = [(b, values[cut[b] : cut[b + 1]].tobytes(), counts[cut[b] : cut[b + 1]].astype(np.uint32).tobytes()) for b in some]
+                yield pd.DataFrame(packed, columns=["bucket", "cells", "counts"])
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        cells = np.concatenate([np.frombuffer(b, np.uint64) for b in group["cells"]])
+        counts = np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]])
+        values, at = np.unique(cells, return_inverse=True)
+        f = np.bincount(at, counts, len(values)).astype(np.int64)
+        return pd.DataFrame({"cell": values[f > 1].view(np.int64), "f": f[f > 1]})
+
+    packed = dealt.select("cells").mapInPandas(pack, "bucket long, cells binary, counts binary")
+    return packed.groupBy("bucket").applyInPandas(count, "cell long, f long")
+
+
+def _candidates(dealt: DataFrame, shared: DataFrame) -> DataFrame:
+    """cell, node, ring, over (needed cells less all cells): the cells that may be shared, by a bit map of bounded size.
+
+    The map has 16 bits for each shared cell, up to MAP_BITS; beyond that more cells pass, which the join that follows sorts out.
+    """
+    bits = 1 << min(max((16 * shared.count()).bit_length(), 16), MAP_BITS.bit_length() - 1)
+    at = F.col("cell").bitwiseAND(F.lit(bits - 1)) + 1
+    maps = shared.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map"))
+    seen = np.zeros(bits // 8, np.uint8)
+    for row in maps.toLocalIterator():  # at most MAP_BITS bits
+        piece = np.frombuffer(row["map"], np.uint8)[: bits // 8]
+        seen[(row["part"] - 1) * 4096 : (row["part"] - 1) * 4096 + len(piece)] = piece
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["cells"].map(len).to_numpy()
+            cells = np.concatenate([*batch["cells"], np.empty(0, np.int64)]).astype(np.int64)
+            place = cells & (bits - 1)
+            hit = np.flatnonzero((seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+            row = np.repeat(np.arange(len(batch)), sizes)[hit]
+            over = batch["need"].to_numpy() - sizes
+            yield pd.DataFrame({"cell": cells[hit], "node": batch["node"].to_numpy()[row], "ring": batch["ring"].to_numpy()[row], "over": over[row]})
+
+    return dealt.mapInPandas(run, "cell long, node long, ring int, over int")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -260,7 +318,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     roles = named.where("node is not null").join(first, "node").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("first_id")).cast("int")).alias("leads"))
     repeats = roles.where("leads = 0 and doc_id is not null").select("doc_id")
     leading = docs.select("doc_id", "text").join(_bounded(repeats), "doc_id", "left_anti")
-    cells = stored(_regions(stored(_cells(leading, k, percent), "jaccard-cells")), "jaccard-regions")
+    cells = stored(_regions(_cells(leading, k, percent)), "jaccard-regions")
     needed = cells.select("node").distinct().join(first, "node").select(F.col("first_id").alias("doc_id")).distinct()
     at_null = docs.select("doc_id", "text").where("doc_id is null")
     wanted = leading.where("doc_id is not null").join(_bounded(needed.where("doc_id is not null")), "doc_id", "left_semi").unionByName(at_null)
