@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cuewright import fixed_values as fv
+from cuewright.catalog import sql_bits as sb
 from cuewright.catalog import views
 from cuewright.catalog.q_timing import chunks as all_chunks
 from cuewright.catalog.registry import ORACLES, SQL_VIEWS, query
 from cuewright.functions import numbers as num
 from cuewright.operators import player, postings, retrieval
-from cuewright.session import scratch_path
+from cuewright.session import scratch_path, written_once
 
 # ---- dense -----------------------------------------------------------------------------------
 SQL_VIEWS["v_dense"] = """
@@ -127,22 +130,32 @@ def bm25_index_update(spark, sf):
     return postings.bm25_search(spark, path, views.questions(spark, sf))
 
 
-# ---- fusion: letter counts stand in for an embedding, so that SQL can follow ----------------------
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_LETTER_VEC = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda a: (length({t}) - length(replace({t}, a, '')))::DOUBLE)"
-SQL_VIEWS["v_letter_rank"] = f"""
+# ---- questions put to the chunk index: chunks, hashed vectors, both rankings, fusion, citation -----
+SQL_VIEWS["k_corpus"] = 'SELECT video_id, chunk_pos AS chunk_id, text, segment_start, segment_end, start, "end" FROM v_chunks'
+SQL_VIEWS["k_questions"] = """
+  SELECT 2 * conv_id AS query_id, 'v' || conv_id AS video_id, arg_min(text, turn) AS question FROM conversations WHERE text IS NOT NULL GROUP BY conv_id
+  UNION ALL SELECT 2 * doc_id + 1, 'd' || doc_id, string_split(text, chr(10))[-1] FROM documents WHERE text IS NOT NULL
+"""
+for _name in ("tokens", "tf", "len", "bm25_videos", "bm25_terms", "asked", "sparse"):
+    SQL_VIEWS[f"k_{_name}"] = re.sub(r"\bv_(corpus|questions|tokens|tf|len|bm25_videos|bm25_terms|asked)\b", r"k_\1", SQL_VIEWS[f"v_{_name}"])
+_BUCKET = "('0x' || substr(md5(term), 1, 2))::INTEGER"
+SQL_VIEWS["k_vectors"] = f"SELECT video_id, chunk_id, {_BUCKET} AS b, count(*)::DOUBLE AS n FROM k_tokens GROUP BY ALL"
+SQL_VIEWS["k_asked_vectors"] = f"SELECT query_id, video_id, {_BUCKET} AS b, sum(times)::DOUBLE AS n FROM k_asked GROUP BY ALL"
+SQL_VIEWS["k_dense"] = """
   SELECT query_id, video_id, chunk_id, score, rn - 1 AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM (
-      SELECT q.query_id, q.video_id, c.chunk_id, round(least(1.0, greatest(0.0, (1 + coalesce(list_inner_product(qv, cv) / nullif(sqrt(list_inner_product(qv, qv)) * sqrt(list_inner_product(cv, cv)), 0), 0)) / 2)), 12) AS score
-      FROM (SELECT *, {_LETTER_VEC.format(t='question')} AS qv FROM v_questions) q
-      JOIN (SELECT *, {_LETTER_VEC.format(t='text')} AS cv FROM v_corpus) c USING (video_id))) WHERE rn <= 30
+      SELECT q.query_id, q.video_id, c.chunk_id, round(least(1.0, greatest(0.0, (1 + coalesce(dot / (sqrt(qq) * sqrt(cc)), 0)) / 2)), 12) AS score
+      FROM k_questions q JOIN k_corpus c USING (video_id)
+      LEFT JOIN (SELECT query_id, chunk_id, sum(a.n * x.n) AS dot FROM k_asked_vectors a JOIN k_vectors x USING (video_id, b) GROUP BY query_id, chunk_id) d USING (query_id, chunk_id)
+      LEFT JOIN (SELECT query_id, sum(n * n) AS qq FROM k_asked_vectors GROUP BY query_id) USING (query_id)
+      LEFT JOIN (SELECT video_id, chunk_id, sum(n * n) AS cc FROM k_vectors GROUP BY video_id, chunk_id) n ON n.video_id = c.video_id AND n.chunk_id = c.chunk_id)) WHERE rn <= 30
 """
-SQL_VIEWS["v_letter_kept"] = """
-  SELECT * FROM (SELECT *, count(*) FILTER (score >= 0.985) OVER (PARTITION BY query_id) AS ok FROM v_letter_rank) WHERE score >= 0.985 OR (ok = 0 AND rank < 3)
+SQL_VIEWS["k_kept"] = """
+  SELECT * FROM (SELECT *, count(*) FILTER (score >= 0.55) OVER (PARTITION BY query_id) AS ok FROM k_dense) WHERE score >= 0.55 OR (ok = 0 AND rank < 3)
 """
 SQL_VIEWS["v_lists"] = """
-  SELECT l.*, c.text FROM (SELECT query_id, video_id, chunk_id, rank, 0 AS list FROM v_letter_kept UNION ALL
-     SELECT query_id, video_id, chunk_id, rank, 1 FROM v_sparse) l JOIN v_corpus c USING (video_id, chunk_id)
+  SELECT l.*, c.text FROM (SELECT query_id, video_id, chunk_id, rank, 0 AS list FROM k_kept UNION ALL
+     SELECT query_id, video_id, chunk_id, rank, 1 FROM k_sparse) l JOIN k_corpus c USING (video_id, chunk_id)
 """
 SQL_VIEWS["v_fused"] = """
   SELECT query_id, video_id, chunk_id, score, rn - 1 AS rank, text FROM (
@@ -152,29 +165,33 @@ SQL_VIEWS["v_fused"] = """
 """
 
 
-def _letters(text):
-    return F.array(*[(F.length(text) - F.length(F.replace(F.col(text), F.lit(a), F.lit("")))).cast("double") for a in LETTERS])
-
-
-def _corpus(spark, sf):
-    return views.corpus(spark, sf).withColumn("vec", _letters("text"))
+def _indexed(spark, sf):
+    """Every chunk with its vector and its place in the video, written once as an index is."""
+    encoded = retrieval.hash_vectors(all_chunks(spark, sf), kind="double").withColumnRenamed("chunk_pos", "chunk_id")
+    return written_once(encoded, "chunk-index")
 
 
 def _questions(spark, sf):
-    return views.questions(spark, sf).withColumn("vec", _letters("question"))
+    """The first words of a conversation and the last line of a document, asked about their own video."""
+    rows = views.table(spark, sf, "conversations").where("text is not null")
+    talk = rows.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    talk = talk.select((2 * F.col("conv_id")).alias("query_id"), F.concat(F.lit("v"), "conv_id").alias("video_id"), "question")
+    docs = views.table(spark, sf, "documents").where("text is not null")
+    docs = docs.select((2 * F.col("doc_id") + 1).alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("video_id"), F.element_at(F.split("text", "\n", -1), -1).alias("question"))
+    return retrieval.hash_vectors(talk.unionByName(docs), text="question", kind="double")
 
 
 @query("rrf_fuse", "SELECT query_id, video_id, chunk_id, score, rank FROM v_fused")
 def rrf_fuse(spark, sf):
-    corpus, asked = _corpus(spark, sf), _questions(spark, sf)
+    corpus, asked = _indexed(spark, sf), _questions(spark, sf)
     texts = corpus.select("video_id", "chunk_id", "text")
-    dense = retrieval.dense_threshold(retrieval.nearest(corpus, asked, fv.FETCH_K, digits=12), 0.985)
+    dense = retrieval.dense_threshold(retrieval.nearest(corpus, asked, fv.FETCH_K, digits=12))
     both = dense.withColumn("list", F.lit(0)).unionByName(retrieval.bm25_topk(texts, asked).withColumn("list", F.lit(1)))
     return retrieval.rrf_fuse(both.drop("score").join(texts, ["video_id", "chunk_id"])).drop("text")
 
 
-def _hybrid(spark, sf):
-    return retrieval.hybrid_retrieve(_corpus(spark, sf), _questions(spark, sf), threshold=0.985)
+def _hybrid(spark, sf, corpus=None):
+    return retrieval.hybrid_retrieve(_indexed(spark, sf) if corpus is None else corpus, _questions(spark, sf))
 
 
 @query("hybrid_retrieve", "SELECT * FROM v_fused")
@@ -195,16 +212,16 @@ def shown_sources(spark, sf):
     """SELECT q.query_id, concat_ws(chr(10) || chr(10), '{policy}', CASE WHEN s <> '' THEN '{summary}' || s END,
          '{chunks}' || coalesce(c, '{none}'), CASE WHEN block <> '' THEN '{web}' || block END,
          CASE WHEN history <> '' THEN '{history}' || history END, '{question}' || question) AS context
-       FROM v_questions q LEFT JOIN (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS c FROM v_fused GROUP BY query_id) f USING (query_id)
-       LEFT JOIN (SELECT source AS video_id, substr(regexp_replace(max(text), '^\\s+|\\s+$', '', 'g'), 1, 4000) AS s FROM documents GROUP BY source) m USING (video_id)
+       FROM k_questions q LEFT JOIN (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS c FROM v_fused GROUP BY query_id) f USING (query_id)
+       LEFT JOIN (SELECT 'd' || doc_id AS video_id, substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 4000) AS s FROM documents) m USING (video_id)
        LEFT JOIN (SELECT query_id, string_agg(title, chr(10) ORDER BY rank) AS block FROM v_shaped GROUP BY query_id) w USING (query_id)
        LEFT JOIN (SELECT conv_id AS query_id, string_agg(CASE role WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Assistant: ' ELSE 'Message: ' END
             || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, CASE role WHEN 'assistant' THEN 1200 ELSE 800 END), chr(10) ORDER BY turn) AS history
             FROM conversations GROUP BY conv_id) h USING (query_id)""",
 )
 def build_context(spark, sf):
-    asked = views.questions(spark, sf)
-    summaries = views.corpus(spark, sf).groupBy("video_id").agg(F.max("text").alias("summary"))
+    asked = _questions(spark, sf)
+    summaries = views.table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("video_id"), F.col("text").alias("summary"))
     shaped = retrieval.shape_search_results(views.search_results(spark, sf), n=5)
     titles = F.sort_array(F.collect_list(F.struct("rank", "title")))
     web = shaped.groupBy("query_id").agg(F.array_join(F.transform(titles, lambda x: x["title"]), "\n").alias("block"))
@@ -237,34 +254,22 @@ def scan_chunks(spark, sf):
 
 @query("embed_chunks")
 def embed_chunks(spark, sf):
-    encoded = retrieval.embed_chunks(all_chunks(spark, sf), "hashing", "tf-256")
-    return encoded.select(
-        "video_id",
-        "chunk_pos",
-        "embedding_provider",
-        "embedding_model",
-        F.size("vec").alias("dims"),
-        F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 4).alias("squared_norm"),
-    )
+    """The numbers in each chunk's vector that are not zero."""
+    encoded = retrieval.embed_chunks(all_chunks(spark, sf), "hashing", "tf-256", kind="double")
+    places = F.posexplode("vec").alias("place", "weight")
+    rows = encoded.select("video_id", "chunk_pos", "embedding_provider", "embedding_model", F.size("vec").alias("dims"), places).where("weight <> 0")
+    return rows.withColumn("weight", F.round("weight", 6))
 
 
 @query(
     "source_payload",
-    """SELECT query_id, video_id, rank, chunk_id AS segment_start, chunk_id + 1 AS segment_end, chunk_id / 2.0::DOUBLE AS start, chunk_id / 2.0::DOUBLE + 3 AS "end", text, 'corpus' AS source,
-         printf('%02d:%02d', chunk_id // 2 // 60, chunk_id // 2 % 60) || '-' || printf('%02d:%02d', (chunk_id // 2 + 3) // 60, (chunk_id // 2 + 3) % 60) AS label FROM v_fused""",
+    f"""SELECT query_id, f.video_id, rank, segment_start, segment_end, start, "end", f.text, 'subtitles' AS source,
+         {sb.fmt_time('start')} || '-' || {sb.fmt_time('"end"')} AS label FROM v_fused f JOIN k_corpus c ON c.video_id = f.video_id AND c.chunk_id = f.chunk_id""",
 )
 def source_payload(spark, sf):
-    start = F.col("chunk_id") / 2.0
-    cited = _hybrid(spark, sf).withColumns(
-        {
-            "start": start,
-            "end": start + 3,
-            "source": F.lit("corpus"),
-            "segment_start": F.col("chunk_id"),
-            "segment_end": F.col("chunk_id") + 1,
-        }
-    )
-    return player.source_payload(cited)
+    """Citations: the ranked chunks with their own times."""
+    corpus = _indexed(spark, sf)
+    return player.source_payload(_hybrid(spark, sf, corpus).join(corpus.drop("text", "vec"), ["video_id", "chunk_id"]))
 
 
 @query(

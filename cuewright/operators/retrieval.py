@@ -290,14 +290,22 @@ def hybrid_retrieve(
 
 
 # ---- encoders and approximate search -------------------------------------------------------------
-def hash_vectors(df: DataFrame, text: str = "text", dims: int = 256) -> DataFrame:
-    """Default encoder: hashed term counts, unit length, in the JVM."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+def hash_vectors(df: DataFrame, text: str = "text", kind: str = "float") -> DataFrame:
+    """Default encoder: counts of the terms whose digest starts with the same byte, unit length, 256 numbers.
 
-    counted = HashingTF(numFeatures=dims, inputCol="_w", outputCol="_tf").transform(df.withColumn("_w", _tokens(text)))
-    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
-    return unit.withColumn("vec", vector_to_array("_unit", "float32")).drop("_w", "_tf", "_unit")
+    Equal texts have equal vectors on every machine and version; a text without terms has zeros. ``kind``: float or double.
+    """
+    first_byte = F.transform(_tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int"))
+
+    @F.pandas_udf(f"array<{kind}>")
+    def unit(buckets: pd.Series) -> pd.Series:
+        out = []
+        for row in buckets:
+            counts = np.bincount(np.asarray(row, dtype=np.int64), minlength=256).astype(np.float64)
+            out.append(counts / (np.sqrt((counts * counts).sum()) or 1.0))
+        return pd.Series(out)
+
+    return df.withColumn("vec", unit(F.coalesce(first_byte, F.array().cast("array<int>"))))
 
 
 def embed_chunks(
@@ -305,10 +313,11 @@ def embed_chunks(
     provider: str,
     model: str,
     make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
+    kind: str = "float",
 ) -> DataFrame:
     """Add ``vec`` and the provider stamp. ``make_encoder`` runs once per task and encodes batches."""
     if make_encoder is None:
-        encoded = hash_vectors(chunks)
+        encoded = hash_vectors(chunks, kind=kind)
     else:
 
         @F.pandas_udf("array<float>")
