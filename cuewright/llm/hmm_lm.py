@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import count
@@ -16,18 +17,34 @@ from cuewright.session import written_once
 
 #: The end token; no word is empty.
 END = b""
-#: Words with a class of their own (the most frequent ones), and classes shared by all other words.
-OWN_CLASSES = 3072
-SHARED_CLASSES = 1024
-CLASSES = OWN_CLASSES + SHARED_CLASSES
+#: Words with a class of their own (the most frequent ones), and classes shared by all other words: so many, and so many for
+#: each unit of the square root of the vocabulary. Both grow with the corpus without end; what a round gathers does too.
+OWN_CLASSES, OWN_GROWTH = 2048, 4
+SHARED_CLASSES, SHARED_GROWTH = 1024, 1
 #: Characters of text that one block of documents holds, about.
 BLOCK_CHARS = 12_000_000
 LN10 = float(np.log(10.0))
 
 
-def shared_class(word: bytes) -> int:
+def classes_for(vocabulary: int) -> tuple[int, int]:
+    """Own and shared classes for so many distinct training words."""
+    root = math.isqrt(vocabulary)
+    return OWN_CLASSES + OWN_GROWTH * root, SHARED_CLASSES + SHARED_GROWTH * root
+
+
+def shared_class(word: bytes, own: int, shared: int) -> int:
     """The class of a word that is not frequent: by its last three bytes."""
-    return OWN_CLASSES + zlib.crc32(word[-3:]) % SHARED_CLASSES
+    return own + zlib.crc32(word[-3:]) % shared
+
+
+def _packed(classes: np.ndarray) -> bytes:
+    """Two bytes a token while they suffice, else four; the first byte says which."""
+    wide = len(classes) and classes.max() >= 1 << 16
+    return (b"4" if wide else b"2") + zlib.compress(classes.astype(np.uint32 if wide else np.uint16).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), np.uint32 if packed[:1] == b"4" else np.uint16)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -180,7 +197,7 @@ class Hmm:
 
 def _lockstep(frame: pd.DataFrame, most: int = 500_000) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     """Cut a batch into groups of at most about ``most`` tokens, by length: sequences of a group end at about the same step."""
-    docs = [np.frombuffer(zlib.decompress(b), np.uint16) for b in frame["classes"]]
+    docs = [_unpacked(b) for b in frame["classes"]]
     order = np.argsort([len(d) for d in docs], kind="stable")
     lo, size = 0, 0
     for i, at in enumerate(order):
@@ -225,22 +242,23 @@ def coded_documents(docs: DataFrame, held_modulus: int = 7, held: int = 2) -> tu
     totals = written_once(totals, "hmm-words")
     sums = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n, v = int(sums[0]), int(sums[1])
-    # The most frequent words: a parameter's worth of rows.
-    top = totals.where("c > 0").orderBy(F.col("c").desc(), F.hex("word")).limit(OWN_CLASSES).select("word").toPandas()["word"]
+    # The most frequent words, a multiple of the square root of the vocabulary: half a million of a billion.
+    n_own, n_shared = classes_for(v)
+    top = totals.where("c > 0").orderBy(F.col("c").desc(), F.hex("word")).limit(n_own).select("word").toPandas()["word"]
     own = {bytes(w): i for i, w in enumerate(top)}
     base_den = float(np.log10(n + v + 1.0))
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["class"] = np.array([own.get(w) if w in own else shared_class(w) for w in map(bytes, batch["word"])], np.int32)
+            batch["class"] = np.array([own.get(w) if w in own else shared_class(w, n_own, n_shared) for w in map(bytes, batch["word"])], np.int32)
             yield batch
 
     classed = totals.mapInPandas(classify, "word binary, c long, class int")
-    per = classed.where("c > 0").groupBy("class").agg(F.sum(F.col("c") + 1).alias("m"), F.sum("c").alias("c")).toPandas()  # at most CLASSES rows
-    mass = np.zeros(CLASSES)
+    per = classed.where("c > 0").groupBy("class").agg(F.sum(F.col("c") + 1).alias("m"), F.sum("c").alias("c")).toPandas()  # a row per class
+    mass = np.zeros(n_own + n_shared)
     mass[per["class"]] = per["m"]
-    mass[OWN_CLASSES:] += 1.0
-    share = np.zeros(CLASSES)
+    mass[n_own:] += 1.0
+    share = np.zeros(n_own + n_shared)
     share[per["class"]] = per["c"]
     share = (share + 0.5) / (share + 0.5).sum()
     log_mass = np.log10(np.maximum(mass, 1.0))
@@ -251,7 +269,7 @@ def coded_documents(docs: DataFrame, held_modulus: int = 7, held: int = 2) -> tu
         c, of = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
         c[right["number"]], of[right["number"]] = right["c"], right["class"]
         log_c = np.log10(c + 1.0)
-        inside = np.where((of < OWN_CLASSES) & (c > 0), 0.0, log_c - log_mass[of])
+        inside = np.where((of < n_own) & (c > 0), 0.0, log_c - log_mass[of])
         rows = []
         for doc_id, held_out, packed in zip(left["doc_id"], left["held_out"], left["ids"]):
             ids = np.frombuffer(zlib.decompress(packed), np.int32)
@@ -264,7 +282,7 @@ def coded_documents(docs: DataFrame, held_modulus: int = 7, held: int = 2) -> tu
                     n,
                     float(log_c[ids].sum()) - len(ids) * base_den,
                     float(inside[ids].sum()),
-                    zlib.compress(of[ids].astype(np.uint16).tobytes(), 1),
+                    _packed(of[ids]),
                 )
             )
         out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "inside", "classes"])
@@ -276,18 +294,19 @@ def coded_documents(docs: DataFrame, held_modulus: int = 7, held: int = 2) -> tu
     return written_once(coded, "hmm-coded"), share
 
 
-def train(coded: DataFrame, share: np.ndarray, states: int = 8, warm: int = 4, full: int = 2, seed: int = 1) -> tuple[Hmm, list[float]]:
-    """``warm`` rounds over a sixteenth of the training documents set the states apart, then ``full`` rounds over all of them."""
+def train(coded: DataFrame, share: np.ndarray, states: int = 8, rounds: int = 4, seed: int = 1) -> tuple[Hmm, list[float]]:
+    """Baum-Welch rounds over all training documents; without any, the model stays as it was drawn."""
     model, history = Hmm.drawn(states, share, seed), []
-    part = coded.where(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(16)) == 0)
-    for rows in [part] * warm + [coded] * full:
-        first, moves, emits, total = expected_counts(rows, model)
+    for _ in range(rounds):
+        first, moves, emits, total = expected_counts(coded, model)
+        if not first.sum():
+            break
         model = Hmm.from_counts(first, moves, emits, share)
         history.append(total)
     return model, history
 
 
-def score(docs: DataFrame, states: int = 8, warm: int = 4, full: int = 2, held_modulus: int = 7, held: int = 2) -> DataFrame:
+def score(docs: DataFrame, states: int = 8, rounds: int = 4, held_modulus: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document.
 
     ``score`` is the log10 probability of the whole token sequence: classes by the hidden states, words by their share
@@ -295,7 +314,7 @@ def score(docs: DataFrame, states: int = 8, warm: int = 4, full: int = 2, held_m
     gives no rows; without training documents every word is unknown.
     """
     coded, share = coded_documents(docs, held_modulus, held)
-    model, _ = train(coded, share, states, warm, full)
+    model, _ = train(coded, share, states, rounds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -80,10 +80,27 @@ def test_scores_against_plain_counts(spark):
 def test_training_does_not_lose_likelihood_and_model_is_normalised(spark):
     coded, share = hmm_lm.coded_documents(table(spark, corpus()))
     assert share.sum() == pytest.approx(1)
-    _, history = hmm_lm.train(coded, share, states=4, warm=0, full=5)
+    _, history = hmm_lm.train(coded, share, states=4, rounds=5)
     assert all(b >= a - 30 for a, b in zip(history, history[1:])) and history[-1] > history[0]
 
 
+def test_classes_grow_with_the_vocabulary(spark, monkeypatch):
+    sizes = [sum(hmm_lm.classes_for(v)) for v in (10**3, 10**5, 10**7, 10**9)]
+    assert sizes == sorted(set(sizes)) and sizes[-1] > 10 * sizes[1]
+    for classes in (np.array([], np.int64), np.array([0, 65_535]), np.array([3, 65_536])):
+        assert hmm_lm._unpacked(hmm_lm._packed(classes)).tolist() == classes.tolist()
+    monkeypatch.setattr(hmm_lm, "OWN_CLASSES", 10)
+    monkeypatch.setattr(hmm_lm, "SHARED_CLASSES", 5)
+    _, share = hmm_lm.coded_documents(table(spark, corpus()))
+    assert len(share) == sum(hmm_lm.classes_for(61)) and share.sum() == pytest.approx(1)
+
+
+def test_no_training_document(spark):
+    held = [d for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2][:5]
+    out = hmm_lm.score(table(spark, [(d, "some words", "en", "s", 1) for d in held]), states=2).collect()
+    assert len(out) == 5 and all(r.held_out and r.n_known == 0 and np.isfinite(r.score) for r in out)
+
+
 def test_blocks_do_not_matter(spark, monkeypatch):
     rows = corpus(40)
     whole = sorted(map(tuple, hmm_lm.score(table(spark, rows), states=2).select("doc_id", "n_known", "base_score").collect()))
@@ -93,5 +110,5 @@ def test_blocks_do_not_matter(spark, monkeypatch):
 
 
 def test_edges(spark):
-    assert hmm_lm.score(edges(spark), states=2, warm=1, full=1).count() == 11
-    assert hmm_lm.score(edges(spark).limit(0), states=2, warm=1, full=1).count() == 0
+    assert hmm_lm.score(edges(spark), states=2, rounds=2).count() == 11
+    assert hmm_lm.score(edges(spark).limit(0), states=2, rounds=2).count() == 0
