@@ -12,7 +12,7 @@ from cuewright.catalog import views
 from cuewright.catalog.q_timing import chunks as all_chunks
 from cuewright.catalog.registry import ORACLES, SQL_VIEWS, query
 from cuewright.functions import numbers as num
-from cuewright.operators import player, postings, retrieval
+from cuewright.operators import player, postings, pruned, retrieval
 from cuewright.session import scratch_path, written_once
 
 # ---- dense -----------------------------------------------------------------------------------
@@ -30,7 +30,7 @@ SQL_VIEWS["v_dense_kept"] = """
 
 
 def _dense(spark, sf):
-    return retrieval.nearest(views.vectors(spark, sf), views.vector_queries(spark, sf), fv.FETCH_K, digits=12)
+    return pruned.nearest_pruned(views.vectors(spark, sf), views.vector_queries(spark, sf), fv.FETCH_K, digits=12)
 
 
 @query("dense_topk", "SELECT * REPLACE (round(score, 6) AS score) FROM v_dense")
