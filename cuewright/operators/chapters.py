@@ -71,28 +71,23 @@ def timestamp_seconds(stamp: Column) -> Column:
 
 
 def description_chapters(descriptions: DataFrame) -> DataFrame:
-    """Chapters from the stamped lines of a description whose first stamp is 00:00."""
-    items = F.transform(
-        F.filter(F.split("description", r"\r\n|\n|\r"), lambda x: x.rlike(STAMPED_LINE)),
-        lambda x: F.struct(
-            timestamp_seconds(F.regexp_extract(x, STAMPED_LINE, 1)).alias("start"),
-            squeeze(F.regexp_extract(x, STAMPED_LINE, 2)).alias("title"),
-        ),
-    )
-    usable = F.filter(items, lambda i: i["start"].isNotNull() & (i["title"] != ""))
-    listed = descriptions.select("video_id", "duration", usable.alias("_items")).where(
-        F.try_element_at("_items", F.lit(1))["start"] == 0
-    )
-    rows = listed.select("video_id", "duration", F.posexplode_outer("_items").alias("pos", "i")).select(
+    """Chapters from the stamped lines of a description whose first stamp is 00:00.
+
+    Lines become rows first, so that each is tested once, in compiled code, and a long description is no single value.
+    """
+    lines = descriptions.select("video_id", "duration", F.posexplode(F.split("description", r"\r\n|\n|\r")).alias("pos", "line"))
+    stamped = lines.where(F.col("line").rlike(STAMPED_LINE)).select(
         "video_id",
         F.col("pos").cast("long").alias("pos"),
-        F.col("i.start").alias("start"),
+        timestamp_seconds(F.regexp_extract("line", STAMPED_LINE, 1)).alias("start"),
         F.lit(None).cast("double").alias("end"),
-        F.col("i.title").alias("title"),
+        squeeze(F.regexp_extract("line", STAMPED_LINE, 2)).alias("title"),
         "duration",
     )
-    # The chapter rows are read several times and are far smaller than the descriptions.
-    return normalize_chapters(written_once(rows, "described"))
+    # The stamped lines are read several times and are far smaller than the descriptions.
+    usable = written_once(stamped, "described").where("start is not null and title <> ''")
+    begun = usable.groupBy("video_id").agg(F.min_by("start", "pos").alias("_first")).where("_first = 0")
+    return normalize_chapters(usable.join(begun.select("video_id"), "video_id", "left_semi"))
 
 
 def chapters(raw: DataFrame, descriptions: DataFrame) -> DataFrame:
