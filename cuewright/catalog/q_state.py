@@ -10,8 +10,8 @@ from cuewright.catalog.q_timing import chunks as all_chunks
 from cuewright.catalog.q_timing import line_segments
 from cuewright.catalog.registry import SQL_VIEWS, query
 from cuewright.functions import numbers as num
-from cuewright.operators import catalogue, chapters, indexing, runlog
-from cuewright.session import scratch_path
+from cuewright.operators import catalogue, chapters, indexing, runlog, transcripts
+from cuewright.session import scratch_path, written_once
 from cuewright.sources import readers, sinks
 from cuewright.streaming import streams
 
@@ -71,11 +71,13 @@ def sink_segments(spark, sf):
 
 @query("sink_chunks")
 def sink_chunks(spark, sf):
-    path = scratch_path(spark, "chunks")
-    sinks.write_chunks(all_chunks(spark, sf), path)
-    return sinks.read_chunks(spark, path).groupBy("video_id").agg(
-        F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars")
-    )
+    """Stale chunks of a third of the videos, and of videos that have become empty, are replaced."""
+    path, chunks = scratch_path(spark, "chunks"), written_once(all_chunks(spark, sf), "chunks")
+    third = F.pmod(F.xxhash64("video_id"), F.lit(3)) == 0
+    old = chunks.where(third).withColumn("text", F.lit("stale")).unionByName(chunks.where(third).withColumn("video_id", F.concat(F.lit("gone "), "video_id")))
+    sinks.write_chunks(chunks.where(~third).unionByName(old), path)
+    sinks.write_chunks(chunks.where(third), path, replaced=old.select("video_id").distinct())
+    return sinks.read_chunks(spark, path)
 
 
 @query(
@@ -168,13 +170,13 @@ def scan_glossary(spark, sf):
 
 
 # ---- listings ----------------------------------------------------------------------------------
-@query("scan_artifacts")
+@query("scan_artifacts", "SELECT video_id, 'txt' AS kind, sum(strlen(text) + 1)::BIGINT AS length FROM v_segments WHERE text IS NOT NULL GROUP BY video_id")
 def scan_artifacts(spark, sf):
+    """One transcript file per video: its folder, its kind and its length."""
     path = scratch_path(spark, "artifacts")
-    sinks.write_transcripts(views.segments(spark, sf), path)
-    return readers.list_artifacts(spark, path, "*.json").select(
-        F.col("name").endswith(".json").alias("is_json"), F.col("mtime").isNotNull().alias("has_time"), (F.col("length") > 0).alias("filled")
-    )
+    sinks.write_files(transcripts.full_text(views.segments(spark, sf)), path, "seg_idx", " ")
+    found = readers.list_artifacts(spark, path, "*.txt").where("mtime is not null")
+    return found.select(F.replace("folder", F.lit("video_id="), F.lit("")).alias("video_id"), F.regexp_extract("name", r"([^.]*)$", 1).alias("kind"), "length")
 
 
 SQL_VIEWS["v_outputs"] = "SELECT 'c' || o_custkey AS video_id, epoch(o_orderdate)::BIGINT AS mtime FROM orders WHERE o_orderstatus = 'F'"
@@ -336,14 +338,16 @@ def backfill_chapters(spark, sf):
 
 @query("incremental_index")
 def incremental_index(spark, sf):
-    """First run over two thirds of the videos, second run over all: only the rest is indexed."""
+    """First run over two thirds of the videos, second run over all: only the rest is indexed. The chunks of both, with the second run's reason."""
     path = scratch_path(spark, "index")
     lines = line_segments(spark, sf).select(
         "video_id", "seg_idx", "start", (F.col("start") + F.col("duration")).alias("end"), "text"
     )
     part = F.substring("video_id", 2, 20).cast("long") % 3 > 0
     indexing.incremental_index(lines.where(part), path)
-    return indexing.incremental_index(lines, path)
+    todo = indexing.incremental_index(lines, path)
+    chunks = sinks.read_chunks(spark, path).join(todo, "video_id", "left")
+    return chunks.select("video_id", "chunk_pos", "start", "end", "text", F.size("vec").alias("dims"), "reason")
 
 
 # ---- run log -----------------------------------------------------------------------------------
@@ -557,10 +561,12 @@ def stream_index(spark, sf):
     lines = line_segments(spark, sf).select(
         "video_id", "seg_idx", "start", (F.col("start") + F.col("duration")).alias("end"), "text"
     )
-    lines.write.parquet(source)
-    stream = spark.readStream.schema(lines.schema).parquet(source)
+    # Two deliveries, so that most videos arrive in parts.
+    for part in range(2):
+        lines.where(F.pmod("seg_idx", F.lit(2)) == part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(source)
     streams.stream_index(stream, index, state).awaitTermination()
-    return sinks.read_chunks(spark, index).groupBy("video_id").agg(F.count("*").alias("chunks"))
+    return sinks.read_chunks(spark, index).select("video_id", "chunk_pos", "segment_start", "segment_end", "start", "end", "text")
 
 
 @query("stream_run_log", "SELECT run_id AS video_id, status, total_time_sec, asr_engine FROM v_run_state")

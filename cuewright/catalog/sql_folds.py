@@ -35,14 +35,14 @@ SQL_VIEWS["v_chunks"] = f"""
 _CHUNKS = f"SELECT *, 'subtitles' AS source, '{fv.RAG_VERSION}' AS rag_version FROM v_chunks"
 ORACLES["chunk_segments"] = _CHUNKS
 ORACLES["scan_chunks"] = _CHUNKS
-ORACLES["sink_chunks"] = "SELECT video_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM v_chunks GROUP BY video_id"
-ORACLES["stream_index"] = "SELECT video_id, count(*) AS chunks FROM v_chunks WHERE video_id LIKE 'd%' GROUP BY video_id"
+ORACLES["sink_chunks"] = _CHUNKS
+ORACLES["stream_index"] = "SELECT video_id, chunk_pos, segment_start, segment_end, start, \"end\", text FROM v_chunks WHERE video_id LIKE 'd%'"
 ORACLES["embed_chunks"] = """
   SELECT video_id, chunk_id AS chunk_pos, 'hashing' AS embedding_provider, 'tf-256' AS embedding_model, 256 AS dims, b AS place,
          round(n / sqrt(sum(n * n) OVER (PARTITION BY video_id, chunk_id)), 6) AS weight FROM k_vectors
 """
 ORACLES["incremental_index"] = """
-  SELECT DISTINCT video_id, 'missing' AS reason FROM v_chunk_pos WHERE video_id LIKE 'd%' AND substr(video_id, 2)::BIGINT % 3 = 0
+  SELECT video_id, chunk_pos, start, "end", text, 256 AS dims, CASE WHEN substr(video_id, 2)::BIGINT % 3 = 0 THEN 'missing' END AS reason FROM v_chunks WHERE video_id LIKE 'd%'
 """
 
 # ---- merged segments ---------------------------------------------------------------------------

@@ -92,6 +92,7 @@ def list_artifacts(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(
         name.alias("name"),
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"),
         F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
         F.col("modificationTime").alias("mtime"),
         "length",
