@@ -12,7 +12,7 @@ from cuewright.catalog import views
 from cuewright.catalog.q_timing import chunks as all_chunks
 from cuewright.catalog.registry import ORACLES, SQL_VIEWS, query
 from cuewright.functions import numbers as num
-from cuewright.operators import player, postings, pruned, retrieval
+from cuewright.operators import neighbour_graph, player, postings, pruned, retrieval
 from cuewright.session import scratch_path, written_once
 
 # ---- dense -----------------------------------------------------------------------------------
@@ -64,6 +64,22 @@ def ann_topk(spark, sf):
     return retrieval.ann_topk(views.vectors(spark, sf), views.vector_queries(spark, sf), fv.FINAL_K)
 
 
+@query(
+    "ann_graph_recall",
+    """SELECT 'l' || label AS video_id, count(*) AS queries, (count(*) * least(count(*), 10))::BIGINT AS found, true AS recalled FROM embeddings GROUP BY label""",
+)
+def ann_graph_recall(spark, sf):
+    """What the stored neighbour graph finds of the exact neighbours, per video: nine tenths at least."""
+    path = scratch_path(spark, "graph")
+    vectors, asked = views.vectors(spark, sf), views.vector_queries(spark, sf)
+    neighbour_graph.build(vectors, path)
+    found, _ = neighbour_graph.search(spark, path, asked, fv.FINAL_K)
+    exact = pruned.nearest_pruned(vectors, asked, fv.FINAL_K).select("video_id", "query_id", "chunk_id", F.lit(1).alias("hit"))
+    counted = found.join(exact, ["video_id", "query_id", "chunk_id"], "left").groupBy("video_id")
+    counted = counted.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("found"), F.count("hit").alias("hits"))
+    return counted.select("video_id", "queries", "found", (F.col("hits") >= 0.9 * F.col("found")).alias("recalled"))
+
+
 # ---- sparse ----------------------------------------------------------------------------------
 SQL_VIEWS["v_tokens"] = """
   SELECT video_id, chunk_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS term FROM v_corpus
