@@ -164,7 +164,7 @@ def _candidates(dealt: DataFrame, shared: DataFrame) -> DataFrame:
     at = F.col("cell").bitwiseAND(F.lit(bits - 1)) + 1
     maps = shared.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map"))
     seen = np.zeros(bits // 8, np.uint8)
-    for row in maps.toLocalIterator():  # at most MAP_BITS bits
+    for row in maps.collect():  # at most MAP_BITS bits
         piece = np.frombuffer(row["map"], np.uint8)[: bits // 8]
         seen[(row["part"] - 1) * 4096 : (row["part"] - 1) * 4096 + len(piece)] = piece
 
