@@ -24,7 +24,7 @@ MAX_BROADCAST, PIVOT_BYTES = 1_000_000, 32_000_000
 #: Cells that one task counts, about, and bits of the map of shared cells at most (16 MB).
 CELLS_PER_TASK, MAP_BITS = 2_000_000, 1 << 27
 #: Regions of at most so many sets are compared pair by pair; a pivot is drawn from so many sets with at most so many shingles.
-SMALL = 24
+SMALL = 128
 PIVOT_SETS, PIVOT_SHINGLES = 31, 4_000_000
 #: Parts beyond those that must be kept, as a share of them: each set leaves out as many of its most common cells.
 SPARE = 0.25
@@ -203,32 +203,38 @@ def _regions(cells: DataFrame) -> DataFrame:
 
 
 def _direct(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links within regions of at most SMALL sets, read one after the other; chains of links are not repeated."""
+    """a, b: links within regions of at most SMALL sets, read one after the other.
 
-    def links(group: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
-        label = list(range(len(group)))
+    Sets that are in one component already (``component``, or by links found on the way) are not compared.
+    """
+
+    def links(group: list[tuple[int, np.ndarray, int]]) -> Iterator[tuple[int, int]]:
+        label = [component for _, _, component in group]
         for i, j in combinations(range(len(group)), 2):
-            (a, x), (b, y) = group[i], group[j]
-            if label[i] == label[j] or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            if label[i] == label[j]:
+                continue
+            (a, x, _), (b, y, _) = group[i], group[j]
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                 continue
             common = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * common >= percent * (len(x) + len(y) - common):
-                label = [label[i] if c == label[j] else c for c in label]
+                old, new = label[j], label[i]
+                label = [new if c == old else c for c in label]
                 yield a, b
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, group = None, []
         for batch in batches:
             out = []
-            for cell, node, shingles in zip(batch["cell"], batch["node"], batch["shingles"]):
+            for cell, node, component, shingles in zip(batch["cell"], batch["node"], batch["component"], batch["shingles"]):
                 if cell != at:
                     out += links(group)
                     at, group = cell, []
-                group.append((node, np.frombuffer(shingles, np.uint64)))
+                group.append((node, np.frombuffer(shingles, np.uint64), component))
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
         yield pd.DataFrame(list(links(group)), columns=["a", "b"], dtype=np.int64)
 
-    rows = cells.join(sets, "node").select("cell", "node", "shingles").repartition("cell").sortWithinPartitions("cell")
+    rows = cells.join(sets, "node").select("cell", "node", "component", "shingles").repartition("cell").sortWithinPartitions("cell")
     return rows.mapInPandas(run, "a long, b long")
 
 
@@ -269,13 +275,11 @@ def _differences(cells: DataFrame, pivots: DataFrame, sets: DataFrame, percent:
 
 
 def _around(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """One step in large regions: (links a, b; sub-regions cell, node, far).
+    """One step in large regions: (links a, b; what ``_parts`` needs: cell, node, most, apart, middle).
 
     With X the difference of set x from the pivot, |x delta y| <= |X| + |Y|: two sets whose slacks add up to at most 0 are linked, untested.
-    So all whose slack the region's least slack makes up for are linked with the set of least slack. Every other set x is
-    too far for that with any y, so if it is linked with y, X and Y share a shingle: these are the sub-regions. X and Y differ in at most
-    ``most`` shingles, so the rarest shingle they share is among the ``most`` + 1 rarest of both. Sub-regions
-    shrink, as a shingle in which most sets differ from the pivot would be in the pivot.
+    So all whose slack the region's least slack makes up for are linked with the set of least slack, the ``middle``. Every other set x is
+    too far for that with any y, so if it is linked with y, X and Y share a shingle.
     """
     pivots = written_once(_pivots(cells, sets), "jaccard-pivots")
     rows = written_once(_differences(cells, pivots, sets, percent), "jaccard-differences")
@@ -283,7 +287,20 @@ def _around(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     near = broadcast_if_small(stored(near.select("n_cell", F.col("best.slack").alias("least"), F.col("best.node").alias("middle"), "worst"), "jaccard-nearest"))
     rows = rows.join(near, F.col("cell") == F.col("n_cell"))
     links = rows.where((F.col("slack") + F.col("least") <= 0) & (F.col("node") != F.col("middle"))).select(F.col("middle").alias("a"), F.col("node").alias("b"))
-    left = rows.where(F.col("worst") + F.col("least") > 0).withColumn("far", F.col("slack") + F.col("least") > 0)
+    return links, rows.where(F.col("worst") + F.col("least") > 0).select("cell", "node", "most", "apart", "middle")
+
+
+def _parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sub-regions (cell, node, far): sets that differ from the pivot in the same shingle, one of which is not in the middle's component.
+
+    X and Y of linked sets differ in at most ``most`` shingles, so the rarest shingle they share is among the ``most`` + 1 rarest of
+    both. Sub-regions shrink, as a shingle in which most sets differ from the pivot would be in the pivot.
+    """
+    known = stored(rows.select("cell", "node", "middle").join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-known")
+    homes = known.where("node = middle").select(F.col("cell").alias("h_cell"), F.col("component").alias("home"))
+    open_ = known.join(broadcast_if_small(homes), F.col("cell") == F.col("h_cell")).select(F.col("cell").alias("k_cell"), F.col("node").alias("k_node"), (F.col("component") != F.col("home")).alias("far"))
+    asking = broadcast_if_small(open_.where("far").select(F.col("k_cell").alias("a_cell")).distinct())
+    left = rows.join(asking, F.col("cell") == F.col("a_cell"), "left_semi").join(open_, (F.col("cell") == F.col("k_cell")) & (F.col("node") == F.col("k_node")))
     each = left.select("cell", "node", "most", "far", F.size("apart").alias("n"), F.explode("apart").alias("e"))
     shared = each.groupBy(F.col("cell").alias("s_cell"), F.col("e").alias("s_e")).agg(F.count("*").alias("f"), F.max("far").alias("asked"))
     shared = shared.where("f > 1")
@@ -291,7 +308,7 @@ def _around(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     mine = Window.partitionBy("cell", "node")
     each = each.withColumns({"rank": F.row_number().over(mine.orderBy("f", "e")), "common": F.count("*").over(mine)})
     each = each.where("asked and rank <= most + 1 - n + common")
-    return links, each.select(F.xxhash64("cell", "e").alias("cell"), "node", "far")
+    return each.select(F.xxhash64("cell", "e").alias("cell"), "node", "far")
 
 
 def _open(cells: DataFrame, labels: DataFrame) -> DataFrame:
@@ -302,7 +319,7 @@ def _open(cells: DataFrame, labels: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
     )
     kept = sums.where("far and least <> most").groupBy("n", "x", "y").agg(F.min("of_cell").alias("of_cell"))
-    return rows.join(kept.select("of_cell"), F.col("cell") == F.col("of_cell")).select("cell", "node")
+    return rows.join(kept.select("of_cell"), F.col("cell") == F.col("of_cell")).select("cell", "node", "component")
 
 
 def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -318,7 +335,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     roles = named.where("node is not null").join(first, "node").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("first_id")).cast("int")).alias("leads"))
     repeats = roles.where("leads = 0 and doc_id is not null").select("doc_id")
     leading = docs.select("doc_id", "text").join(_bounded(repeats), "doc_id", "left_anti")
-    cells = stored(_regions(_cells(leading, k, percent)), "jaccard-regions")
+    cells = stored(_regions(_cells(leading, k, percent)).withColumn("component", F.col("node")), "jaccard-regions")
     needed = cells.select("node").distinct().join(first, "node").select(F.col("first_id").alias("doc_id")).distinct()
     at_null = docs.select("doc_id", "text").where("doc_id is null")
     wanted = leading.where("doc_id is not null").join(_bounded(needed.where("doc_id is not null")), "doc_id", "left_semi").unionByName(at_null)
@@ -331,11 +348,12 @@ def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
         if not sizes.where(F.col("n") > SMALL).limit(1).count():
             labels = components(reduce(DataFrame.unionByName, links))
             break
-        found, parts = _around(stored(sized.where(F.col("n") > SMALL).drop("n"), "jaccard-large"), sets, percent)
+        found, rows = _around(stored(sized.where(F.col("n") > SMALL).drop("n"), "jaccard-large"), sets, percent)
         links.append(stored(found, "jaccard-links"))
-        parts = stored(parts, "jaccard-parts")
         labels = components(reduce(DataFrame.unionByName, links))
+        parts = stored(_parts(rows, labels), "jaccard-parts")
         cells = stored(_open(parts, labels), "jaccard-regions")
+        discard(parts)
     return named, labels
 
 

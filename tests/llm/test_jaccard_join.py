@@ -119,15 +119,17 @@ def test_large_regions_against_all_pairs(spark, monkeypatch):
         assert got(table(spark, rows), k, percent) == plain_components(rows, k, percent)
 
 
-def test_alike_but_not_linked_is_linear_work(spark):
+def test_alike_but_not_linked_is_linear_work(spark, monkeypatch):
     """Sub-regions of a group whose members are all alike and hardly linked: their rows grow with the group (4 times here), not with its square (16 times)."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 24)
     rows = []
     for n in (500, 2000):
         rng = random.Random(11)
         docs = table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(near_group(rng, n, 120, 5, pool=n // 10))])
         regions = jaccard_join._regions(jaccard_join._cells(docs, 3, 90))
         large = regions.join(regions.groupBy("cell").count().where(f"count > {jaccard_join.SMALL}"), "cell").drop("count")
-        links, parts = jaccard_join._around(large, jaccard_join._sets(docs, 3), 90)
+        links, left = jaccard_join._around(large, jaccard_join._sets(docs, 3), 90)
+        parts = jaccard_join._parts(left, spark.createDataFrame([], "id long, component long"))
         rows.append((regions.count(), links.count(), parts.count()))
         members = [r.n for r in parts.groupBy("cell").agg({"node": "count"}).toDF("cell", "n").collect()]
         assert max(members, default=0) <= 0.6 * n
