@@ -217,7 +217,7 @@ def _refined(rows: DataFrame, models: DataFrame, wider: int | None, kind: str) -
                 if (part, piece) != at or not len(group):
                     continue
                 best, _ = _best(router, np.stack(group["v"].to_list()).astype(np.float64), 1 if wider is None else probes * wider)
-                yield _spread(group, (part * MOST_PARTS + best.ravel() + 1), best.shape[1])
+                yield _spread(group, (part + 1) * MOST_PARTS + best.ravel(), best.shape[1])  # no other partition has this number
 
     deeper = both.mapInPandas(run, f"id long, v array<{kind}>, part long")
     return whole.select("id", "v", "part").unionByName(deeper)
