@@ -293,21 +293,26 @@ def _around(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
 def _parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Sub-regions (cell, node, far): sets that differ from the pivot in the same shingle, one of which is not in the middle's component.
 
-    X and Y of linked sets differ in at most ``most`` shingles, so the rarest shingle they share is among the ``most`` + 1 rarest of
-    both. Sub-regions shrink, as a shingle in which most sets differ from the pivot would be in the pivot.
+    X and Y of linked sets differ in at most ``most`` shingles, so X has at most (most + |X| - |Y|) / 2 that Y has not, and the rarest shingle they
+    share comes at the latest just behind those in X, and likewise in Y. A far set meets any set, the others need meet far ones alone, so the
+    least |Y| is that of the region or of its far sets. Sub-regions shrink, as a shingle in which most sets differ from the pivot would be in the pivot.
     """
     known = stored(rows.select("cell", "node", "middle").join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-known")
     homes = known.where("node = middle").select(F.col("cell").alias("h_cell"), F.col("component").alias("home"))
     open_ = known.join(broadcast_if_small(homes), F.col("cell") == F.col("h_cell")).select(F.col("cell").alias("k_cell"), F.col("node").alias("k_node"), (F.col("component") != F.col("home")).alias("far"))
     asking = broadcast_if_small(open_.where("far").select(F.col("k_cell").alias("a_cell")).distinct())
     left = rows.join(asking, F.col("cell") == F.col("a_cell"), "left_semi").join(open_, (F.col("cell") == F.col("k_cell")) & (F.col("node") == F.col("k_node")))
-    each = left.select("cell", "node", "most", "far", F.size("apart").alias("n"), F.explode("apart").alias("e"))
+    sizes = left.groupBy(F.col("cell").alias("l_cell")).agg(F.min(F.size("apart")).alias("any"), F.min(F.when(F.col("far"), F.size("apart"))).alias("away"))
+    left = left.join(broadcast_if_small(sizes), F.col("cell") == F.col("l_cell"))
+    partner = F.when(F.col("far"), F.col("any")).otherwise(F.col("away"))
+    first = F.least(F.floor((F.col("most") + F.size("apart") - partner) / 2), F.col("most")) + 1
+    each = left.select("cell", "node", first.alias("first"), "far", F.size("apart").alias("n"), F.explode("apart").alias("e"))
     shared = each.groupBy(F.col("cell").alias("s_cell"), F.col("e").alias("s_e")).agg(F.count("*").alias("f"), F.max("far").alias("asked"))
     shared = shared.where("f > 1")
     each = each.join(shared, (F.col("cell") == F.col("s_cell")) & (F.col("e") == F.col("s_e")))
     mine = Window.partitionBy("cell", "node")
     each = each.withColumns({"rank": F.row_number().over(mine.orderBy("f", "e")), "common": F.count("*").over(mine)})
-    each = each.where("asked and rank <= most + 1 - n + common")
+    each = each.where("asked and rank <= first - n + common")
     return each.select(F.xxhash64("cell", "e").alias("cell"), "node", "far")
 
 
