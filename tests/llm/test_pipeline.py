@@ -57,7 +57,8 @@ def test_edge_rows_pass_all_stages(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for name_of in ("documents", "conversations"):
+        con.execute(f"create view {name_of} as select * from '{DATA}/{name_of}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     rel = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in rel.description]
