@@ -85,8 +85,10 @@ def delete_videos(ids: DataFrame, paths: list[str], buckets: int = BUCKETS) -> N
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """True when a table is stored at ``path``; a folder without any file or bucket, left by an empty write, has no schema."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(target) and any(not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(target))
 
 
 def write_segments(segments: DataFrame, path: str) -> None:
