@@ -561,11 +561,11 @@ def stream_index(spark, sf):
     lines = line_segments(spark, sf).select(
         "video_id", "seg_idx", "start", (F.col("start") + F.col("duration")).alias("end"), "text"
     )
-    # Two deliveries, so that most videos arrive in parts.
+    # Two deliveries, so that most videos arrive in parts; each of as many files as its tasks write, indexed before the next comes.
     for part in range(2):
-        lines.where(F.pmod("seg_idx", F.lit(2)) == part).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    streams.stream_index(stream, index, state).awaitTermination()
+        lines.where(F.pmod("seg_idx", F.lit(2)) == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(lines.schema).parquet(source)
+        streams.stream_index(stream, index, state).awaitTermination()
     return sinks.read_chunks(spark, index).select("video_id", "chunk_pos", "segment_start", "segment_end", "start", "end", "text")
 
 
