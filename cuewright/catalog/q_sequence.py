@@ -28,23 +28,25 @@ SQL_VIEWS["v_runs"] = """
 
 @query("sentence_runs", "SELECT video_id, word_idx, run_start FROM v_runs")
 def sentence_runs(spark, sf):
-    return sentences.sentence_runs(views.words(spark, sf)).select("video_id", "word_idx", "run_start")
+    return sentences.sentence_runs(views.words(spark, sf), many=views.many_words(spark, sf)).select("video_id", "word_idx", "run_start")
 
 
 @query("soft_split")
 def soft_split(spark, sf):
-    return sentences.soft_split(sentences.sentence_runs(views.words(spark, sf)))
+    many = views.many_words(spark, sf)
+    return sentences.soft_split(sentences.sentence_runs(views.words(spark, sf), many=many), many=many)
 
 
 @query("merge_short")
 def merge_short(spark, sf):
-    runs = sentences.soft_split(sentences.sentence_runs(views.words(spark, sf)), max_words=0)
-    return sentences.merge_short(runs)
+    many = views.many_words(spark, sf)
+    runs = sentences.soft_split(sentences.sentence_runs(views.words(spark, sf), many=many), max_words=0, many=many)
+    return sentences.merge_short(runs, many=many)
 
 
 @query("sentences")
 def all_sentences(spark, sf):
-    return sentences.sentences(views.words(spark, sf))
+    return sentences.sentences(views.words(spark, sf), many=views.many_words(spark, sf))
 
 
 # ---- recogniser segments: document lines with nested words -----------------------------------------
@@ -57,13 +59,19 @@ SQL_VIEWS["v_recogniser"] = """
 
 
 def recogniser(spark, sf):
-    """Lines with nested timed words; offsets come from a window inside one line."""
-    lines = views.lines(spark, sf).withColumn("no_words", F.col("line_idx") % 9 == 4)
+    """Lines with nested timed words; offsets come from a window inside one line.
+
+    A line's own columns travel with its first token, so that lines and words need no join. Lines that name no video have no words.
+    """
+    spoken = F.when((F.col("line_idx") % 9 != 4) & F.col("video_id").isNotNull(), F.col("line"))
     line = Window.partitionBy("video_id", "line_idx")
     before = line.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct("line", "start_ms", "dur_ms"))
     tokens = (
-        lines.where(~F.col("no_words"))
-        .select("video_id", "line_idx", "start_ms", F.posexplode_outer(F.split("line", r"\s+")).alias("pos", "word"))
+        views.lines(spark, sf)
+        .withColumn("_apart", F.when(F.col("video_id").isNull(), F.xxhash64("line", "start_ms")))
+        .select("*", F.posexplode_outer(F.split(spoken, r"\s+")).alias("pos", "word"))
+        .select("video_id", "line_idx", "_apart", "start_ms", "pos", "word", own.alias("own"))
         .withColumn("begin", F.col("start_ms") + 50 * F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)))
     )
     timed = F.struct(
@@ -72,13 +80,16 @@ def recogniser(spark, sf):
         (F.col("begin") / 1000.0).alias("start"),
         ((F.col("begin") + 50 * F.length("word")) / 1000.0).alias("end"),
     )
-    words = tokens.groupBy("video_id", "line_idx").agg(F.sort_array(F.collect_list(timed)).alias("words"))
-    return lines.join(words, ["video_id", "line_idx"], "left").select(
+    words = F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), timed)))
+    gathered = tokens.groupBy("video_id", "line_idx", "_apart").agg(
+        F.collect_list("own").alias("owns"), F.when(F.count("word") > 0, words).alias("words")
+    )
+    return gathered.select("video_id", "line_idx", "words", F.explode("owns").alias("l")).select(
         "video_id",
         F.col("line_idx").alias("seg_idx"),
-        F.col("line").alias("text"),
-        (F.col("start_ms") / 1000.0).alias("start"),
-        F.when(F.col("line_idx") % 7 != 6, (F.col("start_ms") + F.col("dur_ms")) / 1000.0).alias("end"),
+        F.col("l.line").alias("text"),
+        (F.col("l.start_ms") / 1000.0).alias("start"),
+        F.when(F.col("line_idx") % 7 != 6, (F.col("l.start_ms") + F.col("l.dur_ms")) / 1000.0).alias("end"),
         "words",
     )
 
@@ -95,7 +106,7 @@ def recogniser(spark, sf):
                    FROM v_recogniser WHERE NOT no_words AND {sb.strip('text')} <> '')) w WHERE word <> ''""",
 )
 def scan_words(spark, sf):
-    words, _ = sentences.flatten_recogniser(recogniser(spark, sf))
+    words, _ = sentences.flatten_recogniser(recogniser(spark, sf), views.many_lines(spark, sf))
     return words.select("video_id", F.col("island").cast("long").alias("island"), "word_idx", "word", "start", "end")
 
 
@@ -127,14 +138,15 @@ SQL_VIEWS["v_pseudo"] = """
 
 @query("pseudo_words", 'SELECT video_id, word_idx, word, start, "end" FROM v_pseudo')
 def pseudo_words(spark, sf):
-    return captions.pseudo_words(captions.cues(views.caption_events(spark, sf))).select(
+    many = views.many_lines(spark, sf, captions.CUE_BLOCK)
+    return captions.pseudo_words(captions.cues(views.caption_events(spark, sf)), many).select(
         "video_id", "word_idx", "word", "start", "end"
     )
 
 
 @query("caption_reflow")
 def caption_reflow(spark, sf):
-    return captions.caption_reflow(views.caption_events(spark, sf))
+    return captions.caption_reflow(views.caption_events(spark, sf), many_cues=views.many_lines(spark, sf, captions.CUE_BLOCK))
 
 
 # ---- chapters ----------------------------------------------------------------------------------

@@ -30,7 +30,7 @@ def cues(events: DataFrame) -> DataFrame:
     )
 
 
-def pseudo_words(cue_rows: DataFrame) -> DataFrame:
+def pseudo_words(cue_rows: DataFrame, many: bool | None = None) -> DataFrame:
     """Spread each cue's words over its time by length; dense ``word_idx`` per video.
 
     Windows run inside one cue. Times are rounded to milliseconds, words of a cue are contiguous and
@@ -61,7 +61,8 @@ def pseudo_words(cue_rows: DataFrame) -> DataFrame:
         at(F.col("_cum") - F.col("_size")).alias("start"),
         at(F.col("_cum")).alias("end"),
     )
-    many = many_blocks(cue_rows, "event_idx", CUE_BLOCK)
+    if many is None:
+        many = many_blocks(cue_rows, "event_idx", CUE_BLOCK)
     return dense_position(
         timed, ["video_id"], ["event_idx", "pos"], block_of("event_idx", CUE_BLOCK), "word_idx", many
     )
@@ -72,6 +73,13 @@ def caption_reflow(
     alpha: float = fv.CAPTION_PAUSE_ALPHA,
     max_words: int = fv.SENTENCE_MAX_WORDS,
     min_words: int = fv.SENTENCE_MIN_WORDS,
+    many_cues: bool | None = None,
 ) -> DataFrame:
-    """Captions, cut by display line, rebuilt into sentences."""
-    return snt.sentences(pseudo_words(cues(events)), ("video_id",), alpha, max_words, min_words)
+    """Captions, cut by display line, rebuilt into sentences.
+
+    Whether a video's words leave a first block is counted on the cues, before they are words.
+    """
+    found = cues(events)
+    spread = found.groupBy("video_id").agg(F.sum(F.size(F.split(squeeze(F.col("text")), " "))).alias("n"))
+    many = many_blocks(spread, F.col("n") - 1)
+    return snt.sentences(pseudo_words(found, many_cues), ("video_id",), alpha, max_words, min_words, many)
