@@ -10,6 +10,7 @@ from cuewright.plans.blocked import block_of, many_blocks, running
 from cuewright.session import written_once
 
 STAMPED_LINE = r"^\s*((?:\d{1,2}:)?\d{1,2}:\d{2})(?:\s*[-–—|]\s*|\s{2,}|\s+)(.+?)\s*$"
+_STAMP_AHEAD = r"^\s*(?:\d{1,2}:)?\d{1,2}:\d{2}[\s\-–—|]"
 
 
 def _number(value: Column) -> Column:
@@ -76,12 +77,15 @@ def description_chapters(descriptions: DataFrame) -> DataFrame:
     Lines become rows first, so that each is tested once, in compiled code, and a long description is no single value.
     """
     lines = descriptions.select("video_id", "duration", F.posexplode(F.split("description", r"\r\n|\n|\r")).alias("pos", "line"))
-    stamped = lines.where(F.col("line").rlike(STAMPED_LINE)).select(
+    # The whole pattern is matched once, on lines that begin as it does: stamp and title with a null character between.
+    cut = lines.where(F.col("line").rlike(_STAMP_AHEAD)).withColumn("_cut", F.regexp_replace("line", STAMPED_LINE, "$1\u0000$2"))
+    cut = cut.withColumn("_part", F.when(F.col("_cut") != F.col("line"), F.split("_cut", "\u0000", 2)))
+    stamped = cut.select(
         "video_id",
         F.col("pos").cast("long").alias("pos"),
-        timestamp_seconds(F.regexp_extract("line", STAMPED_LINE, 1)).alias("start"),
+        timestamp_seconds(F.col("_part")[0]).alias("start"),
         F.lit(None).cast("double").alias("end"),
-        squeeze(F.regexp_extract("line", STAMPED_LINE, 2)).alias("title"),
+        squeeze(F.col("_part")[1]).alias("title"),
         "duration",
     )
     # The stamped lines are read several times and are far smaller than the descriptions.
