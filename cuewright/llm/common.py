@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return written_once(df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism), name)
 
 
+#: Rows of an Arrow batch that are worked on at a time where a row becomes much larger than its text.
+SLICE_ROWS = 1000
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int = SLICE_ROWS) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of at most ``rows`` rows, so that what is made of a batch does not all lie in memory."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def packed(df: DataFrame) -> Column:
     """All columns as one struct, so an operator's helper columns cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import packed, stored
+from cuewright.llm.common import SLICE_ROWS, packed, slices, stored
 from cuewright.llm.components import components
 from cuewright.llm.shingles import STEP, WordHashes, mixed, shingle_set
 from cuewright.plans.sizes import broadcast_if_small, hinted
@@ -22,7 +22,7 @@ from cuewright.session import discard, written_once
 #: Most ids that a broadcast may hold (8 bytes each), and most bytes of pivot sets.
 MAX_BROADCAST, PIVOT_BYTES = 1_000_000, 32_000_000
 #: Cells that one task counts, about, and bits of the map of shared cells at most (16 MB).
-CELLS_PER_TASK, MAP_BITS = 2_000_000, 1 << 27
+CELLS_PER_TASK, MAP_BITS = 1_000_000, 1 << 27
 #: Regions of at most so many sets are compared pair by pair; a pivot is drawn from so many sets with at most so many shingles.
 SMALL = 128
 PIVOT_SETS, PIVOT_SHINGLES = 31, 4_000_000
@@ -96,7 +96,7 @@ def _named(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, k, hashes) for t in batch["text"]]
             frame = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets]})
             frame["node"] = pd.array([node_of(s) for s in sets], dtype="Int64")
@@ -110,7 +110,7 @@ def _cells(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, rings = WordHashes(), SizeRings(percent)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [s for s in (shingle_set(t, k, hashes) for t in batch["text"]) if len(s)]
             rows = [(node_of(s), ring, need, cells) for s in sets for ring, need, cells in rings.cells(s)]
             yield pd.DataFrame(rows, columns=["node", "ring", "need", "cells"])
@@ -136,7 +136,7 @@ def _shared(dealt: DataFrame) -> DataFrame:
     edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches, 2 * SLICE_ROWS):
             if len(batch):
                 values, counts = np.unique(np.concatenate(batch["cells"].to_list()).view(np.uint64), return_counts=True)
                 cut = np.r_[0, np.searchsorted(values, edges), len(values)]
@@ -169,7 +169,7 @@ def _candidates(dealt: DataFrame, shared: DataFrame) -> DataFrame:
         seen[(row["part"] - 1) * 4096 : (row["part"] - 1) * 4096 + len(piece)] = piece
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes = batch["cells"].map(len).to_numpy()
             cells = np.concatenate([*batch["cells"], np.empty(0, np.int64)]).astype(np.int64)
             place = cells & (bits - 1)
@@ -184,7 +184,7 @@ def _candidates(dealt: DataFrame, shared: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [s for s in (shingle_set(t, k, hashes) for t in batch["text"]) if len(s)]
             yield pd.DataFrame({"node": np.array([node_of(s) for s in sets], np.int64), "shingles": [s.tobytes() for s in sets]})
 
@@ -260,7 +260,7 @@ def _differences(cells: DataFrame, pivots: DataFrame, sets: DataFrame, percent:
     region's pivot beyond its own half of a link, and the shingles in which it differs from the pivot."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for cell, node, pivot, shingles in zip(batch["cell"], batch["node"], batch["pivot"], batch["shingles"]):
                 x = np.frombuffer(shingles, np.uint64)
