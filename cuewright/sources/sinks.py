@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from cuewright.plans.blocked import BLOCK_ROWS, block_of
 from cuewright.session import written_once
 
 BUCKETS = 64
+# Characters that Spark escapes in the folder of a partition value, and its folder of null and empty values.
+ESCAPED, EMPTY_PARTITION = "\"#%'*/:=?\\\x7f{[]^", "__HIVE_DEFAULT_PARTITION__"
 
 
 def write_files(pieces: DataFrame, path: str, order: str, separator: str = "\n", keys: tuple[str, ...] = ("video_id",)) -> None:
@@ -20,7 +27,66 @@ def write_files(pieces: DataFrame, path: str, order: str, separator: str = "\n",
     different keys are written in parallel.
     """
     laid = pieces.repartition(*keys).sortWithinPartitions(*keys, order)
-    laid.select(*keys, F.col("piece").alias("value")).write.mode("overwrite").option("lineSep", separator).partitionBy(*keys).text(path)
+    target = spark_path(pieces.sparkSession, path)
+    if target.toUri().getScheme() == "file":
+        _write_mounted(laid, target, separator, keys)
+    else:
+        laid.select(*keys, F.col("piece").alias("value")).write.mode("overwrite").option("lineSep", separator).partitionBy(*keys).text(path)
+
+
+def spark_path(spark: SparkSession, path: str):
+    """``path`` with the scheme that Spark would take for it."""
+    raw = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return raw.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(raw)
+
+
+def _folder(key: str, value: str | None) -> str:
+    """The folder of a partition value, as Spark writes and reads it."""
+    escaped = "".join(f"%{ord(c):02X}" if c < " " or c in ESCAPED else c for c in value) if value else EMPTY_PARTITION
+    return f"{key}={escaped}"
+
+
+def _write_mounted(laid: DataFrame, target, separator: str, keys: tuple[str, ...]) -> None:
+    """``write_files`` for a folder that all machines mount: tasks open the files themselves.
+
+    Hadoop's local file system starts a ``chmod`` for each file, its checksum and its folders. A file gets its name when it is
+    complete, so an attempt that fails leaves nothing, and a second attempt writes the same file again.
+    """
+    spark = laid.sparkSession
+    files, root = target.getFileSystem(spark._jsc.hadoopConfiguration()), target.toUri().getPath()
+    files.delete(target, True)
+    files.mkdirs(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, out, aside, name, end = None, None, "", "", separator.encode()
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(aside, os.path.join(os.path.dirname(aside), name))
+
+        try:
+            for batch in batches:
+                for *key, piece in zip(*(column.to_pylist() for column in batch.columns)):
+                    if out is None or key != owner:
+                        close()
+                        folder = os.path.join(root, *map(_folder, keys, key))
+                        os.makedirs(folder, exist_ok=True)
+                        owner, aside = key, os.path.join(folder, f".{uuid.uuid4().hex}")
+                        name = f"part-{''.join(str(int(k is None)) for k in key)}.txt"  # a null and an empty key share their folder
+                        out = open(aside, "wb")
+                    out.write((piece or "").encode() + end)
+                yield pa.RecordBatch.from_pydict({"pieces": [len(batch)]})
+            close()
+            out = None
+        finally:
+            if out is not None and not out.closed:
+                out.close()
+                os.remove(aside)
+
+    texts = laid.select(*[F.col(k).cast("string").alias(k) for k in keys], "piece")
+    texts.mapInArrow(run, "pieces long").agg(F.sum("pieces")).collect()
+    files.create(spark._jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")).close()
 
 
 def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
