@@ -343,6 +343,7 @@ def incremental_index(spark, sf):
     lines = line_segments(spark, sf).select(
         "video_id", "seg_idx", "start", (F.col("start") + F.col("duration")).alias("end"), "text"
     )
+    lines = written_once(lines, "lines")  # read by both runs, for hashes and for chunks
     part = F.substring("video_id", 2, 20).cast("long") % 3 > 0
     indexing.incremental_index(lines.where(part), path)
     todo = indexing.incremental_index(lines, path)

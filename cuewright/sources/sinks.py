@@ -119,8 +119,8 @@ def upsert_by_video(
     committer replaces a partition only when the job succeeds.
     """
     spark = new.sparkSession
-    fresh = with_bucket(new, buckets)
-    ids = fresh.select("video_id", "bucket")
+    staged = written_once(with_bucket(new, buckets), "upsert")  # computed once: ids and rows are read from it
+    ids = staged.select("video_id", "bucket")
     if replaced is not None:
         ids = ids.unionByName(with_bucket(replaced.select("video_id"), buckets))
     ids = ids.distinct()
@@ -129,8 +129,7 @@ def upsert_by_video(
         old = spark.read.parquet(path)
         touched = ids.select("bucket").distinct()  # at most `buckets` rows
         kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(ids.select("video_id"), "video_id", "left_anti")
-        fresh = kept.unionByName(fresh, allowMissingColumns=True)
-    staged = written_once(fresh, "upsert")
+        staged = written_once(kept, "upsert-kept").unionByName(staged, allowMissingColumns=True)
     emptied = [] if touched is None else touched.join(staged.select("bucket").distinct(), "bucket", "left_anti").collect()
     if order:
         staged = staged.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
