@@ -28,6 +28,17 @@ def test_wide_buckets_meet_once(spark, monkeypatch):
     assert met[:2] == [97, 97 * 8]
 
 
+def test_ids_that_come_twice_take_one_place(spark, monkeypatch):
+    rng = random.Random(7)
+    points = [("v", i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(40)]
+    chunks = spark.createDataFrame(points + points[::2], "video_id string, chunk_id long, vec array<float>")
+    queries = chunks.withColumnRenamed("chunk_id", "query_id")
+    once = rows(retrieval.ann_topk(chunks, queries, 6))
+    assert len({r[::2] for r in once}) == len(once)
+    monkeypatch.setattr(retrieval, "_products", lambda left, right, keys: len(keys) == 1)
+    assert rows(retrieval.ann_topk(chunks, queries, 6)) == once
+
+
 def test_narrow_buckets_stay_buckets(spark, monkeypatch):
     rng = random.Random(6)
     points = [("v", i, [rng.gauss(0, 3) for _ in range(8)]) for i in range(60)]
