@@ -17,7 +17,7 @@ from cuewright.llm.common import SLICE_ROWS, packed, slices, stored
 from cuewright.llm.components import components
 from cuewright.llm.shingles import STEP, WordHashes, mixed, shingle_set
 from cuewright.plans.sizes import broadcast_if_small, hinted
-from cuewright.session import discard, written_once
+from cuewright.session import discard, passing_tables, written_once
 
 #: Most ids that a broadcast may hold (8 bytes each), and most bytes of pivot sets.
 MAX_BROADCAST, PIVOT_BYTES = 1_000_000, 32_000_000
@@ -117,7 +117,8 @@ def _cells(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     dealt = written_once(docs.select("text").mapInPandas(run, "node long, ring int, need int, cells array<long>"), "jaccard-parts")
     shared = written_once(_shared(dealt), "jaccard-shared")
-    rows = _candidates(dealt, shared).join(shared, "cell").dropDuplicates(["node", "ring", "cell"])
+    # Dealt by node alone, the three steps that follow shuffle nothing more.
+    rows = _candidates(dealt, shared).join(shared, "cell").repartition("node").dropDuplicates(["node", "ring", "cell"])
     mine = Window.partitionBy("node", "ring")
     rank, common = F.row_number().over(mine.orderBy("f", "cell")), F.count("*").over(mine)
     kept = rows.withColumns({"rank": rank, "common": common})  # the cells that nobody shares come first
@@ -334,31 +335,38 @@ def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     A shingle stays a reason to meet for at most about half of a region's sets, so the number of rounds is logarithmic
     in the largest group that is alike but not linked, and no round makes the pairs of a group.
     """
-    named = written_once(_named(docs.select("doc_id", "text"), k), "jaccard-named")
-    first = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    # Ids that only repeat sets found under a smaller id.
-    roles = named.where("node is not null").join(first, "node").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("first_id")).cast("int")).alias("leads"))
-    repeats = roles.where("leads = 0 and doc_id is not null").select("doc_id")
-    leading = docs.select("doc_id", "text").join(_bounded(repeats), "doc_id", "left_anti")
-    cells = stored(_regions(_cells(leading, k, percent)).withColumn("component", F.col("node")), "jaccard-regions")
-    needed = cells.select("node").distinct().join(first, "node").select(F.col("first_id").alias("doc_id")).distinct()
-    at_null = docs.select("doc_id", "text").where("doc_id is null")
-    wanted = leading.where("doc_id is not null").join(_bounded(needed.where("doc_id is not null")), "doc_id", "left_semi").unionByName(at_null)
-    sets = written_once(_sets(wanted, k).join(cells.select("node").distinct(), "node", "left_semi"), "jaccard-sets")
-    links, labels = [], docs.sparkSession.createDataFrame([], "id long, component long")
-    while cells.limit(1).count():
-        sizes = stored(cells.groupBy(F.col("cell").alias("s_cell")).agg(F.count("*").alias("n")), "jaccard-sizes")
-        sized = cells.join(sizes, F.col("cell") == F.col("s_cell")).drop("s_cell")
-        links.append(written_once(_direct(sized.where(F.col("n") <= SMALL).drop("n"), sets, percent), "jaccard-links"))
-        if not sizes.where(F.col("n") > SMALL).limit(1).count():
-            labels = components(reduce(DataFrame.unionByName, links))
-            break
-        found, rows = _around(stored(sized.where(F.col("n") > SMALL).drop("n"), "jaccard-large"), sets, percent)
-        links.append(stored(found, "jaccard-links"))
-        labels = components(reduce(DataFrame.unionByName, links))
-        parts = stored(_parts(rows, labels), "jaccard-parts")
-        cells = stored(_open(parts, labels), "jaccard-regions")
-        discard(parts)
+    spark = docs.sparkSession
+    with passing_tables(spark) as keep:
+        named = keep(written_once(_named(docs.select("doc_id", "text"), k), "jaccard-named"))
+        first = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+        # Ids that only repeat sets found under a smaller id.
+        roles = named.where("node is not null").join(first, "node").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("first_id")).cast("int")).alias("leads"))
+        repeats = roles.where("leads = 0 and doc_id is not null").select("doc_id")
+        leading = docs.select("doc_id", "text").join(_bounded(repeats), "doc_id", "left_anti")
+        shared = _cells(leading, k, percent)
+        cells = stored(_regions(shared).withColumn("component", F.col("node")), "jaccard-regions")
+        discard(shared)
+        needed = cells.select("node").distinct().join(first, "node").select(F.col("first_id").alias("doc_id")).distinct()
+        at_null = docs.select("doc_id", "text").where("doc_id is null")
+        wanted = leading.where("doc_id is not null").join(_bounded(needed.where("doc_id is not null")), "doc_id", "left_semi").unionByName(at_null)
+        sets = written_once(_sets(wanted, k).join(cells.select("node").distinct(), "node", "left_semi"), "jaccard-sets")
+        links, labels = [], spark.createDataFrame([], "id long, component long")
+        while cells.limit(1).count():
+            # A round leaves its links and the next regions; what it compared goes.
+            with passing_tables(spark) as stay:
+                before = cells
+                sizes = stored(cells.groupBy(F.col("cell").alias("s_cell")).agg(F.count("*").alias("n")), "jaccard-sizes")
+                sized = cells.join(sizes, F.col("cell") == F.col("s_cell")).drop("s_cell")
+                links.append(stay(written_once(_direct(sized.where(F.col("n") <= SMALL).drop("n"), sets, percent), "jaccard-links")))
+                if not sizes.where(F.col("n") > SMALL).limit(1).count():
+                    labels = stay(components(reduce(DataFrame.unionByName, links)))
+                    break
+                found, rows = _around(stored(sized.where(F.col("n") > SMALL).drop("n"), "jaccard-large"), sets, percent)
+                links.append(stay(stored(found, "jaccard-links")))
+                labels = stay(components(reduce(DataFrame.unionByName, links)))
+                cells = stay(stored(_open(stored(_parts(rows, labels), "jaccard-parts"), labels), "jaccard-regions"))
+            discard(before)
+        keep(labels)
     return named, labels
 
 
@@ -387,11 +395,13 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows with a null id and rows without words stay. Of rows that repeat an id and a set one stays.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"), k, percent)
-    leaders = groups.where("node is not null and doc_id = component_id").groupBy("component_id").agg(F.min("node").alias("j_node"))
-    lead_id = leaders.select(F.col("component_id").alias("j_id"))
-    free = groups.where("node is null").select(F.col("doc_id").alias("j_id")).where("j_id is not null").distinct()
-    keep = lead_id.unionByName(free).distinct()
+    with passing_tables(docs.sparkSession) as stay:
+        groups = jaccard_groups(docs.select("doc_id", "text"), k, percent)
+        leaders = groups.where("node is not null and doc_id = component_id").groupBy("component_id").agg(F.min("node").alias("j_node"))
+        lead_id = leaders.select(F.col("component_id").alias("j_id"))
+        free = groups.where("node is null").select(F.col("doc_id").alias("j_id")).where("j_id is not null").distinct()
+        # Written, so that nothing of the search lies beside the texts when they are shuffled.
+        keep = stay(written_once(lead_id.unionByName(free).distinct(), "jaccard-kept"))
     rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_text"))
     kept = rows.join(keep, F.col("of_id") == F.col("j_id"), "left_semi").dropDuplicates(["of_id", "of_text"])
     return kept.unionByName(rows.where("of_id is null")).select("row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import WORD, packed, whole_text
-from cuewright.session import written_once
+from cuewright.session import passing_tables, written_once
 
 #: Fractional part of the golden ratio: its multiples are the schedule's points.
 GOLDEN = 0.6180339887498949
@@ -152,8 +152,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document with taken 0 goes; a document of size 0 is never read and goes too. Row order is free; all columns stay.
     Rows that repeat an id are told apart by their size, and equal ones take the mean of what they were taken.
     """
-    taken = mix(docs, **options).groupBy("doc_id", "size").agg((F.sum("taken") / F.count("*")).alias("m_taken"))
-    taken = taken.select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), "m_taken")
+    with passing_tables(docs.sparkSession) as keep:
+        taken = mix(docs, **options).groupBy("doc_id", "size").agg((F.sum("taken") / F.count("*")).alias("m_taken"))
+        taken = taken.select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), "m_taken")
+        # Written, so that the schedule's shuffles do not lie beside that of the texts.
+        taken = keep(written_once(taken, "mix-taken"))
     size = F.regexp_count(whole_text(), F.lit(WORD)).cast("long")
     rows = docs.select(packed(docs).alias("m_row"), F.col("doc_id").alias("m_doc"), size.alias("m_words"))
     joined = rows.join(taken, F.col("m_doc").eqNullSafe(F.col("m_id")) & (F.col("m_words") == F.col("m_size")))
