@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import whole_text, with_next, words
-from cuewright.session import written_once
+from cuewright.session import discard, passing_tables, written_once
 
 #: Share of the lexicon in a sub-lexicon is 2 to the power of minus these; each density is drawn ``DRAWS`` times.
 DENSITIES = (4, 6, 8)
@@ -20,6 +24,8 @@ FREQUENT = 10
 LEAST_TERMS = 16
 #: Lexicon entries that may be broadcast: 16 bytes each.
 MAX_BROADCAST = 1_000_000
+#: Entries that every Python worker may hold instead, 8 bytes each.
+MAX_HELD = 32_000_000
 
 
 def term_hashes(text: Column) -> Column:
@@ -123,22 +129,76 @@ def with_edited(docs: DataFrame) -> DataFrame:
     return paired.select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "tie", "next_doc_id", "next_tie", F.col("row_place").alias("row"))
 
 
+def membership(terms: DataFrame) -> Callable[[Column], Column]:
+    """Whether each of a text's terms is in ``terms``, looked up in a sorted array that every worker holds."""
+    held = terms.sparkSession.sparkContext.broadcast(np.sort(terms.select("l_term").toPandas()["l_term"].to_numpy(np.int64)))
+
+    @F.arrow_udf("array<boolean>")
+    def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lexicon = held.value
+        for batch in batches:
+            values, ends = batch.flatten().to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
+            hit = lexicon[np.minimum(np.searchsorted(lexicon, values), len(lexicon) - 1)] == values if len(lexicon) else np.zeros(len(values), bool)
+            yield pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(hit))
+
+    return listed
+
+
+def with_masks(both: DataFrame, key: list[str], terms: DataFrame) -> DataFrame:
+    """row, key, term, of_edited, l_term, mask: the terms of both texts, and the sub-lexicons of those that the lexicon holds.
+
+    A lexicon too large to broadcast as a table is held as bare hashes: joined by a shuffle, each term would carry its text's key
+    there, and after it a text's hashes would be scattered over all tasks.
+    """
+    own, new = term_hashes(F.col("text")), term_hashes(F.col("edited"))
+    n = terms.count()
+    if MAX_BROADCAST < n <= MAX_HELD:
+        listed = membership(terms)
+        parts = both.select("row", *key, own.alias("own"), new.alias("new"))
+        parts = parts.withColumns({"own_in": listed(F.col("own")), "new_in": listed(F.col("new"))})
+
+        def side(name: str, edited: bool) -> Column:
+            pairs = F.arrays_zip(F.col(name).alias("term"), F.col(f"{name}_in").alias("within"))
+            return F.transform(pairs, lambda x: F.struct(x["term"].alias("term"), F.lit(edited).alias("of_edited"), x["within"].alias("within")))
+
+        rows = parts.select("row", *key, F.explode_outer(F.concat(side("own", False), side("new", True))).alias("e")).select("row", *key, "e.*")
+        held = rows.withColumn("l_term", F.when(F.col("within"), F.col("term")))
+        return held.withColumn("mask", F.when(F.col("within"), masked(F.col("term")))).drop("within")
+    own = F.transform(own, lambda t: F.struct(t.alias("term"), F.lit(False).alias("of_edited")))
+    new = F.transform(new, lambda t: F.struct(t.alias("term"), F.lit(True).alias("of_edited")))
+    rows = both.select("row", *key, F.explode_outer(F.concat(own, new)).alias("e")).select("*", "e.term", "e.of_edited")
+    return rows.join(F.broadcast(terms) if n <= MAX_BROADCAST else terms, F.col("term") == F.col("l_term"), "left")
+
+
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts are empty. Equal texts have equal fingerprints. Repeated ids follow each other by the digest of their
     text; rows equal in both come out once per row. One document is its own next. Empty input gives no rows.
     """
+    with passing_tables(docs.sparkSession) as keep:
+        prints = keep(_prints(docs, band))
+    following = prints.groupBy(F.col("doc_id").alias("n_doc_id"), F.col("tie").alias("n_tie")).agg(F.first("fingerprint").alias("next_fingerprint"))
+    paired = prints.join(following, F.col("next_doc_id").eqNullSafe(F.col("n_doc_id")) & (F.col("next_tie") == F.col("n_tie")), "left")
+    return paired.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).cast("double").alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).cast("double").alias("near_next"),
+    )
+
+
+def _prints(docs: DataFrame, band: tuple[float, float]) -> DataFrame:
+    """doc_id, tie, n_chars, edited_sha256, next_doc_id, next_tie, fingerprint, edited_fingerprint, written once."""
     ends = edges_of(docs.count(), band)
     counts = written_once(frequencies(docs, 2 if ends[0] > 1 else 1), "imatch-terms")
     terms = in_band(counts, ends).select(F.col("term").alias("l_term"), "mask").persist()
-    small = terms.count() <= MAX_BROADCAST
     both = with_edited(docs).withColumn("edited_sha256", F.sha2(F.col("edited"), 256))
-    own = F.transform(term_hashes(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(False).alias("of_edited")))
-    new = F.transform(term_hashes(F.col("edited")), lambda t: F.struct(t.alias("term"), F.lit(True).alias("of_edited")))
     key = ["doc_id", "tie", "n_chars", "edited_sha256", "next_doc_id", "next_tie"]
-    rows = both.select("row", *key, F.explode_outer(F.concat(own, new)).alias("e")).select("*", "e.term", "e.of_edited")
-    hit = rows.join(F.broadcast(terms) if small else terms, F.col("term") == F.col("l_term"), "left")
+    hit = with_masks(both, key, terms)
     here, there = ~F.col("of_edited"), F.col("of_edited")
     found = F.col("l_term").isNotNull()
     of = lambda side: F.count(F.when(side & F.col("term").isNotNull(), 1))
@@ -158,6 +218,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
         render(F.array(*[f"b{k}" for k in range(KINDS)]), F.col("edited_sha256")).alias("edited_fingerprint"),
     )
     prints = written_once(prints, "imatch-prints")
+    terms.unpersist()
     lacking = prints.where("short or edited_short").select("row", "tie", "next_tie", "short", "edited_short")
     if not lacking.isEmpty():
         # Texts by digest, so that only those looked for are dealt again.
@@ -179,6 +240,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
         )
         texts = texts.where("e.t is not null").select("row", "e.of_edited", F.sha2("e.t", 256).alias("digest"), term_hashes(F.col("e.t")).alias("terms"))
         texts = written_once(texts, "imatch-short")
+        discard(held)
         near = nearest_terms(texts, counts, ends).withColumn("mask", masked(F.col("term")))
         more = near.groupBy("row", "of_edited").agg(
             *[c.alias(f"a{k}") for k, c in enumerate(sub_hashes(F.col("term"), F.col("mask"), F.lit(True)))]
@@ -195,14 +257,4 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
             F.coalesce("new_print", "edited_fingerprint").alias("edited_fingerprint"),
         )
         prints = written_once(whole, "imatch-whole")
-    following = prints.groupBy(F.col("doc_id").alias("n_doc_id"), F.col("tie").alias("n_tie")).agg(F.first("fingerprint").alias("next_fingerprint"))
-    paired = prints.join(following, F.col("next_doc_id").eqNullSafe(F.col("n_doc_id")) & (F.col("next_tie") == F.col("n_tie")), "left")
-    return paired.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).cast("double").alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).cast("double").alias("near_next"),
-    )
+    return prints
