@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuewright import fixed_values as fv
 from cuewright.operators import chunking, retrieval
 from cuewright.operators.catalogue import stale_index
-from cuewright.session import written_once
+from cuewright.session import passing_tables, written_once
 from cuewright.sources import sinks
 
 
@@ -41,6 +41,11 @@ def incremental_index(
     holds the hash of every indexed video's lines; chunks of a video that has become empty go. An index without a
     manifest counts as unchanged.
     """
+    with passing_tables(segments.sparkSession) as keep:
+        return keep(_index(segments, path, provider, model, make_encoder))
+
+
+def _index(segments: DataFrame, path: str, provider: str, model: str, make_encoder) -> DataFrame:
     spark = segments.sparkSession
     wanted = written_once(content_hashes(segments), "wanted")
     stamps, known = stored_stamps(spark, path), manifest_path(path)
@@ -75,6 +80,11 @@ def append_and_index(segments: DataFrame, path: str, delivery: int, **options) -
 
     A line that comes again (same ``seg_idx``) replaces the older one, and a replayed delivery changes nothing.
     """
+    with passing_tables(segments.sparkSession) as keep:
+        return keep(_append(segments, path, delivery, **options))
+
+
+def _append(segments: DataFrame, path: str, delivery: int, **options) -> DataFrame:
     spark, store = segments.sparkSession, lines_path(path)
     fresh = segments.select("video_id", "seg_idx", "start", "end", "text").withColumn("delivery", F.lit(delivery).cast("long"))
     if sinks._exists(spark, store):
